@@ -31,7 +31,7 @@ def yyyymmdd_to_date(c: Column | str) -> Column:
     bad = F.raise_error(F.concat(F.lit("not a YYYYMMDD date: "), n.cast("string")))
     return (
         F.when(n.isNull(), F.lit(None).cast("date"))
-        .when(~n.between(10000101, 99991231), bad.cast("date"))
+        .when(~n.between(10000102, 99991231), bad.cast("date"))
         .otherwise(F.coalesce(day, bad.cast("date")))
     )
 

@@ -93,6 +93,10 @@ def registration_check(tx: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+# Stands for an unknown expiry: earlier than any date the strict parser accepts.
+UNKNOWN_DAY = date(1000, 1, 1)
+
+
 def latest_transactions(tx: DataFrame) -> DataFrame:
     """Per user the expiry and cancel flag of the last row by (date, expiry, cancel).
 
@@ -100,12 +104,12 @@ def latest_transactions(tx: DataFrame) -> DataFrame:
     """
     day, expiry = F.col("transaction_date"), F.col("membership_expire_date")
     cancelled = F.col("is_cancel").cast("boolean")
-    known = pack_day_pair(day, F.coalesce(expiry, F.lit(date(1, 1, 1))), cancelled)
+    known = pack_day_pair(day, F.coalesce(expiry, F.lit(UNKNOWN_DAY)), cancelled)
     latest = tx.groupBy("msno").agg(F.max(known).alias("last"))
     end = unpack_second_day(F.col("last"))
     return latest.select(
         "msno",
-        F.when(end > F.lit(date(1, 1, 1)), end).alias("membership_expire_date"),
+        F.when(end > F.lit(UNKNOWN_DAY), end).alias("membership_expire_date"),
         unpack_flag(F.col("last")).alias("is_cancel"),
     )
 

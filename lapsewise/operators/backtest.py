@@ -169,14 +169,13 @@ def truncation_quartiles(cells: DataFrame) -> DataFrame:
         "horizon",
         F.posexplode(
             F.transform(
-                F.sequence(F.lit(1), F.size("edges") - 1),
-                lambda i: F.struct(
-                    F.element_at("edges", i).alias("lo"),
-                    F.element_at("edges", i + 1).alias("hi"),
+                F.slice("edges", F.lit(1), F.size("edges") - 1),
+                lambda lo, i: F.struct(
+                    lo.alias("lo"), F.get("edges", i + 1).alias("hi")
                 ),
             )
         ).alias("bucket", "bin"),
-    ).filter(F.col("bin").isNotNull())
+    )
     x = F.col("truncated_share")
     inside = (x <= F.col("bin.hi")) & (
         (x > F.col("bin.lo")) | ((F.col("bucket") == 0) & (x == F.col("bin.lo")))

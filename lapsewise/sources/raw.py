@@ -11,15 +11,13 @@ from lapsewise import schema
 
 
 def _strict_csv(spark: SparkSession, path: str, expected: StructType) -> DataFrame:
-    """FAILFAST raises on a bad value; enforceSchema=False raises on a header whose
-    names or order differ from the schema. Turning column pruning off keeps both
-    true for a column the query itself never reads."""
+    """FAILFAST raises on a bad value of any column read (ingestion reads them all);
+    enforceSchema=False raises on a header whose names or order differ."""
     return (
         spark.read.schema(expected)
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
-        .option("columnPruning", False)
         .csv(path)
     )
 

@@ -25,11 +25,11 @@ def ingest_stream(
 
     def land(batch: DataFrame, batch_id: int) -> None:
         tagged = tag_quarantine(transform_transactions(batch, params)).withColumn(
-            "quarantined", F.col("quarantine_reason").isNotNull()
+            "quarantined", F.col("quarantine_reason").isNotNull().cast("int")
         )
         path = f"{folder}/landed/batch_id={batch_id}"
         tagged.write.mode("overwrite").partitionBy("quarantined").parquet(path)
-        clean = batch.sparkSession.read.parquet(path).filter(~F.col("quarantined"))
+        clean = batch.sparkSession.read.parquet(path).filter(F.col("quarantined") == 0)
         run_checks(STAGE, [Check("date_sanity", date_sanity(clean, params))], log_path)
 
     query = (
@@ -45,5 +45,6 @@ def staged_from_stream(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     """(staged, quarantined) over all batches landed so far. Copies may lie in
     different batches, so they are removed here and not per batch."""
     landed = read_table(spark, f"{folder}/landed").drop("batch_id")
-    clean = landed.filter(~F.col("quarantined")).drop("quarantined", "quarantine_reason")
-    return deduplicate(clean), landed.filter(F.col("quarantined")).drop("quarantined")
+    clean = landed.filter(F.col("quarantined") == 0).drop("quarantined", "quarantine_reason")
+    bad = landed.filter(F.col("quarantined") == 1).drop("quarantined")
+    return deduplicate(clean), bad
