@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -96,24 +96,29 @@ def row_count_reconciliation(
     )
 
 
-def date_sanity(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Sentinels, backwards expiries without a cancellation and dates outside the
-    window fail. NULL expiries and backdated cancellations are counted only."""
-    _require(df, "date_sanity", "transaction_date", "membership_expire_date", "is_cancel")
+def date_figures(params: Params = DEFAULT, where: Column | None = None) -> list[Column]:
+    """The aggregates of date_sanity, over the rows satisfying where."""
+    inside = F.lit(True) if where is None else where
     day, expiry = F.col("transaction_date"), F.col("membership_expire_date")
     sentinel = F.coalesce(expiry == F.lit(params.epoch_sentinel), F.lit(False))
     backwards = F.coalesce(~sentinel & (expiry < day), F.lit(False))
     cancelled = F.col("is_cancel").cast("int") == 1
     outside = (day < F.lit(params.window_open)) | (day > F.lit(params.observation_cutoff))
-    observed = df.agg(
-        F.count("*").alias("rows_checked"),
-        F.count_if(expiry.isNull()).alias("null_expiry"),
-        F.count_if(sentinel).alias("epoch_sentinel_expiry"),
-        F.count_if(backwards & cancelled).alias("expiry_before_transaction_cancelled"),
-        F.count_if(backwards & ~cancelled).alias("expiry_before_transaction_not_cancelled"),
-        F.count_if(outside).alias("transaction_date_out_of_window"),
-    )
-    return observed.withColumn(
+    figures = {
+        "rows_checked": F.lit(True),
+        "null_expiry": expiry.isNull(),
+        "epoch_sentinel_expiry": sentinel,
+        "expiry_before_transaction_cancelled": backwards & cancelled,
+        "expiry_before_transaction_not_cancelled": backwards & ~cancelled,
+        "transaction_date_out_of_window": outside,
+    }
+    return [F.count_if(inside & c).alias(name) for name, c in figures.items()]
+
+
+def date_verdict(figures: DataFrame) -> DataFrame:
+    """Sentinels, backwards expiries without a cancellation and dates outside the
+    window fail. NULL expiries and backdated cancellations are counted only."""
+    return figures.withColumn(
         "passed",
         (F.col("epoch_sentinel_expiry") == 0)
         & (F.col("expiry_before_transaction_not_cancelled") == 0)
@@ -121,6 +126,11 @@ def date_sanity(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
+def date_sanity(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    _require(df, "date_sanity", "transaction_date", "membership_expire_date", "is_cancel")
+    return date_verdict(df.agg(*date_figures(params)))
+
+
 def censoring_rate(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Either extreme means the labelling did not run. An empty table is an error."""
     _require(df, "censoring_rate", "event")
@@ -226,10 +236,9 @@ def unique_key(df: DataFrame, key: list[str]) -> DataFrame:
     ).withColumn("passed", F.col("repeated_keys") == 0)
 
 
-def mart_counts(staged: DataFrame, members: DataFrame, counts: DataFrame) -> DataFrame:
-    """Users of the staged table against the outcomes of spell_counts, with the users
+def mart_counts(users: DataFrame, members: DataFrame, counts: DataFrame) -> DataFrame:
+    """Staged users (one row each) against the outcomes of spell_counts, with those
     lacking a member row counted from the tables, not as a remainder."""
-    users = staged.select("msno").distinct()
     staged_users = users.agg(F.count("*").alias("staged_users"))
     unmatched = users.join(members.select("msno"), "msno", "left_anti").agg(
         F.count("*").alias("without_member_row")
@@ -250,9 +259,9 @@ MART_DROPS = [
 ]
 
 
-def reconcile_marts(staged: DataFrame, members: DataFrame, counts: DataFrame) -> DataFrame:
+def reconcile_marts(users: DataFrame, members: DataFrame, counts: DataFrame) -> DataFrame:
     return row_count_reconciliation(
-        mart_counts(staged, members, counts), "staged_users", "subjects", MART_DROPS
+        mart_counts(users, members, counts), "staged_users", "subjects", MART_DROPS
     )
 
 

@@ -56,16 +56,24 @@ def _paid_until() -> Column:
 # --- numbering ---------------------------------------------------------------
 
 
-def hot_users(staged: DataFrame, more_than: int) -> DataFrame:
-    """Users with more rows than one window task should sort. Counts are combined
-    before the shuffle, and only the user column is read."""
-    counts = staged.groupBy("msno").agg(F.count("*").alias("rows"))
-    return counts.filter(F.col("rows") > more_than).select("msno")
+def user_rows(staged: DataFrame) -> DataFrame:
+    """Rows per user. Only the user column is read, and counts are combined before
+    the shuffle."""
+    return staged.groupBy("msno").agg(F.count("*").alias("rows"))
+
+
+def hot_users(users: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Users with more rows than one window task should sort."""
+    return users.filter(F.col("rows") > params.hot_user_rows).select("msno")
+
+
+def _in_order():
+    return Window.partitionBy("msno").orderBy(*_nulls_last(SPELL_ORDER))
 
 
 def number_in_window(rows: DataFrame, grace: int) -> DataFrame:
     """Two running windows over one shuffle and one sort."""
-    order = Window.partitionBy("msno").orderBy(*_nulls_last(SPELL_ORDER))
+    order = _in_order()
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     through = order.rowsBetween(Window.unboundedPreceding, 0)
     covered = rows.withColumn("coverage_so_far", F.max(_paid_until()).over(before))
@@ -186,21 +194,39 @@ def first_spell(numbered: DataFrame) -> DataFrame:
 # --- one row per user ---------------------------------------------------------
 
 
+def with_first_plan(numbered: DataFrame) -> DataFrame:
+    """The first known plan length up to each row, from the window already sorted.
+
+    It spares summarise_users a minimum over a struct, which no hash aggregate holds.
+    """
+    through = _in_order().rowsBetween(Window.unboundedPreceding, 0)
+    first = F.first("plan_days", ignorenulls=True).over(through)
+    return numbered.withColumn("plan_so_far", first)
+
+
 def summarise_users(numbered: DataFrame) -> DataFrame:
-    """First-spell facts, revenue and later spells of every user in one aggregate."""
+    """First-spell facts, revenue and later spells of every user in one aggregate.
+
+    Takes numbered rows with or without the column of with_first_plan.
+    """
     first = F.col("spell_no") == 1
     paid = ~F.col("is_cancel")
     day, expiry = F.col("transaction_date"), F.col("membership_expire_date")
     amount = F.col("actual_amount_paid")
 
-    # The earliest row with a known plan length, in the total order.
-    plan_key = F.struct(
-        day,
-        F.coalesce(expiry, F.lit(FAR_FUTURE)).alias("expiry"),
-        F.col("is_cancel"),
-        F.col("payment_method_id"),
-        F.col("plan_days"),
-    )
+    if "plan_so_far" in numbered.columns:
+        first_plan = F.max(F.when(first, F.col("plan_so_far")))
+    else:
+        # The earliest row with a known plan length, in the total order.
+        key = F.struct(
+            day,
+            F.coalesce(expiry, F.lit(FAR_FUTURE)).alias("expiry"),
+            F.col("is_cancel"),
+            F.col("payment_method_id"),
+            F.col("plan_days"),
+        )
+        known = F.when(first & F.col("plan_days").isNotNull(), key)
+        first_plan = F.min(known)["plan_days"]
     return numbered.groupBy("msno").agg(
         F.min(F.when(first, day)).alias("spell_start_date"),
         F.count_if(first).cast("int").alias("n_transactions"),
@@ -209,9 +235,7 @@ def summarise_users(numbered: DataFrame) -> DataFrame:
         ).alias("last_noncancel_expiry"),
         F.max(F.when(first & paid, day)).alias("last_noncancel_date"),
         F.max(F.when(first & ~paid, day)).alias("last_cancel_date"),
-        F.min(F.when(first & F.col("plan_days").isNotNull(), plan_key))["plan_days"].alias(
-            "first_plan_days"
-        ),
+        first_plan.alias("first_plan_days"),
         F.coalesce(F.sum(F.when(first & paid, amount)), F.lit(0)).alias("first_spell_rev"),
         F.coalesce(
             F.sum(F.when(first & paid & F.col("plan_days_imputed"), amount)), F.lit(0)
@@ -230,7 +254,8 @@ def user_summary(
 ) -> DataFrame:
     """summarise_users per segment, so that ordinary users keep their window's
     partitioning and sort order and need no second shuffle."""
-    return _union([summarise_users(part) for part in segments(staged, params, hot)])
+    ordinary, *split = segments(staged, params, hot)
+    return _union([summarise_users(part) for part in (with_first_plan(ordinary), *split)])
 
 
 def resolve_end(summary: DataFrame) -> DataFrame:

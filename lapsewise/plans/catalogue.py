@@ -144,7 +144,7 @@ _on_marts("spells_quarantine")(lambda m: m.quarantine)
 _on_marts("spells_excluded")(lambda m: m.excluded)
 _on_marts("spell_counts")(lambda m: spells.spell_counts(m.subjects))
 _on_marts("reconciliation_marts")(
-    lambda m: checks.reconcile_marts(m.staged, m.members, spells.spell_counts(m.subjects))
+    lambda m: checks.reconcile_marts(m.users, m.members, spells.spell_counts(m.subjects))
 )
 _on_marts("spell_report")(lambda m: spells.spell_report(m.spells))
 _on_marts("spells_by_plan")(lambda m: spells.spell_report_by(m.spells, "plan_type"))

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lapsewise.config import Params
 from lapsewise.operators import ingest, revenue, spells
-from lapsewise.session import materialise
+from lapsewise.session import materialise, scratch_path
 from lapsewise.sources import read_table, warehouse, write_table
 
 
-def find_hot_users(staged: DataFrame, params: Params) -> DataFrame | None:
-    """The written list of users to split, or None when there are none."""
-    hot = materialise(spells.hot_users(staged, params.hot_user_rows), "hot-users")
+def find_hot_users(users: DataFrame, params: Params) -> DataFrame | None:
+    """The users to split, or None when there are none. users is a written table."""
+    hot = spells.hot_users(users, params)
     return None if hot.isEmpty() else hot
 
 
@@ -25,9 +25,13 @@ class Marts:
 
     staged: DataFrame
     members: DataFrame
+    users: DataFrame
     subjects: DataFrame
     params: Params
-    hot: DataFrame | None = None
+
+    @cached_property
+    def hot(self) -> DataFrame | None:
+        return find_hot_users(self.users, self.params)
 
     @cached_property
     def numbered(self) -> DataFrame:
@@ -64,13 +68,14 @@ def build_marts(
 ) -> Marts:
     """Segment once, write the subject table, and project everything from it.
 
-    staged and members should be written tables: they are read several times.
+    staged should be a written table: it is read twice.
     """
-    hot = find_hot_users(staged, params)
-    subjects = spells.build_subjects(staged, members, params, hot)
-    write_table(subjects, f"{folder}/subjects")
-    stored = read_table(staged.sparkSession, f"{folder}/subjects")
-    return Marts(staged, members, stored, params, hot)
+    spark = staged.sparkSession
+    write_table(spells.user_rows(staged), f"{folder}/users")
+    users = read_table(spark, f"{folder}/users")
+    hot = find_hot_users(users, params)
+    write_table(spells.build_subjects(staged, members, params, hot), f"{folder}/subjects")
+    return Marts(staged, members, users, read_table(spark, f"{folder}/subjects"), params)
 
 
 _built: dict[tuple[str, str, Params], Marts] = {}
@@ -86,9 +91,5 @@ def warehouse_marts(spark: SparkSession, sf_dir: str, params: Params) -> Marts:
         )
         members = ingest.stage_members(warehouse.raw_members(spark, sf_dir, params))
         staged = materialise(clean, "staged")
-        hot = find_hot_users(staged, params)
-        subjects = materialise(
-            spells.build_subjects(staged, members, params, hot), "subjects"
-        )
-        _built[key] = Marts(staged, members, subjects, params, hot)
+        _built[key] = build_marts(staged, members, params, scratch_path(spark, "marts"))
     return _built[key]

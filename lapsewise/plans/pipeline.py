@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.config import DEFAULT, Params
@@ -44,14 +44,17 @@ class Run:
         return result
 
 
-def _write_counted(df: DataFrame, path: str, **metrics) -> dict[str, int]:
-    """Write, and count the written rows in the same job."""
+def _write_counted(df: DataFrame, path: str, *metrics: Column) -> dict[str, int]:
+    """Write, and count the written rows (and more) in the same job."""
     seen = Observation()
-    exprs = [e.alias(n) for n, e in {"rows": F.count(F.lit(1)), **metrics}.items()]
-    write_table(df.observe(seen, *exprs), path)
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics), path)
     return seen.get
 
 
+def _one_row(spark: SparkSession, figures: dict[str, int]) -> DataFrame:
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in figures.items()])
+
+
 def stage(run: Run, raw_transactions: DataFrame, raw_members: DataFrame) -> None:
     """Land the typed rows once, check them, then publish staged and quarantine.
 
@@ -64,29 +67,43 @@ def stage(run: Run, raw_transactions: DataFrame, raw_members: DataFrame) -> None
     sentinels = Observation()
     observed = dated.observe(sentinels, sentinel.alias("nulled"))
     tagged = ingest.tag_quarantine(ingest.transform_transactions(observed, params))
+    reason = F.col("quarantine_reason")
     landed_counts = _write_counted(
-        tagged, run.path("landed"), quarantined=F.count("quarantine_reason")
+        tagged,
+        run.path("landed"),
+        F.count(reason).alias("quarantined"),
+        *checks.date_figures(params, reason.isNull()),
+    )
+    figures = {
+        k: v for k, v in landed_counts.items() if k not in ("rows", "quarantined")
+    }
+    run_checks(
+        STAGED,
+        [Check("date_sanity", checks.date_verdict(_one_row(spark, figures)))],
+        run.log_path,
     )
+
     landed = run.table("landed")
-    reason = F.col("quarantine_reason")
     clean = landed.filter(reason.isNull()).select(*TRANSACTION_COLUMNS)
-    run_checks(STAGED, [Check("date_sanity", checks.date_sanity(clean, params))], run.log_path)
-
     staged = _write_counted(ingest.deduplicate(clean), run.path("transactions"))
     bad = _write_counted(
         landed.filter(reason.isNotNull()), run.path("transactions_quarantine")
     )
-    members = _write_counted(ingest.stage_members(raw_members), run.path("members"))
-    clean_rows = landed_counts["rows"] - landed_counts["quarantined"]
-    counts = spark.range(1).select(
-        F.lit(landed_counts["rows"]).alias("raw_rows"),
-        F.lit(staged["rows"]).alias("staged_rows"),
-        F.lit(bad["rows"]).alias("quarantined"),
-        F.lit(clean_rows - staged["rows"]).alias("duplicates"),
-        F.lit(sentinels.get["nulled"]).alias("sentinels_nulled"),
+    raw_seen = Observation()
+    counted = raw_members.observe(raw_seen, F.count(F.lit(1)).alias("rows"))
+    members = _write_counted(ingest.stage_members(counted), run.path("members"))
+    member_counts = _one_row(
+        spark, {"raw_rows": raw_seen.get["rows"], "staged_rows": members["rows"]}
     )
-    member_counts = spark.range(1).select(
-        F.lit(members["rows"]).alias("raw_rows"), F.lit(members["rows"]).alias("staged_rows")
+    counts = _one_row(
+        spark,
+        {
+            "raw_rows": landed_counts["rows"],
+            "staged_rows": staged["rows"],
+            "quarantined": bad["rows"],
+            "duplicates": figures["rows_checked"] - staged["rows"],
+            "sentinels_nulled": sentinels.get["nulled"],
+        },
     )
     run_checks(
         STAGED,
@@ -122,7 +139,7 @@ def marts(run: Run) -> Marts:
         [
             Check("censoring_rate", checks.censoring_rate(built.spells, run.params)),
             Check("duplicate_rows", checks.duplicate_rows(built.spells)),
-            Check("row_count_reconciliation", checks.reconcile_marts(staged, members, counts)),
+            Check("row_count_reconciliation", checks.reconcile_marts(built.users, members, counts)),
         ],
         run.log_path,
     )

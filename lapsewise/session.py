@@ -16,7 +16,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **conf: str) -> Spa
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("lapsewise")
         .config("spark.driver.memory", memory)
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "32")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
