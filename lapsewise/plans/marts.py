@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,9 @@ def find_hot_users(users: DataFrame, params: Params) -> DataFrame | None:
 class Marts:
     """staged and subjects are tables; the rest are narrow projections of subjects."""
 
+    # The deliverables, each with its own schema.
+    TABLES: ClassVar = ("spells", "excluded", "quarantine", "revenue", "reactivation")
+
     staged: DataFrame
     members: DataFrame
     users: DataFrame
@@ -57,11 +61,6 @@ class Marts:
     def reactivation(self) -> DataFrame:
         return revenue.reactivation(self.subjects, self.params)
 
-    def write(self, folder: str) -> None:
-        """The deliverable tables, each with its own schema."""
-        for name in ("spells", "excluded", "quarantine", "revenue", "reactivation"):
-            write_table(getattr(self, name), f"{folder}/{name}")
-
 
 def build_marts(
     staged: DataFrame, members: DataFrame, params: Params, folder: str

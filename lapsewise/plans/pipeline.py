@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.config import DEFAULT, Params
@@ -37,6 +40,24 @@ class Run:
     def log_path(self) -> str:
         return self.path("validation_log")
 
+    def write(self, name: str, df: DataFrame) -> None:
+        write_table(df, self.path(name))
+
+    def write_together(self, tables: dict[str, Callable[[], DataFrame]]) -> None:
+        """Independent outputs as concurrent jobs, so that the tail of one does not
+        leave the executors idle. The first failure is raised."""
+
+        def job(name: str) -> Callable[[], None]:
+            @inheritable_thread_target(self.spark)
+            def go() -> None:
+                self.write(name, tables[name]())
+
+            return go
+
+        with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+            for done in [pool.submit(job(name)) for name in tables]:
+                done.result()
+
     def timed(self, stage: str, work):
         began = time.perf_counter()
         result = work()
@@ -44,13 +65,6 @@ class Run:
         return result
 
 
-def _write_counted(df: DataFrame, path: str, *metrics: Column) -> dict[str, int]:
-    """Write, and count the written rows (and more) in the same job."""
-    seen = Observation()
-    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics), path)
-    return seen.get
-
-
 def _one_row(spark: SparkSession, figures: dict[str, int]) -> DataFrame:
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in figures.items()])
 
@@ -58,53 +72,47 @@ def _one_row(spark: SparkSession, figures: dict[str, int]) -> DataFrame:
 def stage(run: Run, raw_transactions: DataFrame, raw_members: DataFrame) -> None:
     """Land the typed rows once, check them, then publish staged and quarantine.
 
-    The raw files are parsed a single time. Nothing is published unless the whole
-    landed table passes.
+    The raw files are parsed a single time, and nothing is published unless the whole
+    landed table passes. Counts are read back from the written tables: counting in
+    the writing job would take its rows out of generated code.
     """
     spark, params = run.spark, run.params
-    dated = ingest.date_transactions(raw_transactions)
-    sentinel = F.count_if(F.col("membership_expire_date") == F.lit(params.epoch_sentinel))
-    sentinels = Observation()
-    observed = dated.observe(sentinels, sentinel.alias("nulled"))
-    tagged = ingest.tag_quarantine(ingest.transform_transactions(observed, params))
     reason = F.col("quarantine_reason")
-    landed_counts = _write_counted(
-        tagged,
-        run.path("landed"),
-        F.count(reason).alias("quarantined"),
-        *checks.date_figures(params, reason.isNull()),
-    )
-    figures = {
-        k: v for k, v in landed_counts.items() if k not in ("rows", "quarantined")
-    }
-    run_checks(
-        STAGED,
-        [Check("date_sanity", checks.date_verdict(_one_row(spark, figures)))],
-        run.log_path,
+    run.write(
+        "landed", ingest.tag_quarantine(ingest.transform_transactions(raw_transactions, params))
     )
-
     landed = run.table("landed")
+    figures = landed.agg(
+        F.count("*").alias("raw_rows"),
+        *checks.date_figures(params, reason.isNull()),
+    ).first().asDict()
+    raw_rows = figures.pop("raw_rows")
+    dates = checks.date_verdict(_one_row(spark, figures))
+    run_checks(STAGED, [Check("date_sanity", dates)], run.log_path)
+
     clean = landed.filter(reason.isNull()).select(*TRANSACTION_COLUMNS)
-    staged = _write_counted(ingest.deduplicate(clean), run.path("transactions"))
-    bad = _write_counted(
-        landed.filter(reason.isNotNull()), run.path("transactions_quarantine")
-    )
-    raw_seen = Observation()
-    counted = raw_members.observe(raw_seen, F.count(F.lit(1)).alias("rows"))
-    members = _write_counted(ingest.stage_members(counted), run.path("members"))
-    member_counts = _one_row(
-        spark, {"raw_rows": raw_seen.get["rows"], "staged_rows": members["rows"]}
+    run.write_together(
+        {
+            "transactions": lambda: ingest.deduplicate(clean),
+            "transactions_quarantine": lambda: landed.filter(reason.isNotNull()),
+            "members": lambda: ingest.stage_members(raw_members),
+        }
     )
+
+    staged, members = run.table("transactions"), run.table("members")
+    staged_rows = staged.count()
     counts = _one_row(
         spark,
         {
-            "raw_rows": landed_counts["rows"],
-            "staged_rows": staged["rows"],
-            "quarantined": bad["rows"],
-            "duplicates": figures["rows_checked"] - staged["rows"],
-            "sentinels_nulled": sentinels.get["nulled"],
+            "raw_rows": raw_rows,
+            "staged_rows": staged_rows,
+            "quarantined": run.table("transactions_quarantine").count(),
+            "duplicates": figures["rows_checked"] - staged_rows,
         },
     )
+    member_counts = _one_row(
+        spark, {"raw_rows": raw_members.count(), "staged_rows": members.count()}
+    )
     run_checks(
         STAGED,
         [
@@ -118,12 +126,8 @@ def stage(run: Run, raw_transactions: DataFrame, raw_members: DataFrame) -> None
                 "row_count_reconciliation",
                 checks.row_count_reconciliation(member_counts, "raw_rows", "staged_rows", []),
             ),
-            Check("unique_members", checks.unique_key(run.table("members"), ["msno"])),
-            Check(
-                "price_reconciliation",
-                checks.price_reconciliation(run.table("transactions"), params),
-                checks.WARN,
-            ),
+            Check("unique_members", checks.unique_key(members, ["msno"])),
+            Check("price_reconciliation", checks.price_reconciliation(staged, params), checks.WARN),
         ],
         run.log_path,
     )
@@ -143,54 +147,64 @@ def marts(run: Run) -> Marts:
         ],
         run.log_path,
     )
-    built.write(run.folder)
+    run.write_together({name: lambda n=name: getattr(built, n) for name in Marts.TABLES})
     return built
 
 
 def fit_survival(run: Run, built: Marts) -> None:
-    """Pooled, stratum and cohort curves in one job; both ends of the bracket."""
-    params = run.params
-    curves = survival.fit_by(built.spells, ["plan_type", "cohort_month"], params)
-    write_table(curves, run.path("curves"))
-    stored = run.table("curves")
-    keys = ["grouping", "level"]
-    write_table(survival.describe_curves(stored, keys, params), run.path("curve_summary"))
-    at = survival.survival_at(
-        stored.filter(F.col("grouping") == "plan_type"), ["level"], params.km_horizons
-    )
-    write_table(
-        survival.crossing_check(survival.crossing_differences(at, "level")),
-        run.path("crossings"),
-    )
-    write_table(survival.truncation_profile(built.spells), run.path("truncation_profile"))
-    write_table(
-        survival.incident_only_check(built.spells, "01_<=7d", "02_8-31d", params),
-        run.path("incident_check"),
-    )
-    write_table(
-        survival.exclusion_bracket(survival.exclusion_curves(built.subjects, params), params),
-        run.path("exclusion_bracket"),
+    """Pooled, stratum and cohort curves in one job; then everything read from them,
+    beside the comparisons that need fits of their own."""
+    params, keys = run.params, ["grouping", "level"]
+    run.write_together(
+        {
+            "curves": lambda: survival.fit_by(built.spells, ["plan_type", "cohort_month"], params),
+            "truncation_profile": lambda: survival.truncation_profile(built.spells),
+            "incident_check": lambda: survival.incident_only_check(
+                built.spells, "01_<=7d", "02_8-31d", params
+            ),
+            "exclusion_bracket": lambda: survival.exclusion_bracket(
+                survival.exclusion_curves(built.subjects, params), params
+            ),
+            "channel_sensitivity": lambda: survival.value_exclusion_sensitivity(
+                built.spells, "registered_via", params.sensitivity_channel, params
+            ),
+        }
     )
-    write_table(
-        survival.value_exclusion_sensitivity(
-            built.spells, "registered_via", params.sensitivity_channel, params
-        ),
-        run.path("channel_sensitivity"),
+    curves = run.table("curves")
+
+    def crossings() -> DataFrame:
+        by_plan = curves.filter(F.col("grouping") == "plan_type")
+        at = survival.survival_at(by_plan, ["level"], params.km_horizons)
+        return survival.crossing_check(survival.crossing_differences(at, "level"))
+
+    run.write_together(
+        {
+            "curve_summary": lambda: survival.describe_curves(curves, keys, params),
+            "crossings": crossings,
+        }
     )
 
 
 def lifetime_value(run: Run, built: Marts) -> None:
-    report = ltv.ltv_report(built.subjects, built.reactivation, run.params)
-    write_table(report, run.path("ltv"))
-    write_table(ltv.clock_sensitivity(run.table("ltv")), run.path("clock_sensitivity"))
+    run.write("ltv", ltv.ltv_report(built.subjects, built.reactivation, run.params))
+    run.write("clock_sensitivity", ltv.clock_sensitivity(run.table("ltv")))
 
 
 def run_backtest(run: Run, built: Marts) -> None:
-    cells = backtest.backtest_cells(built.spells, run.params.backtest_horizons, run.params)
-    write_table(cells, run.path("backtest_cells"))
-    stored = run.table("backtest_cells")
-    write_table(backtest.backtest_overall(stored), run.path("backtest_overall"))
-    write_table(backtest.backtest_by_stratum(stored), run.path("backtest_by_stratum"))
+    params = run.params
+    run.write(
+        "backtest_cells", backtest.backtest_cells(built.spells, params.backtest_horizons, params)
+    )
+    cells = run.table("backtest_cells")
+    run.write_together(
+        {
+            "backtest_overall": lambda: backtest.backtest_overall(cells),
+            "backtest_by_stratum": lambda: backtest.backtest_by_stratum(cells),
+            "truncation_error": lambda: backtest.truncation_error(cells, params, ["horizon"]),
+            "truncation_quartiles": lambda: backtest.truncation_quartiles(cells),
+            "worst_cells": lambda: backtest.worst_cells(cells),
+        }
+    )
 
 
 def run_pipeline(
