@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from lapsewise.config import DEFAULT, Params
 from lapsewise.functions import days_between
-from lapsewise.operators.survival import fit_curves, rmst, survival_at
+from lapsewise.operators.survival import fit_curves, score_curves
 
 
 def censor_at(spells: DataFrame, fit_end: date) -> DataFrame:
@@ -41,15 +41,11 @@ def eligible_cohorts(
     """Cohorts whose whole horizon lies before as_of, one row per cohort and horizon."""
     return starts.withColumn(
         "horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))
-    ).filter(days_between("cohort_start", F.lit(as_of)) >= F.col("horizon"))
+    ).filter(_followed(as_of))
 
 
-def _score(curves: DataFrame, keys: list[str], horizons: tuple[int, ...], prefix: str) -> DataFrame:
-    at = survival_at(curves, keys, horizons).select(
-        *keys, "horizon", F.col("survival").alias(f"{prefix}_s")
-    )
-    areas = rmst(curves, keys, horizons).withColumnRenamed("rmst", f"{prefix}_rmst")
-    return at.join(areas, [*keys, "horizon"])
+def _followed(as_of: date) -> Column:
+    return days_between("cohort_start", F.lit(as_of)) >= F.col("horizon")
 
 
 def backtest_cells(
@@ -58,22 +54,25 @@ def backtest_cells(
     """One row per horizon, cohort and stratum: the stratum's forecast fitted on the
     censored view against the cell's own curve on the full data."""
     known = censor_at(spells, params.fit_window_end)
-    forecast = _score(
-        fit_curves(known, ["plan_type"], params), ["plan_type"], horizons, "forecast"
-    )
+    forecast = score_curves(
+        fit_curves(known, ["plan_type"], params), ["plan_type"], horizons
+    ).withColumnsRenamed({"survival": "forecast_s", "rmst": "forecast_rmst"})
     cell = ["cohort_month", "plan_type"]
-    realised = _score(
-        fit_curves(spells, cell, params, params.min_cell_events), cell, horizons, "realised"
-    )
-    shares = spells.groupBy(*cell).agg(
+    realised = score_curves(
+        fit_curves(spells, cell, params, params.min_cell_events), cell, horizons
+    ).withColumnsRenamed({"survival": "realised_s", "rmst": "realised_rmst"})
+    sizes = spells.groupBy(*cell).agg(
         F.count("*").alias("n"),
         F.avg((F.col("entry_days") > 0).cast("int")).alias("truncated_share"),
+        F.min("spell_start_date").alias("cell_start"),
     )
-    eligible = eligible_cohorts(cohort_starts(spells), horizons, params.label_cutoff)
+    # A cohort starts where its first cell does.
+    start = F.min("cell_start").over(Window.partitionBy("cohort_month"))
+    shares = sizes.withColumn("cohort_start", start).drop("cell_start")
+    joined = realised.join(shares, cell)
     # One row per stratum and horizon: at most strata x horizons rows.
     return (
-        realised.join(eligible, ["cohort_month", "horizon"], "left_semi")
-        .join(shares, cell)
+        joined.filter(_followed(params.label_cutoff))
         .join(F.broadcast(forecast), ["plan_type", "horizon"])
         .select(
             "horizon", "cohort_month", "plan_type", "n", "truncated_share",

@@ -122,20 +122,42 @@ def fit_by(
 # --- reading curves ---------------------------------------------------------------
 
 
+def _first_below_half(c: str) -> Column:
+    return F.min(F.when(F.col(c) <= 0.5, F.col("t")))
+
+
+def _medians() -> list[Column]:
+    return [
+        F.max("n").alias("n"),
+        F.max("events").alias("events"),
+        _first_below_half("survival").alias("median_days"),
+        _first_below_half("lower").alias("median_lower"),
+        _first_below_half("upper").alias("median_upper"),
+    ]
+
+
 def median_survival(curve: DataFrame, keys: list[str]) -> DataFrame:
     """First day with S at or below one half, and the same on each band edge. NULL
     means never reached."""
+    return curve.groupBy(*keys).agg(*_medians())
 
-    def first_below(c: str) -> Column:
-        return F.min(F.when(F.col(c) <= 0.5, F.col("t")))
 
-    return curve.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        F.max("events").alias("events"),
-        first_below("survival").alias("median_days"),
-        first_below("lower").alias("median_lower"),
-        first_below("upper").alias("median_upper"),
-    )
+def _per_horizon(df: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    return df.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+
+
+def _last_point(horizon: Column) -> Column:
+    """The curve's row at the last day at or before horizon."""
+    point = F.struct("t", "survival", "lower", "upper", "at_risk")
+    return F.max(F.when(F.col("t") <= horizon, point))
+
+
+def _survival_of(point: str) -> Column:
+    return F.coalesce(F.col(f"{point}.survival"), F.lit(1.0))
+
+
+def _at_risk_of(point: str) -> Column:
+    return F.coalesce(F.col(f"{point}.at_risk"), F.lit(0))
 
 
 def survival_at(
@@ -145,21 +167,15 @@ def survival_at(
 
     Before a group's first day S is 1 and nobody is at risk.
     """
-    latest = F.max(
-        F.when(
-            F.col("t") <= F.col("horizon"),
-            F.struct("t", "survival", "lower", "upper", "at_risk"),
-        )
-    )
     return (
-        curve.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+        _per_horizon(curve, horizons)
         .groupBy(*keys, "horizon")
-        .agg(latest.alias("last"))
+        .agg(_last_point(F.col("horizon")).alias("last"))
         .select(
             *keys,
             "horizon",
-            F.coalesce("last.survival", F.lit(1.0)).alias("survival"),
-            F.coalesce("last.at_risk", F.lit(0)).alias("at_risk"),
+            _survival_of("last").alias("survival"),
+            _at_risk_of("last").alias("at_risk"),
             "last.lower",
             "last.upper",
         )
@@ -170,31 +186,49 @@ def describe_curves(
     curve: DataFrame, keys: list[str], params: Params = DEFAULT
 ) -> DataFrame:
     """One row per curve: n, events, median with interval, S and at-risk by horizon."""
-    at = survival_at(curve, keys, params.km_horizons)
-    wide = at.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("horizon") == h, F.col(c))).alias(f"{short}_{h}")
-            for h in params.km_horizons
-            for c, short in (("survival", "s"), ("at_risk", "at_risk"))
-        ]
+    points = {h: f"last_{h}" for h in params.km_horizons}
+    read = curve.groupBy(*keys).agg(
+        *_medians(), *[_last_point(F.lit(h)).alias(name) for h, name in points.items()]
+    )
+    wide = []
+    for h, name in points.items():
+        wide += [_survival_of(name).alias(f"s_{h}"), _at_risk_of(name).alias(f"at_risk_{h}")]
+    return read.select(
+        *keys, "n", "events", "median_days", "median_lower", "median_upper", *wide
     )
-    return median_survival(curve, keys).join(wide, keys)
 
 
-def rmst(curve: DataFrame, keys: list[str], horizons: tuple[int, ...]) -> DataFrame:
-    """Area under the step curve up to each horizon, S=1 before the first day and
-    flat after the last."""
+def _steps(curve: DataFrame, keys: list[str], *columns: str) -> DataFrame:
     by_day = _group(keys).orderBy("t")
-    steps = curve.select(
-        *keys, "t", "survival",
+    return curve.select(
+        *keys, "t", "survival", *columns,
         F.lead("t").over(by_day).alias("next_t"),
         (F.row_number().over(by_day) == 1).alias("is_first"),
-    ).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    )
+
+
+def _area() -> Column:
     h = F.col("horizon")
     width = F.greatest(F.least(F.coalesce("next_t", h), h) - F.col("t"), F.lit(0))
     leading = F.when(F.col("is_first"), F.least("t", h)).otherwise(0)
-    return steps.groupBy(*keys, "horizon").agg(
-        F.sum(F.col("survival") * width + leading).alias("rmst")
+    return F.sum(F.col("survival") * width + leading)
+
+
+def rmst(curve: DataFrame, keys: list[str], horizons: tuple[int, ...]) -> DataFrame:
+    """Area under the step curve up to each horizon, S=1 before the first day and
+    flat after the last."""
+    steps = _per_horizon(_steps(curve, keys), horizons)
+    return steps.groupBy(*keys, "horizon").agg(_area().alias("rmst"))
+
+
+def score_curves(curve: DataFrame, keys: list[str], horizons: tuple[int, ...]) -> DataFrame:
+    """S and RMST together, so that the curves are built once."""
+    steps = _steps(curve, keys, "lower", "upper", "at_risk")
+    return (
+        _per_horizon(steps, horizons)
+        .groupBy(*keys, "horizon")
+        .agg(_last_point(F.col("horizon")).alias("last"), _area().alias("rmst"))
+        .select(*keys, "horizon", _survival_of("last").alias("survival"), "rmst")
     )
 
 

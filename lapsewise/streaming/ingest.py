@@ -18,19 +18,23 @@ def ingest_stream(
 ) -> None:
     """Drain a stream of raw transactions into folder, then stop.
 
-    Each batch is landed under its own batch id, so that a batch repeated after a
-    failure replaces itself. A batch whose clean rows fail the check raises before
-    its marker is committed, which stops the stream.
+    A batch is checked first and lands only if it passes; otherwise it raises, which
+    stops the stream. Each batch lands under its own batch id, so that one repeated
+    after a failure replaces itself.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
         tagged = tag_quarantine(transform_transactions(batch, params)).withColumn(
             "quarantined", F.col("quarantine_reason").isNotNull().cast("int")
-        )
-        path = f"{folder}/landed/batch_id={batch_id}"
-        tagged.write.mode("overwrite").partitionBy("quarantined").parquet(path)
-        clean = batch.sparkSession.read.parquet(path).filter(F.col("quarantined") == 0)
-        run_checks(STAGE, [Check("date_sanity", date_sanity(clean, params))], log_path)
+        ).persist()
+        try:
+            clean = tagged.filter(F.col("quarantined") == 0)
+            run_checks(STAGE, [Check("date_sanity", date_sanity(clean, params))], log_path)
+            tagged.write.mode("overwrite").partitionBy("quarantined").parquet(
+                f"{folder}/landed/batch_id={batch_id}"
+            )
+        finally:
+            tagged.unpersist()
 
     query = (
         raw.writeStream.foreachBatch(land)
