@@ -6,7 +6,7 @@ BENCH_COPIES   every user this many times over, as different users, in the pipel
                run (default 1; 81 at sf0.1 is about 21.5 million transactions),
                measured once after a warm-up on the plain tables
 BENCH_QUERIES  comma-separated query names, or "none" (default: the headline list)
-BENCH_RUNS     measured runs after one warm-up; the median counts (default 3)
+BENCH_RUNS     measured runs after one warm-up; the median counts (default 2)
 
 The pipeline reads raw CSV files written beforehand, untimed, and writes every table.
 Queries go to a noop sink, so that every column is computed and nothing is collected.
@@ -88,7 +88,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     copies = int(os.environ.get("BENCH_COPIES", "1"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     wanted = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE))
     names = [] if wanted == "none" else wanted.split(",")
     # A partition should hold a few hundred thousand rows.
