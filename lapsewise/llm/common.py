@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +32,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches are bounded by bytes as well as rows: a table of very long texts
-    must not make a batch that a Python worker cannot hold."""
+_shipped: set[str] = set()
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Hand this package to the executors, and bound Arrow batches by bytes as well as
+    rows: a table of very long texts must not make a batch a worker cannot hold."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        if (root / "lapsewise").is_dir():  # not when it runs from an archive already
+            folder = tempfile.mkdtemp(prefix="lapsewise-code-")
+            with zipfile.ZipFile(f"{folder}/lapsewise_code.zip", "w") as archive:
+                for file in sorted((root / "lapsewise").rglob("*.py")):
+                    archive.write(file, file.relative_to(root))
+            spark.sparkContext.addPyFile(f"{folder}/lapsewise_code.zip")
+        _shipped.add(app)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("-1", str(2**31 - 1), f"{2**31 - 1}b"):
         spark.conf.set(key, str(MAX_BATCH_BYTES))
@@ -50,7 +66,7 @@ def append_columns(
 ) -> DataFrame:
     """df with columns made from each Arrow batch. A column of df that has the name of
     a new one is replaced, after make has seen it."""
-    small_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     names = [name for name, _ in fields]
     kept = without(df, *names)
     schema = StructType(
