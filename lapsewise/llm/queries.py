@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, quality
-from lapsewise.llm.common import table
+from lapsewise.llm import bpe, langid, packing, quality
+from lapsewise.llm.common import fold, table
+from lapsewise.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,7 +36,33 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(pieces_of(docs)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def pieces_of(docs: DataFrame) -> DataFrame:
+    """The cut documents with a checksum in place of their ids, as a written table."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.cut(packing.tokenise(docs, path).drop("text"))
+    checked = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return materialise(checked, "pieces")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 4) == 2
+    model = langid.fit(docs.filter(~held_out))
+    return langid.identify(docs.drop("lang"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_language_id": op10_language_id,
 }
