@@ -8,13 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, langid, packing, quality
+from lapsewise.llm import bpe, langid, packing, quality, sharding
 from lapsewise.llm.common import fold, table
 from lapsewise.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = materialise(sharding.weigh(docs, keep=("doc_id",)), "weighed")
+    placed = materialise(sharding.shard(rows), "sharded")
+    return sharding.number_slots(placed, ["doc_id", "text_crc32"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select(
@@ -61,6 +71,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_sharding": op2_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
