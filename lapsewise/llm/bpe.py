@@ -30,7 +30,7 @@ from pyspark.sql.types import BinaryType
 
 from lapsewise.llm.common import append_columns
 
-MEMO_ENTRIES = 300_000  # entries of a worker's memo before it is begun anew
+MEMO_ENTRIES = 200_000  # entries of a worker's memo before it is begun anew
 FAR = 1 << 62
 
 

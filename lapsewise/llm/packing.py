@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from lapsewise.llm.bpe import MEMO_ENTRIES
 from lapsewise.llm.common import append_columns, prepare_workers, without
 
 LENGTH = 4096
 BLOCK_PIECES = 8192
+MEMO_ENTRIES = 300_000  # of a worker, before it begins anew
 STRETCHES_AT_ONCE = 50_000
 ENCODED_AT_ONCE = 1000
 
