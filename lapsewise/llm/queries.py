@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, langid, packing, quality, setsketch, sharding
+from lapsewise.llm import bpe, langid, packing, quality, setsketch, sharding, toxicity
 from lapsewise.llm.common import fold, table
 from lapsewise.session import materialise
 
@@ -25,6 +25,16 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = fold("doc_id", 3) == 1
+    model = toxicity.fit(docs, labels.filter(~held_out))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", "finds"
+    )
+
+
 def op5_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -76,6 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
+    "op4_toxicity": op4_toxicity,
     "op5_setsketch_near_dedup": op5_setsketch_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
