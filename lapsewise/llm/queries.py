@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, langid, packing, quality, setsketch, sharding, toxicity
+from lapsewise.llm import bpe, langid, packing, quality, setsketch, sharding, toxicity, wrappers
 from lapsewise.llm.common import fold, table
 from lapsewise.session import materialise
 
@@ -39,6 +39,14 @@ def op5_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = materialise(wrappers.infer(pages), "page-wrappers")
+    return wrappers.extract(pages, found).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select(
@@ -88,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_setsketch_near_dedup": op5_setsketch_near_dedup,
+    "op6_html_wrappers": op6_html_wrappers,
     "op7_quality_rules": op7_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
