@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, langid, packing, quality, setsketch, sharding, toxicity, wrappers
+from lapsewise.llm import bpe, langid, ngram_bloom, packing, quality, setsketch, sharding, toxicity, wrappers
 from lapsewise.llm.common import fold, table
 from lapsewise.session import materialise
 
@@ -25,6 +25,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_bloom.score(docs, F.coalesce(fold("doc_id", 7) == 2, F.lit(False)))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -94,6 +99,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
+    "op3_ngram_bloom": op3_ngram_bloom,
     "op4_toxicity": op4_toxicity,
     "op5_setsketch_near_dedup": op5_setsketch_near_dedup,
     "op6_html_wrappers": op6_html_wrappers,
