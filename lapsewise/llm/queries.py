@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, langid, ngram_bloom, packing, quality, setsketch, sharding, toxicity, wrappers
+from lapsewise.llm import bpe, langid, ngram_bloom, nndescent, packing, quality, setsketch, sharding, toxicity, wrappers
 from lapsewise.llm.common import fold, table
 from lapsewise.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = materialise(sharding.weigh(docs, keep=("doc_id",)), "weighed")
@@ -98,6 +102,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_nn_descent": op1_nn_descent,
     "op2_sharding": op2_sharding,
     "op3_ngram_bloom": op3_ngram_bloom,
     "op4_toxicity": op4_toxicity,
