@@ -12,7 +12,8 @@ Minima are exponentially spaced, so registers of a union are the larger of the r
 3. In each bucket everyone is compared with the smallest and the largest member. What the
    joint likelihood of two sketches does not rule out is compared on full texts.
 4. Links found so far give components. Buckets that still hold several components compare
-   all pairs across components, in blocks of bounded size, sketches first, then texts.
+   the sketches of all pairs across components, in blocks of bounded size. What they join
+   forms clusters, whose members are compared on full texts, in blocks again.
 
 So no link between components is missed within a bucket, a group of thousands of copies
 costs a few comparisons for each copy, and no task holds an unbounded group.
@@ -201,45 +202,85 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return append_columns(both, [("linked", BooleanType())], make).filter("linked").select("a", "b")
 
 
-def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within buckets, by blocks of a bucket's members.
+class Merged:
+    """Components within one task, joined as links are found."""
 
-    rows: bucket, rep, n, registers, component, members (of the bucket). A member goes
-    to every pair of blocks that holds its own; a group has two blocks' rows at most.
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart until now."""
+        x, y = self.root(x), self.root(y)
+        self.above[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, members, rep, ...) for every pair of blocks that holds their own: a
+    group of blocks has the rows of two blocks at most."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(
+        F.col(group).alias("grp"), F.least("mine", "other").alias("low"),
+        F.greatest("mine", "other").alias("high"), "mine",
+        *[c for c in rows.columns if c not in (group, "members")],
+    )
+
+
+def across(rows: DataFrame, group: str, percent: int, exact: bool) -> DataFrame:
+    """Pairs (a, b) that join different components within groups, by pairs of blocks.
+
+    rows: group, members (of the group), rep, n, registers, component; with exact also
+    text. Sketches are compared first. Without exact, pairs they do not rule out count;
+    with exact, only pairs whose full sets reach the threshold. Of the pairs found in a
+    block, those are returned that join what was apart: enough for components, and no
+    more than there are rows.
     """
     prepare_workers(rows.sparkSession)
     threshold = percent / 100
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn(
-        "mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    )
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns(
-        {"low": F.least("mine", "other"), "high": F.greatest("mine", "other")}
-    ).select("bucket", "low", "high", "mine", "rep", "n", "registers", "component")
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, low, high = (k.as_py() for k in key)
-        data = b"".join(table.column("registers").to_pylist())
-        regs = np.frombuffer(data, np.uint16).reshape(table.num_rows, REGISTERS)
+        regs = _rows(table, "registers")
         rep, n, part, mine = (
             table.column(c).to_numpy() for c in ("rep", "n", "component", "mine")
         )
-        ones, twos = [], []
+        sets: dict[int, np.ndarray] = {}
+
+        def linked(i: int, j: int) -> bool:
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingles(table.column("text")[k].as_py())
+            return similar(sets[i], sets[j], percent)
+
+        merged, ones, twos = Merged(), [], []
         everyone = np.arange(len(rep))
         for i in everyone[mine == low]:
             # Within one block each pair once; across blocks every pair once.
             js = everyone[i + 1 :] if low == high else everyone[mine == high]
             js = js[part[js] != part[i]]
-            if len(js):
-                js = js[~ruled_out(regs[js], regs[i], n[js], n[i], threshold)]
-                ones += [rep[i]] * len(js)
-                twos += rep[js].tolist()
-        ones, twos = np.array(ones, np.int64), np.array(twos, np.int64)
-        return pa.table({"a": np.maximum(ones, twos), "b": np.minimum(ones, twos)})
+            # Half the registers equal or fewer: far beyond what UNLIKELY demands.
+            js = js[(regs[js] == regs[i]).sum(axis=1) > REGISTERS // 2] if len(js) else js
+            if len(js) == 0:
+                continue
+            js = js[~ruled_out(regs[js], regs[i], n[js], n[i], threshold)]
+            for j in js.tolist():
+                x, y = int(part[i]), int(part[j])
+                if merged.root(x) != merged.root(y) and (not exact or linked(int(i), j)):
+                    merged.join(x, y)
+                    ones.append(int(rep[i]))
+                    twos.append(int(rep[j]))
+        return pa.table({"a": pa.array(ones, pa.int64()), "b": pa.array(twos, pa.int64())})
 
     schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(compare, schema).distinct()
+    return _dealt(rows, group).groupBy("grp", "low", "high").applyInArrow(compare, schema)
 
 
 def near_duplicates(
@@ -285,11 +326,22 @@ def near_duplicates(
         marked.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
         .filter("x < y").select("bucket"), "mixed",
     )
-    rows = marked.join(mixed, "bucket").join(reps.select("rep", "registers"), "rep")
-    more = verify(
-        materialise(across(rows, percent), "across"), _texts_of(texts, classes), percent
-    )
-    more = materialise(more, "links")
+    sketches = reps.select("rep", "registers")
+    rows = marked.join(mixed, "bucket").join(sketches, "rep")
+    # Clusters of what sketches alone would join hold every link that is still missing.
+    # A block's components are joined here, so each cluster's own are linked with them.
+    maybe = materialise(across(rows, "bucket", percent, exact=False), "across")
+    kin = marked.select(F.col("rep").alias("a"), F.col("component").alias("b")).filter("a != b")
+    cluster = materialise(
+        components(maybe.unionByName(kin.distinct())), "clusters"
+    ).withColumnRenamed("component", "cluster").withColumnRenamed("node", "rep")
+    met_again = marked.select("rep", "n", "component").distinct().join(cluster, "rep")
+    open_ = met_again.groupBy("cluster").agg(
+        F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")
+    ).filter("x < y").select("cluster", "members")
+    rows = materialise(met_again.join(open_, "cluster"), "open")
+    rows = rows.join(sketches, "rep").join(_texts_of(texts, rows), "rep")
+    more = materialise(across(rows, "cluster", percent, exact=True), "links")
     part = materialise(components(links.unionByName(more)), "components")
 
     found = sketched.select("key", "n_shingles", "digest").join(classes, "digest", "left")
@@ -302,7 +354,7 @@ def near_duplicates(
 
 
 def _texts_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """One text for every representative."""
+    """One text for every representative of classes."""
     return texts.join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
 
 
