@@ -15,9 +15,11 @@ P(w | h) = (1 - u) c(h w) / c(h) + u P(w), with u the Good-Turing chance that a
 following h has not followed it before, for h's frequency class; P(w) leaves the share
 of single words to the unknown word. Both are estimated on training texts.
 
-Exact word counts reach the texts without a row per word and text: texts are dealt into
-blocks of about ``BLOCK_BYTES``, the distinct words of every block are joined with the
-counts, and block and dictionary meet in one task.
+Texts are tokenised once, into blocks of about ``BLOCK_TOKENS``: a block is one row with its
+distinct words and every token as an index into them. The words of all blocks meet their
+exact counts in one shuffle, as one row per block and word rather than per text and word,
+and come back as one array of counts per block. Texts are never shuffled, and no task
+holds more than a block or a segment.
 
 Nulls and odd input: a null or empty text is its end token alone. Rows are scored each for
 itself, also repeated ones. Without training texts every word is unknown, N and V are 0.
@@ -26,38 +28,39 @@ Columns with the names of output columns are replaced.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
+    ArrayType,
     BinaryType,
+    BooleanType,
     DoubleType,
     LongType,
     StructField,
     StructType,
 )
 
-from lapsewise.llm.bpe import Memo
-from lapsewise.llm.common import append_columns, prepare_workers, without
+from lapsewise.llm.common import append_columns, prepare_workers
 from lapsewise.session import materialise
 
 END = b"\n"  # no word holds white space
-BLOCK_BYTES = 8 << 20
+BLOCK_TOKENS = 500_000
 SEGMENT_KEYS = 1 << 20
 PART_BYTES = 128 << 20
+PIECE_BYTES = 16 << 20  # what the driver holds of a part at a time
 BITS, PROBES = 10, 7  # per entry: about 0.8 % false positives
 HELD = 1 << 21  # n-grams a task gathers before it hands them on
-SAMPLE_ROWS = 1000
+SAMPLE_BLOCKS = 2
 CLASSES = 40  # of context frequency, by powers of two
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
-_codes = Memo(xxhash.xxh64_intdigest, 400_000)
+END_CODE = np.uint64(xxhash.xxh64_intdigest(END))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -67,10 +70,16 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
-def bigrams(words: list[bytes]) -> np.ndarray:
-    """A 64-bit key for each token with the one before it; the first follows an end."""
-    codes = np.array(list(map(_codes.__getitem__, [END, *words])), np.uint64)
-    mixed = (codes[:-1] * _MIX) ^ (codes[1:] + (codes[:-1] >> np.uint64(7)))
+def word_codes(words: list[bytes]) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64)
+
+
+def bigrams(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each token with the one before it. starts marks the first token
+    of every text, which follows an end."""
+    before = np.roll(codes, 1)
+    before[starts] = END_CODE
+    mixed = (before * _MIX) ^ (codes + (before >> np.uint64(7)))
     mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX2
     return mixed ^ (mixed >> np.uint64(29))
 
@@ -139,8 +148,8 @@ def _unpack(data: bytes) -> np.ndarray:
 PACKED = "segment int, keys binary, counts binary"
 
 
-def _packed_counts(training: DataFrame, text: str, segments: int) -> DataFrame:
-    """Each task's n-gram counts, one row per segment and gathered batch."""
+def _packed_counts(blocks: DataFrame, segments: int) -> DataFrame:
+    """Each task's n-gram counts of training texts, one row per segment and batch."""
 
     def hand_on(gathered):
         keys, counts = np.unique(np.concatenate(gathered), return_counts=True)
@@ -157,8 +166,9 @@ def _packed_counts(training: DataFrame, text: str, segments: int) -> DataFrame:
     def run(batches):
         gathered, size = [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                gathered.append(bigrams(tokens(t)))
+            for row in batch.to_pylist():
+                block = Block(row)
+                gathered.append(block.keys()[~np.repeat(block.held, block.lengths)])
                 size += len(gathered[-1])
                 if size >= HELD:
                     yield hand_on(gathered)
@@ -166,11 +176,11 @@ def _packed_counts(training: DataFrame, text: str, segments: int) -> DataFrame:
         if gathered:
             yield hand_on(gathered)
 
-    prepare_workers(training.sparkSession)
-    return training.select(text).mapInArrow(run, PACKED)
+    prepare_workers(blocks.sparkSession)
+    return blocks.select("words", "tokens", "lengths", "held").mapInArrow(run, PACKED)
 
 
-def build_filter(training: DataFrame, n_tokens: int, text: str = "text") -> DataFrame:
+def build_filter(blocks: DataFrame, n_tokens: int) -> DataFrame:
     """The filter's table: segment, bits. n_tokens sizes the segments."""
     segments = max(1, -(-n_tokens // SEGMENT_KEYS))
 
@@ -185,7 +195,7 @@ def build_filter(training: DataFrame, n_tokens: int, text: str = "text") -> Data
                          "bits": pa.array([bits], pa.binary()),
                          "bytes": pa.array([len(bits)], pa.int64())})
 
-    packed = _packed_counts(training, text, segments)
+    packed = _packed_counts(blocks, segments)
     built = packed.groupBy("segment").applyInArrow(
         combine, "segment int, segments int, bits binary, bytes long"
     )
@@ -210,84 +220,154 @@ class Part:
         return out
 
 
-def parts_of(table: DataFrame, part_bytes: int = PART_BYTES):
-    """The filter's parts, one after the other; each is collected when it is its turn."""
+def pieces_of(table: DataFrame):
+    """The filter in pieces that the driver holds one at a time."""
     sizes = table.select("segment", "segments", "bytes").orderBy("segment").collect()
     wanted, size = [], 0
     for k, row in enumerate(sizes):
         wanted.append(row["segment"])
         size += row["bytes"]
-        if size >= part_bytes or k == len(sizes) - 1:
+        if size >= PIECE_BYTES or k == len(sizes) - 1:
             rows = table.filter(F.col("segment").between(wanted[0], wanted[-1]))
-            bits = {r["segment"]: bytes(r["bits"]) for r in rows.select("segment", "bits").collect()}
-            yield Part(row["segments"], bits), k == len(sizes) - 1
+            bits = {r["segment"]: r["bits"] for r in rows.select("segment", "bits").collect()}
+            yield Part(row["segments"], bits), size
             wanted, size = [], 0
 
 
-def probe(df: DataFrame, table: DataFrame, text: str, part_bytes: int = PART_BYTES) -> DataFrame:
-    """df with levels: the quantised count of every token's bigram, one byte each."""
-    spark = df.sparkSession
-    df = without(df, "levels").withColumn("levels", F.lit(None).cast("binary"))
-    for part, last in parts_of(table, part_bytes):
-        shared = spark.sparkContext.broadcast(part)
+def broadcasts_of(table: DataFrame, part_bytes: int):
+    """Lists of broadcast pieces, each list at most about part_bytes."""
+    context = table.sparkSession.sparkContext
+    held, size = [], 0
+    for piece, more in pieces_of(table):
+        if held and size + more > part_bytes:
+            yield held
+            held, size = [], 0
+        held.append(context.broadcast(piece))
+        size += more
+    yield held
+
+
+def probe(blocks: DataFrame, table: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(block, tokens, lengths, held, keys, levels): the quantised count of every token's
+    bigram, one byte each. A written table, made in one pass per part of the filter."""
+    kept = ["block", "tokens", "lengths", "held", "key"]
+    df = blocks.withColumn("levels", F.lit(None).cast("binary"))
+    for shared in broadcasts_of(table, part_bytes):
 
         def make(batch, shared=shared):
-            keys = [bigrams(tokens(t)) for t in batch.column(text).to_pylist()]
-            if not keys:
-                return [pa.array([], pa.binary())]
-            found = shared.value.levels(np.concatenate(keys))
-            out, start = [], 0
-            for k, before in zip(keys, batch.column("levels").to_pylist(), strict=True):
-                own = found[start : start + len(k)]
-                if before is not None:
-                    own = np.maximum(own, np.frombuffer(before, np.uint8))
-                out.append(own.tobytes())
-                start += len(k)
+            out = []
+            for row in batch.select(["words", "tokens", "lengths", "held", "levels"]).to_pylist():
+                keys = Block(row).keys()
+                found = np.frombuffer(row["levels"], np.uint8) if row["levels"] else 0
+                for piece in shared:
+                    found = np.maximum(found, piece.value.levels(keys))
+                out.append(np.broadcast_to(found, len(keys)).astype(np.uint8).tobytes())
             return [pa.array(out, pa.binary())]
 
-        df = append_columns(df, [("levels", BinaryType())], make)
-        if not last:
-            df = materialise(df, "levels")
-            shared.unpersist()
-    return df
+        df = materialise(append_columns(df, [("levels", BinaryType())], make), "levels")
+        for piece in shared:
+            piece.unpersist()
+    return df.select(*kept, "levels")
 
 
-# Word counts.
+# Blocks of tokenised texts.
 
 
-def word_counts(training: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over the training texts, the end token included; a written table."""
+def pack_tokens(index: np.ndarray) -> bytes:
+    """Indices in bytes of one weight together: they compress well."""
+    return index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def run(batches):
-        for batch in batches:
-            counts: Counter = Counter()
-            for t in batch.column(0).to_pylist():
-                counts.update(tokens(t))
-            yield pa.RecordBatch.from_pydict({
-                "word": pa.array(list(counts), pa.binary()),
-                "n": pa.array(list(counts.values()), pa.int64()),
-            })
 
-    prepare_workers(training.sparkSession)
-    told = training.select(text).mapInArrow(run, "word binary, n long")
-    return materialise(told.groupBy("word").agg(F.sum("n").alias("n")), "words")
+def unpack_tokens(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1).T
+    return np.ascontiguousarray(planes).view("<u4").ravel().astype(np.int64)
 
 
-def block_words(blocked: DataFrame, text: str) -> DataFrame:
-    """(block, word): the distinct words of every block, nearly so before Spark's own
-    aggregation."""
+class Block:
+    """The arrays of one row of the table of blocks."""
+
+    def __init__(self, row: dict):
+        self.tokens = unpack_tokens(row["tokens"])
+        self.lengths = np.array(row["lengths"], np.int64)
+        self.held = np.array(row["held"], bool)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
+        self.words = row.get("words")
+
+    def keys(self) -> np.ndarray:
+        return bigrams(word_codes(self.words)[self.tokens], self.starts)
+
+
+def block_table(docs: DataFrame) -> DataFrame:
+    """docs (key, text, held_out) as a written table of blocks: words with their training
+    counts, tokens, and each text's key, length and held_out. Neighbouring texts of one
+    task share a block."""
+    kind = docs.schema["key"].dataType
+    schema = StructType([
+        StructField("words", ArrayType(BinaryType())), StructField("trained", ArrayType(LongType())),
+        StructField("tokens", BinaryType()), StructField("lengths", ArrayType(LongType())),
+        StructField("held", ArrayType(BooleanType())), StructField("key", ArrayType(kind)),
+    ])
 
     def run(batches):
-        for batch in batches:
-            seen: dict[int, set] = {}
-            for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(b, set()).update(tokens(t))
-            yield pa.RecordBatch.from_pydict({
-                "block": pa.array([b for b, w in seen.items() for _ in w], pa.int32()),
-                "word": pa.array([x for w in seen.values() for x in w], pa.binary()),
+        state: dict = {}
+
+        def begin():
+            state.update(index={}, tokens=[], lengths=[], held=[], key=[])
+
+        def finish(arrow_kind):
+            tokens_ = np.array(state["tokens"], np.int64)
+            words = list(state["index"])
+            lengths, held = np.array(state["lengths"]), np.array(state["held"], bool)
+            every = np.bincount(tokens_, minlength=len(words))
+            trained = np.bincount(tokens_[~np.repeat(held, lengths)], minlength=len(words))
+            # Frequent words get small indices.
+            order = np.argsort(-every, kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            return pa.RecordBatch.from_pydict({
+                "words": pa.array([[words[i] for i in order]], pa.list_(pa.binary())),
+                "trained": pa.array([trained[order].tolist()], pa.list_(pa.int64())),
+                "tokens": pa.array([pack_tokens(rank[tokens_])], pa.binary()),
+                "lengths": pa.array([state["lengths"]], pa.list_(pa.int64())),
+                "held": pa.array([state["held"]], pa.list_(pa.bool_())),
+                "key": pa.array([state["key"]], pa.list_(arrow_kind)),
             })
 
-    return blocked.select("block", text).mapInArrow(run, "block int, word binary").distinct()
+        begin()
+        arrow_kind = None
+        for batch in batches:
+            arrow_kind = batch.column(0).type
+            for key, text, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words, index = tokens(text), state["index"]
+                state["tokens"] += [index.setdefault(w, len(index)) for w in words]
+                state["lengths"].append(len(words))
+                state["held"].append(held)
+                state["key"].append(key)
+                if len(state["tokens"]) >= BLOCK_TOKENS:
+                    yield finish(arrow_kind)
+                    begin()
+        if state["lengths"]:
+            yield finish(arrow_kind)
+
+    prepare_workers(docs.sparkSession)
+    rows = docs.select("key", "text", "held_out").mapInArrow(run, schema)
+    return materialise(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def block_counts(blocks: DataFrame) -> DataFrame:
+    """(block, at, n, first): the exact training count of every block's word at each
+    index; first marks one row per word. A written table."""
+    told = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("at", "w"))
+    told = told.select("block", "at", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
+    # A word has at most one row per block, however frequent it is.
+    by_word = Window.partitionBy("word")
+    order = by_word.orderBy("block")
+    counted = told.select(
+        "block", "at", F.sum("n").over(by_word).alias("n"),
+        (F.row_number().over(order) == 1).alias("first"),
+        (F.col("word") == F.lit(END)).alias("end"),
+    )
+    return materialise(counted, "block-counts")
 
 
 @dataclass(frozen=True)
@@ -298,99 +378,99 @@ class Smoothing:
     fresh: tuple[float, ...]  # chance of a new successor, by class of the context's count
 
 
-def base_scores(counts: np.ndarray, n: int, v: int) -> float:
-    return float(np.log10((counts + 1) / (n + v + 1)).sum())
-
-
-def model_score(counts: np.ndarray, levels: np.ndarray, end_count: int, s: Smoothing) -> float:
-    """log10 probability of a text from its tokens' counts and bigram levels."""
+def log_chances(counts, context, levels, s: Smoothing) -> np.ndarray:
+    """log10 probability of every token from its count, its context's and their bigram's."""
     single = np.where(counts > 0, (1 - s.unknown) * counts / max(s.n, 1), s.unknown)
-    context = np.concatenate([[end_count], counts[:-1]]).astype(np.float64)
     followed = np.where(levels > 0, 2.0 ** (levels.astype(np.float64) - 1), 0.0)
     followed = np.minimum(followed, np.minimum(context, counts))
     fresh = np.array(s.fresh)[np.minimum(np.frexp(context)[1], CLASSES - 1)]
-    known = context > 0
-    chance = np.where(known, (1 - fresh) * followed / np.maximum(context, 1) + fresh * single, single)
-    return float(np.log10(chance).sum())
+    chance = (1 - fresh) * followed / np.maximum(context, 1) + fresh * single
+    return np.log10(np.where(context > 0, chance, single))
 
 
-def _fresh_by_class(sample: list[str], counts: dict[bytes, int], table: DataFrame) -> tuple:
+def _fresh_by_class(blocks: list[Block], counts: list[np.ndarray], ends: int, table) -> tuple:
     """Good-Turing: the share of tokens whose bigram occurs once, by the context's class."""
-    texts = [tokens(t) for t in sample]
-    keys = [bigrams(w) for w in texts]
-    levels = np.zeros(sum(map(len, keys)), np.uint8)
-    if len(levels):
-        joined = np.concatenate(keys)
-        for part, _ in parts_of(table):
-            levels = np.maximum(levels, part.levels(joined))
-    context = np.array([counts.get(h, 0) for w in texts for h in [END, *w[:-1]]], np.float64)
-    where = np.minimum(np.frexp(context)[1], CLASSES - 1)
-    once = np.bincount(where, levels <= 1, CLASSES)
-    every = np.bincount(where, minlength=CLASSES)
+    once, every = np.zeros(CLASSES), np.zeros(CLASSES)
+    levels = [np.zeros(len(b.tokens), np.uint8) for b in blocks]
+    keys = [b.keys() for b in blocks]
+    if blocks:
+        for piece, _ in pieces_of(table):
+            levels = [np.maximum(v, piece.levels(k)) for v, k in zip(levels, keys, strict=True)]
+    for block, count, level in zip(blocks, counts, levels, strict=True):
+        context = _contexts(count[block.tokens], block.starts, ends)
+        where = np.minimum(np.frexp(context)[1], CLASSES - 1)
+        trained = ~np.repeat(block.held, block.lengths)
+        once += np.bincount(where, (level <= 1) & trained, CLASSES)
+        every += np.bincount(where, trained, CLASSES)
     # Half of one more of either kind: no class is certain.
     share = (once + 0.5) / (every + 1.0)
     return tuple(np.clip(share, 1e-4, 1 - 1e-4).tolist())
 
 
-def score(
-    docs: DataFrame, held_out, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
+def _contexts(counts: np.ndarray, starts: np.ndarray, ends: int) -> np.ndarray:
+    before = np.roll(counts, 1).astype(np.float64)
+    before[starts] = ends
+    return before
+
+
+def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' keys with held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     held_out is a boolean column of docs; the other rows are learned from.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key), F.col(text).alias("text"), held_out.alias("held_out"))
-    training = docs.filter(~F.col("held_out"))
-    counts = word_counts(training)
-    totals = counts.agg(
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out.alias("held_out"))
+    blocks = block_table(docs)
+    counts = block_counts(blocks)
+    totals = counts.filter("first AND n > 0").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"),
         F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0)).alias("once"),
-        F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0)).alias("ends"),
+        F.coalesce(F.max(F.when(F.col("end"), F.col("n"))), F.lit(0)).alias("ends"),
     ).first()
     n, v, ends = totals["n"], totals["v"], totals["ends"]
-    table = build_filter(training, n)
-
-    share = min(1.0, SAMPLE_ROWS / max(ends, 1))
-    draw = F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = training.filter(draw < share).select("text")
-    texts = [r["text"] for r in sample.limit(4 * SAMPLE_ROWS).collect()]
-    words = spark.createDataFrame(
-        [(w,) for w in {x for t in texts for x in tokens(t)} | {END}], "word binary"
+    table = build_filter(blocks, n)
+
+    def pack(key_: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        found = np.zeros(rows.num_rows, "<u8")
+        found[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+        return pa.table({"block": [key_[0].as_py()], "counts": pa.array([found.tobytes()], pa.binary())})
+
+    packed = materialise(
+        counts.select("block", "at", "n").groupBy("block").applyInArrow(
+            pack, "block long, counts binary"
+        ), "packed-counts",
     )
-    known = {bytes(r["word"]): r["n"] for r in counts.join(words, "word").collect()}
+    some = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(SAMPLE_BLOCKS).collect()]
+    sample = blocks.filter(F.col("block").isin(some)).join(packed, "block").collect() if some else []
     unknown = min(max((totals["once"] + 0.5) / (n + 1.0), 1e-9), 0.5)
-    smoothing = Smoothing(n, v, unknown, _fresh_by_class(texts, known, table))
-
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64(F.col(key), F.octet_length("text")), F.lit(blocks)).cast("int")
-    probed = probe(docs, table, "text")
-    blocked = probed.withColumn("block", block)
-    found = block_words(docs.withColumn("block", block), "text").join(counts, "word", "inner")
-
-    def finish(key_: tuple[pa.Scalar, ...], rows: pa.Table, words: pa.Table) -> pa.Table:
-        count = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist(), strict=True))
-        out = {c: [] for c in ("n_tokens", "n_known", "base_score", "score")}
-        for t, levels in zip(rows.column("text").to_pylist(), rows.column("levels").to_pylist(), strict=True):
-            c = np.array([count.get(w, 0) for w in tokens(t)], np.int64)
-            own = np.frombuffer(levels, np.uint8) if levels else np.zeros(len(c), np.uint8)
-            out["n_tokens"].append(len(c))
-            out["n_known"].append(int((c > 0).sum()))
-            out["base_score"].append(base_scores(c, n, v))
-            out["score"].append(model_score(c, own, ends, smoothing))
-        return pa.table({
-            key: rows.column(key), "held_out": rows.column("held_out"),
-            "n_tokens": pa.array(out["n_tokens"], pa.int64()),
-            "n_known": pa.array(out["n_known"], pa.int64()),
-            "train_tokens": pa.array([n] * rows.num_rows, pa.int64()),
-            "base_score": pa.array(out["base_score"], pa.float64()),
-            "score": pa.array(out["score"], pa.float64()),
-        })
-
-    schema = StructType([
-        docs.schema[key], docs.schema["held_out"], StructField("n_tokens", LongType()),
-        StructField("n_known", LongType()), StructField("train_tokens", LongType()),
-        StructField("base_score", DoubleType()), StructField("score", DoubleType()),
+    fresh = _fresh_by_class(
+        [Block(r.asDict()) for r in sample],
+        [np.frombuffer(r["counts"], "<u8").astype(np.int64) for r in sample], ends, table,
+    )
+    smoothing = Smoothing(n, v, unknown, fresh)
+    out_schema = StructType([
+        StructField(key, docs.schema["key"].dataType), StructField("held_out", BooleanType()),
+        StructField("n_tokens", LongType()), StructField("n_known", LongType()),
+        StructField("train_tokens", LongType()), StructField("base_score", DoubleType()),
+        StructField("score", DoubleType()),
     ])
-    return blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, schema)
+
+    def finish(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("tokens", "lengths", "held", "levels", "counts")}
+                block = Block(row)
+                count = np.frombuffer(row["counts"], "<u8").astype(np.int64)[block.tokens]
+                levels = np.frombuffer(row["levels"], np.uint8)
+                base = np.log10((count + 1) / (n + v + 1))
+                model = log_chances(count, _contexts(count, block.starts, ends), levels, smoothing)
+                per_text = [np.add.reduceat(x, block.starts) for x in ((count > 0).astype(np.int64), base, model)]
+                yield pa.RecordBatch.from_pydict({
+                    key: batch.column("key")[i].values,
+                    "held_out": pa.array(block.held), "n_tokens": pa.array(block.lengths),
+                    "n_known": pa.array(per_text[0]),
+                    "train_tokens": pa.array(np.full(len(block.held), n, np.int64)),
+                    "base_score": pa.array(per_text[1]), "score": pa.array(per_text[2]),
+                })
+
+    probed = probe(blocks, table)
+    return probed.join(packed, "block").mapInArrow(finish, out_schema)
