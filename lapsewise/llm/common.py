@@ -15,7 +15,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 # A word is a run of anything but ASCII white space, in Java, Python and RE2 alike.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
-MAX_BATCH_BYTES = 16 << 20
+MAX_BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -63,7 +63,7 @@ _SHIFT = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-_word_codes = Memo(xxhash.xxh64_intdigest, 400_000)
+_word_codes = Memo(xxhash.xxh64_intdigest, 100_000)
 
 
 def shingles(text: str | None) -> np.ndarray:
