@@ -6,6 +6,8 @@ BENCH_COPIES   every user this many times over, as different users, in the pipel
                run (default 1; 81 at sf0.1 is about 21.5 million transactions),
                measured once after a warm-up on the plain tables
 BENCH_QUERIES  comma-separated query names, or "none" (default: the headline list)
+BENCH_PARTITIONS  shuffle partitions (default 8; a partition should hold a few hundred
+               thousand rows, so 32 for 81 copies)
 BENCH_RUNS     measured runs after one warm-up; the median counts (default 2)
 
 The pipeline reads raw CSV files written beforehand, untimed, and writes every table.
@@ -21,16 +23,15 @@ import sys
 import tempfile
 import time
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from lapsewise.config import WAREHOUSE
 from lapsewise.plans.catalogue import REGISTRY
 from lapsewise.plans.marts import warehouse_marts
 from lapsewise.plans.pipeline import run_pipeline
-from lapsewise.schema import RAW_MEMBERS, RAW_TRANSACTIONS
 from lapsewise.session import local_session
-from lapsewise.sources import read_raw_members, read_raw_transactions, warehouse
+from lapsewise.sources import read_raw_members, read_raw_transactions
+from lapsewise.sources.export import write_raw
 
 HEADLINE = [
     "staged_transactions", "reconciliation_raw_staged", "check_duplicates_raw",
@@ -43,28 +44,6 @@ HEADLINE = [
 ]
 
 
-def _as_raw(df: DataFrame, schema, dates: list[str], copies: int) -> DataFrame:
-    """The strict raw layout: dates as YYYYMMDD integers, users told apart by copy."""
-    numbered = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    numbered = numbered.withColumn("msno", F.concat_ws("-", F.col("msno"), F.col("copy")))
-    for d in dates:
-        numbered = numbered.withColumn(d, F.date_format(d, "yyyyMMdd"))
-    return numbered.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-
-
-def write_raw(spark: SparkSession, sf_dir: str, folder: str, copies: int) -> None:
-    files = 4 * spark.sparkContext.defaultParallelism
-    tx = _as_raw(
-        warehouse.raw_transactions(spark, sf_dir), RAW_TRANSACTIONS,
-        ["transaction_date", "membership_expire_date"], copies,
-    )
-    members = _as_raw(
-        warehouse.raw_members(spark, sf_dir), RAW_MEMBERS, ["registration_init_time"], copies
-    )
-    tx.repartition(files).write.csv(f"{folder}/transactions", header=True)
-    members.repartition(files).write.csv(f"{folder}/members", header=True)
-
-
 def run_once(spark: SparkSession, raw: str) -> dict[str, float]:
     out = tempfile.mkdtemp(prefix="bench-out-")
     began = time.perf_counter()
@@ -91,17 +70,16 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     wanted = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE))
     names = [] if wanted == "none" else wanted.split(",")
-    # A partition should hold a few hundred thousand rows.
-    partitions = "8" if copies < 10 else "32"
+    partitions = os.environ.get("BENCH_PARTITIONS", "8")
     spark = local_session(cpus, "16g", **{"spark.sql.shuffle.partitions": partitions})
 
     small = tempfile.mkdtemp(prefix="bench-warm-")
-    write_raw(spark, sf_dir, small, 1)
+    write_raw(spark, sf_dir, small, 4 * spark.sparkContext.defaultParallelism)
     run_once(spark, small)
     raw = small
     if copies > 1:
         raw = tempfile.mkdtemp(prefix="bench-raw-")
-        write_raw(spark, sf_dir, raw, copies)
+        write_raw(spark, sf_dir, raw, 4 * spark.sparkContext.defaultParallelism, copies)
     rows = read_raw_transactions(spark, f"{raw}/transactions").count()
     stages = [run_once(spark, raw) for _ in range(runs if copies == 1 else 1)]
     queries = {

@@ -56,11 +56,11 @@ class Params:
 
 DEFAULT = Params()
 
-# Settings for the subscription view derived from the warehouse tables, whose
-# dates lie in the nineties and whose cohort cells are small.
+# Settings for the subscription view derived from the warehouse tables: a window that
+# holds all of their dates, and small cohort cells.
 WAREHOUSE = Params(
-    window_open=date(1996, 1, 1),
-    observation_cutoff=date(1998, 12, 31),
-    fit_window_end=date(1998, 6, 30),
+    window_open=date(1995, 1, 1),
+    observation_cutoff=date(2001, 12, 31),
+    fit_window_end=date(2000, 6, 30),
     min_cell_events=20,
 )

@@ -187,10 +187,6 @@ def number_spells(
     return _union(segments(staged, params, hot))
 
 
-def first_spell(numbered: DataFrame) -> DataFrame:
-    return numbered.filter(F.col("spell_no") == 1)
-
-
 # --- one row per user ---------------------------------------------------------
 
 
@@ -220,6 +216,7 @@ def summarise_users(numbered: DataFrame) -> DataFrame:
         # The earliest row with a known plan length, in the total order.
         key = F.struct(
             day,
+            expiry.isNull().alias("no_expiry"),
             F.coalesce(expiry, F.lit(FAR_FUTURE)).alias("expiry"),
             F.col("is_cancel"),
             F.col("payment_method_id"),

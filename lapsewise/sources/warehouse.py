@@ -1,39 +1,35 @@
 """Subscription transactions and members derived from order tables.
 
-Each line item of the observation years becomes one subscription transaction of
-its customer, in the raw layout but with dates already typed, with a fixed share
-of zero-day rows, missing expiries, cancellations, backdated rows and copies.
+Each line item becomes one subscription transaction of its customer, in the raw layout
+but with dates already typed, with a fixed share of zero-day rows, missing expiries,
+cancellations, backdated rows and copies. Some customers follow a pattern of their own,
+so that every guard and every stratum downstream has rows: they buy only at the very end
+of the observation window, only on its first day, or only plans of unknown length; some
+members registered after their spell ended, and some name no channel.
 """
 
 from __future__ import annotations
 
-from datetime import timedelta
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
 
 from lapsewise.config import WAREHOUSE, Params
 
-
-def _shipped_between(line: DataFrame, params: Params) -> Column:
-    """A range on the stored timestamp, so that it reaches the Parquet scan."""
-    ntz = isinstance(line.schema["l_shipdate"].dataType, TimestampNTZType)
-    kind = "timestamp_ntz" if ntz else "timestamp"
-    first = F.lit(params.window_open).cast(kind)
-    after = F.lit(params.observation_cutoff + timedelta(days=1)).cast(kind)
-    return (F.col("l_shipdate") >= first) & (F.col("l_shipdate") < after)
+UNMATCHED = 1_000_000_000  # added to the key of members who never buy
 
 
 def subscription_rows(
     line: DataFrame, orders: DataFrame, params: Params = WAREHOUSE
 ) -> DataFrame:
     """line and orders to raw transactions. line may be a stream."""
-    joined = line.filter(_shipped_between(line, params)).join(
+    joined = line.join(
         orders.select("o_orderkey", "o_custkey"),
         F.col("l_orderkey") == F.col("o_orderkey"),
     )
     family = (F.col("msno") * 31) % 10
+    last_weeks, first_day, no_length = (
+        F.col("msno") % m == r for m, r in ((97, 5), (83, 4), (79, 6))
+    )
     base = (
         joined.select(
             F.col("o_custkey").alias("msno"),
@@ -48,11 +44,21 @@ def subscription_rows(
             "length",
             F.when(family < 3, 7).when(family < 7, 30).when(family < 8, 90).otherwise(180),
         )
-        .withColumn("blank", F.col("z") < 40)
+        .withColumn("blank", (F.col("z") < 40) | no_length)
+        .withColumn(
+            "day",
+            F.when(
+                last_weeks,
+                F.date_sub(F.lit(params.observation_cutoff), (F.col("z") % 20).cast("int")),
+            )
+            .when(first_day, F.lit(params.window_open))
+            .otherwise(F.col("day")),
+        )
     )
     lag = F.when(F.col("msno") % 7 == 0, 120).otherwise(30)
     expiry = (
-        F.when(F.col("z").between(40, 41), F.lit(params.epoch_sentinel))
+        F.when(first_day | no_length, F.col("day"))
+        .when(F.col("z").between(40, 41), F.lit(params.epoch_sentinel))
         .when(F.col("z").between(900, 959), F.date_sub("day", F.col("quantity")))
         .when(F.col("z").between(960, 964), F.date_sub("day", 1))
         .otherwise(
@@ -92,14 +98,14 @@ def raw_members(
     key = F.col("c_custkey")
     opened = F.lit(params.window_open)
     step = key * 7919
-    registered = F.when(
+    registered = F.when(key % 89 == 3, F.lit(params.observation_cutoff)).when(
         key % 2 == 1, F.date_sub(opened, (F.lit(200) + step % 1000).cast("int"))
     ).otherwise(F.date_add(opened, (step % 15).cast("int")))
-    return customer.filter(key % 10 != 0).select(
-        key.alias("msno"),
+    return customer.select(
+        F.when(key % 10 == 0, key + UNMATCHED).otherwise(key).alias("msno"),
         (F.col("c_nationkey") % 25).cast("int").alias("city"),
         (F.lit(20) + key % 50).cast("int").alias("bd"),
         F.when(key % 3 == 1, "male").when(key % 3 == 2, "female").alias("gender"),
-        (F.col("c_nationkey") % 10).cast("int").alias("registered_via"),
+        F.when(key % 73 != 7, F.col("c_nationkey") % 10).cast("int").alias("registered_via"),
         registered.alias("registration_init_time"),
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapsewise.config import DEFAULT, Params
 from lapsewise.operators.checks import Check, date_sanity, run_checks
 from lapsewise.operators.ingest import deduplicate, tag_quarantine, transform_transactions
+from lapsewise.schema import STAGED_TRANSACTIONS
 from lapsewise.sources.tables import read_table
 
 STAGE = "raw->staged"
@@ -18,23 +21,26 @@ def ingest_stream(
 ) -> None:
     """Drain a stream of raw transactions into folder, then stop.
 
-    A batch is checked first and lands only if it passes; otherwise it raises, which
-    stops the stream. Each batch lands under its own batch id, so that one repeated
-    after a failure replaces itself.
+    Each batch is written under its own batch id, so that one repeated after a failure
+    replaces itself. The written files are checked, and only then is the batch entered
+    in the list of published ones; a batch that fails raises, which stops the stream.
+    The batch id is part of the log's stage. The source bounds a batch, for files by
+    the option maxFilesPerTrigger.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        tagged = tag_quarantine(transform_transactions(batch, params)).withColumn(
-            "quarantined", F.col("quarantine_reason").isNotNull().cast("int")
-        ).persist()
-        try:
-            clean = tagged.filter(F.col("quarantined") == 0)
-            run_checks(STAGE, [Check("date_sanity", date_sanity(clean, params))], log_path)
-            tagged.write.mode("overwrite").partitionBy("quarantined").parquet(
-                f"{folder}/landed/batch_id={batch_id}"
-            )
-        finally:
-            tagged.unpersist()
+        spark = batch.sparkSession
+        landed = f"{folder}/landed/batch_id={batch_id}"
+        reason = F.col("quarantine_reason")
+        tag_quarantine(transform_transactions(batch, params)).withColumn(
+            "quarantined", reason.isNotNull()
+        ).write.mode("overwrite").parquet(landed)
+        clean = read_table(spark, landed).filter(~F.col("quarantined"))
+        stage = f"{STAGE} batch {batch_id}"
+        run_checks(stage, [Check("date_sanity", date_sanity(clean, params))], log_path)
+        spark.range(1).select(F.lit(True).alias("checked")).write.mode("overwrite").parquet(
+            f"{folder}/published/batch_id={batch_id}"
+        )
 
     query = (
         raw.writeStream.foreachBatch(land)
@@ -45,10 +51,25 @@ def ingest_stream(
     query.awaitTermination()
 
 
+def _published(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all published batches; none before the first one."""
+    try:
+        batches = read_table(spark, f"{folder}/published").select("batch_id")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        schema = T.StructType(
+            [*STAGED_TRANSACTIONS.fields, T.StructField("quarantine_reason", T.StringType()),
+             T.StructField("quarantined", T.BooleanType())]
+        )
+        return spark.createDataFrame([], schema)
+    landed = read_table(spark, f"{folder}/landed")
+    return landed.join(batches, "batch_id", "left_semi").drop("batch_id")
+
+
 def staged_from_stream(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(staged, quarantined) over all batches landed so far. Copies may lie in
+    """(staged, quarantined) over all batches published so far. Copies may lie in
     different batches, so they are removed here and not per batch."""
-    landed = read_table(spark, f"{folder}/landed").drop("batch_id")
-    clean = landed.filter(F.col("quarantined") == 0).drop("quarantined", "quarantine_reason")
-    bad = landed.filter(F.col("quarantined") == 1).drop("quarantined")
-    return deduplicate(clean), bad
+    rows = _published(spark, folder)
+    clean = rows.filter(~F.col("quarantined")).drop("quarantined", "quarantine_reason")
+    return deduplicate(clean), rows.filter("quarantined").drop("quarantined")

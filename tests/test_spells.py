@@ -186,6 +186,19 @@ def test_hot_users_are_found_by_size_and_change_nothing(spark):
     assert rows_of(summary) == rows_of(sp.user_summary(table, params))
 
 
+def test_both_routes_take_the_first_plan_in_the_same_order(spark):
+    """A missing expiry sorts after the farthest date, whatever the payment method."""
+    far = D(9999, 12, 31)
+    table = staged(spark, [
+        tx("a", D(2015, 6, 1), far, plan=30, payment_method_id=41),
+        tx("a", D(2015, 6, 1), None, plan=7, payment_method_id=41),
+        tx("a", D(2015, 6, 1), None, plan=7, payment_method_id=40),
+    ])
+    everyone = table.select("msno").distinct()
+    for hot in (None, everyone):
+        assert one(sp.user_summary(table, DEFAULT, hot))["first_plan_days"] == 30
+
+
 def test_the_result_does_not_depend_on_the_partitioning(spark):
     table = staged(spark, GOLDEN)
     known = members(spark, REGISTERED)
