@@ -21,7 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no rule."""
-    return quality.judge(docs).filter("kept").select(*COLUMNS)
+    return quality.passing(docs.select(*COLUMNS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

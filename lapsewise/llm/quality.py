@@ -104,7 +104,7 @@ def _repeated_words(placed: Column) -> Column:
     return F.size(F.array_distinct(covered))
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
+def measures(df: DataFrame, text: str = "text", *more: Column) -> DataFrame:
     """The counts the rules are about, one projection over whole texts."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
              "n_stop_words", "n_lines"]
@@ -132,7 +132,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size(lines),
     }
     kept = [F.col(f"`{c}`") for c in without(df, *names).columns]
-    return split.select(*kept, *[made[n].cast("long").alias(n) for n in names])
+    return split.select(*kept, *[made[n].cast("long").alias(n) for n in names], *more)
 
 
 def breaks(rule: Rule) -> Column:
@@ -153,7 +153,30 @@ def judge(
     ratios: tuple[Rule, ...] = RATIO_RULES,
 ) -> DataFrame:
     """df with its measures, base_failed, the names of the broken rules, and kept."""
-    measured = measures(df, text)
+    return _judged(measures(df, text), base, ratios)
+
+
+def passing(
+    df: DataFrame,
+    text: str = "text",
+    base: tuple[Rule, ...] = BASE_RULES,
+    ratios: tuple[Rule, ...] = RATIO_RULES,
+) -> DataFrame:
+    """The rows of df that break no rule.
+
+    The filter reads a row number made beside the measures: that keeps the optimizer from
+    moving it below them, where each rule would compute its measures again.
+    """
+    number = F.monotonically_increasing_id().alias("__row")
+    judged = _judged(measures(df, text, number), base, ratios)
+    return judged.filter(F.col("kept") & (F.col("__row") >= 0)).select(
+        *[F.col(f"`{c}`") for c in df.columns]
+    )
+
+
+def _judged(
+    measured: DataFrame, base: tuple[Rule, ...], ratios: tuple[Rule, ...]
+) -> DataFrame:
     broken = F.array_compact(
         F.array(*[F.when(breaks(r), F.lit(r.name)) for r in (*base, *ratios)])
     )
