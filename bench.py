@@ -8,6 +8,8 @@ BENCH_COPIES   every user this many times over, as different users, in the pipel
 BENCH_QUERIES  comma-separated query names, or "none" (default: the headline list)
 BENCH_PARTITIONS  shuffle partitions (default 8; a partition should hold a few hundred
                thousand rows, so 32 for 81 copies)
+BENCH_DIR      folder for the raw files and outputs (default a local temporary one; a
+               cluster needs one that its executors share)
 BENCH_RUNS     measured runs after one warm-up; the median counts (default 2)
 
 The pipeline reads raw CSV files written beforehand, untimed, and writes every table.
@@ -45,7 +47,7 @@ HEADLINE = [
 
 
 def run_once(spark: SparkSession, raw: str) -> dict[str, float]:
-    out = tempfile.mkdtemp(prefix="bench-out-")
+    out = tempfile.mkdtemp(prefix="bench-out-", dir=os.environ.get("BENCH_DIR"))
     began = time.perf_counter()
     run = run_pipeline(
         spark,
@@ -73,12 +75,12 @@ def main() -> None:
     partitions = os.environ.get("BENCH_PARTITIONS", "8")
     spark = local_session(cpus, "16g", **{"spark.sql.shuffle.partitions": partitions})
 
-    small = tempfile.mkdtemp(prefix="bench-warm-")
+    small = tempfile.mkdtemp(prefix="bench-warm-", dir=os.environ.get("BENCH_DIR"))
     write_raw(spark, sf_dir, small, 4 * spark.sparkContext.defaultParallelism)
     run_once(spark, small)
     raw = small
     if copies > 1:
-        raw = tempfile.mkdtemp(prefix="bench-raw-")
+        raw = tempfile.mkdtemp(prefix="bench-raw-", dir=os.environ.get("BENCH_DIR"))
         write_raw(spark, sf_dir, raw, 4 * spark.sparkContext.defaultParallelism, copies)
     rows = read_raw_transactions(spark, f"{raw}/transactions").count()
     stages = [run_once(spark, raw) for _ in range(runs if copies == 1 else 1)]

@@ -83,7 +83,9 @@ def row_count_reconciliation(
     total = F.lit(0).cast("long")
     for d in drops:
         total = total + F.col(d)
-    negative = (F.col(raw) < 0) | (F.col(staged) < 0)
+    negative = F.lit(False)
+    for c in (raw, staged, *drops):
+        negative = negative | (F.col(c) < 0)
     return counts.select(
         F.when(negative, F.raise_error(F.lit("row counts cannot be negative")).cast("long"))
         .otherwise(F.col(raw))

@@ -345,14 +345,8 @@ def value_exclusion_sensitivity(
 ) -> DataFrame:
     """S with and without the subjects carrying one value, against the band of the
     full fit and against a fixed materiality threshold."""
-    kept = ~F.col(column).eqNullSafe(F.lit(value))
-    scenarios = F.when(kept, F.array(F.lit("all"), F.lit("without"))).otherwise(
-        F.array(F.lit("all"))
-    )
-    keyed = spells.withColumn("scenario", F.explode(scenarios))
-    at = survival_at(
-        fit_curves(keyed, ["scenario"], params), ["scenario"], params.km_horizons
-    )
+    curves = value_exclusion_curves(spells, column, value, params)
+    at = survival_at(curves, ["scenario"], params.km_horizons)
 
     def of(scenario: str, c: str) -> Column:
         return F.max(F.when(F.col("scenario") == scenario, F.col(c)))
@@ -377,5 +371,33 @@ def value_exclusion_sensitivity(
         .withColumn("outside_band", F.coalesce(outside, F.lit(False)))
         .withColumn("max_shift_pp", largest)
         .withColumn("material", F.col("max_shift_pp") >= params.material_pp)
-        .drop("seen", "lower", "upper")
+        .drop("seen")
+    )
+
+
+def value_exclusion_curves(
+    spells: DataFrame, column: str, value, params: Params = DEFAULT
+) -> DataFrame:
+    """Curves of all subjects, and of those that do not carry the value."""
+    kept = ~F.col(column).eqNullSafe(F.lit(value))
+    scenarios = F.array_compact(F.array(F.lit("all"), F.when(kept, F.lit("without"))))
+    return fit_curves(spells.withColumn("scenario", F.explode(scenarios)), ["scenario"], params)
+
+
+def value_exclusion_counts(spells: DataFrame, column: str, value) -> DataFrame:
+    """How many subjects carry the value, and their share."""
+    carries = F.col(column).eqNullSafe(F.lit(value)).cast("int")
+    return spells.agg(
+        F.count("*").alias("subjects"), F.coalesce(F.sum(carries), F.lit(0)).alias("excluded"),
+        F.avg(carries).alias("excluded_share"),
+    )
+
+
+def subset_curves(spells: DataFrame, keys: list[str], params: Params = DEFAULT) -> DataFrame:
+    """Curves by keys of all subjects (full) and of those followed from the start
+    (incident), side by side under subset."""
+    subsets = F.array_compact(
+        F.array(F.lit("full"), F.when(F.col("entry_days") == 0, F.lit("incident")))
     )
+    both = spells.withColumn("subset", F.explode(subsets))
+    return fit_curves(both, ["subset", *keys], params)

@@ -232,6 +232,39 @@ _on_marts("channel_sensitivity")(
     )
 )
 
+_on_marts("channel_summary")(
+    lambda m: survival.describe_curves(
+        survival.value_exclusion_curves(
+            m.spells, "registered_via", P.sensitivity_channel, P
+        ), ["scenario"], P,
+    )
+)
+_on_marts("channel_counts")(
+    lambda m: survival.value_exclusion_counts(m.spells, "registered_via", P.sensitivity_channel)
+)
+_on_marts("incident_summary")(
+    lambda m: survival.describe_curves(
+        survival.subset_curves(m.spells, PLAN, P), ["subset", *PLAN], P
+    )
+)
+
+
+@_on_marts("incident_differences")
+def _incident_differences(m: Marts) -> DataFrame:
+    """Differences of every two strata at each horizon, in both subsets."""
+    at = survival.survival_at(
+        survival.subset_curves(m.spells, PLAN, P), ["subset", *PLAN], P.km_horizons
+    )
+    one = at.select("subset", "horizon", F.col("plan_type").alias("level_a"),
+                    F.col("survival").alias("s_a"))
+    two = at.select("subset", "horizon", F.col("plan_type").alias("level_b"),
+                    F.col("survival").alias("s_b"))
+    # Strata x horizons rows on either side.
+    return one.join(two, ["subset", "horizon"]).filter("level_a < level_b").select(
+        "subset", "level_a", "level_b", "horizon", (F.col("s_a") - F.col("s_b")).alias("difference")
+    )
+
+
 # --- lifetime value ------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from lapsewise.config import DEFAULT, Params
 from lapsewise.operators import backtest, checks, ingest, ltv, spells, survival
 from lapsewise.operators.checks import Check, run_checks
 from lapsewise.plans.marts import Marts, build_marts
-from lapsewise.schema import TRANSACTION_COLUMNS
+from lapsewise.schema import STAGED_MEMBERS, STAGED_TRANSACTIONS, TRANSACTION_COLUMNS
 from lapsewise.sources import read_table, write_table
 
 STAGED, MARTS = "raw->staged", "staged->marts"
@@ -127,6 +127,8 @@ def stage(run: Run, raw_transactions: DataFrame, raw_members: DataFrame) -> None
                 checks.row_count_reconciliation(member_counts, "raw_rows", "staged_rows", []),
             ),
             Check("unique_members", checks.unique_key(members, ["msno"])),
+            Check("schema_transactions", checks.schema_conformance(staged, STAGED_TRANSACTIONS)),
+            Check("schema_members", checks.schema_conformance(members, STAGED_MEMBERS)),
             Check("price_reconciliation", checks.price_reconciliation(staged, params), checks.WARN),
         ],
         run.log_path,
@@ -142,7 +144,7 @@ def marts(run: Run) -> Marts:
         MARTS,
         [
             Check("censoring_rate", checks.censoring_rate(built.spells, run.params)),
-            Check("duplicate_rows", checks.duplicate_rows(built.spells)),
+            Check("unique_subjects", checks.unique_key(built.subjects, ["msno"])),
             Check("row_count_reconciliation", checks.reconcile_marts(built.users, members, counts)),
         ],
         run.log_path,

@@ -207,3 +207,9 @@ def test_headline_check(spark):
     )
     got = rows_of(checks.headline_check(observed, expected), "metric", "status")
     assert got == [("a", "MATCH"), ("b", "DRIFT"), ("c", "DRIFT")]
+
+
+def test_negative_drops_are_an_error(spark):
+    counts = spark.createDataFrame([(10, 12, -2)], "raw long, staged long, dropped long")
+    with pytest.raises(Exception, match="negative"):
+        checks.row_count_reconciliation(counts, "raw", "staged", ["dropped"]).collect()
