@@ -90,7 +90,9 @@ def bigrams(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _places(keys: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
     shift = np.uint64((level * 64 + probe + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     mixed = (keys ^ shift) * _MIX2
-    return (mixed ^ (mixed >> np.uint64(31))) % np.uint64(size)
+    mixed ^= mixed >> np.uint64(29)
+    # The upper half, scaled to the size: segments are far below 2**32 bits.
+    return ((mixed >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -255,13 +257,16 @@ def probe(blocks: DataFrame, table: DataFrame, part_bytes: int = PART_BYTES) ->
     for shared in broadcasts_of(table, part_bytes):
 
         def make(batch, shared=shared):
-            out = []
+            out, bits, segments = [], {}, 1
+            for piece in shared:
+                segments = piece.value.segments
+                bits.update(piece.value.bits)
+            part = Part(segments, bits)
             for row in batch.select(["words", "tokens", "lengths", "held", "levels"]).to_pylist():
-                keys = Block(row).keys()
-                found = np.frombuffer(row["levels"], np.uint8) if row["levels"] else 0
-                for piece in shared:
-                    found = np.maximum(found, piece.value.levels(keys))
-                out.append(np.broadcast_to(found, len(keys)).astype(np.uint8).tobytes())
+                found = part.levels(Block(row).keys())
+                if row["levels"] is not None:
+                    found = np.maximum(found, np.frombuffer(row["levels"], np.uint8))
+                out.append(found.tobytes())
             return [pa.array(out, pa.binary())]
 
         df = materialise(append_columns(df, [("levels", BinaryType())], make), "levels")
@@ -355,19 +360,34 @@ def block_table(docs: DataFrame) -> DataFrame:
 
 
 def block_counts(blocks: DataFrame) -> DataFrame:
-    """(block, at, n, first): the exact training count of every block's word at each
-    index; first marks one row per word. A written table."""
+    """(block, counts, n, v, once, ends): the exact training counts of every block's words
+    in their order, and totals over the words that this block is the first to hold. A
+    written table."""
     told = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("at", "w"))
     told = told.select("block", "at", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
     # A word has at most one row per block, however frequent it is.
     by_word = Window.partitionBy("word")
-    order = by_word.orderBy("block")
+    first = F.row_number().over(by_word.orderBy("block")) == 1
+    kind = F.when(~first, 0).when(F.col("word") == F.lit(END), 2).otherwise(1)
     counted = told.select(
-        "block", "at", F.sum("n").over(by_word).alias("n"),
-        (F.row_number().over(order) == 1).alias("first"),
-        (F.col("word") == F.lit(END)).alias("end"),
+        "block", "at", F.sum("n").over(by_word).alias("n"), kind.cast("byte").alias("kind")
     )
-    return materialise(counted, "block-counts")
+
+    def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        n, kind = rows.column("n").to_numpy(), rows.column("kind").to_numpy()
+        found = np.zeros(rows.num_rows, "<u8")
+        found[rows.column("at").to_numpy()] = n
+        own = n[(kind > 0) & (n > 0)]
+        return pa.table({
+            "block": [key[0].as_py()], "counts": pa.array([found.tobytes()], pa.binary()),
+            "n": [int(own.sum())], "v": [len(own)], "once": [int((own == 1).sum())],
+            "ends": [int(n[kind == 2].sum())],
+        })
+
+    packed = counted.groupBy("block").applyInArrow(
+        pack, "block long, counts binary, n long, v long, once long, ends long"
+    )
+    return materialise(packed, "block-counts")
 
 
 @dataclass(frozen=True)
@@ -421,24 +441,12 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out.alias("held_out"))
     blocks = block_table(docs)
     counts = block_counts(blocks)
-    totals = counts.filter("first AND n > 0").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"),
-        F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0)).alias("once"),
-        F.coalesce(F.max(F.when(F.col("end"), F.col("n"))), F.lit(0)).alias("ends"),
+    totals = counts.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "once", "ends")]
     ).first()
     n, v, ends = totals["n"], totals["v"], totals["ends"]
     table = build_filter(blocks, n)
-
-    def pack(key_: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        found = np.zeros(rows.num_rows, "<u8")
-        found[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
-        return pa.table({"block": [key_[0].as_py()], "counts": pa.array([found.tobytes()], pa.binary())})
-
-    packed = materialise(
-        counts.select("block", "at", "n").groupBy("block").applyInArrow(
-            pack, "block long, counts binary"
-        ), "packed-counts",
-    )
+    packed = counts.select("block", "counts")
     some = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(SAMPLE_BLOCKS).collect()]
     sample = blocks.filter(F.col("block").isin(some)).join(packed, "block").collect() if some else []
     unknown = min(max((totals["once"] + 0.5) / (n + 1.0), 1e-9), 0.5)
