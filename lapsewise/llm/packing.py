@@ -31,7 +31,8 @@ from lapsewise.llm.common import append_columns, prepare_workers, without
 
 LENGTH = 4096
 BLOCK_PIECES = 8192
-MEMO_ENTRIES = 300_000  # of a worker, before it begins anew
+MEMO_ENTRIES = 300_000  # stretches a worker keeps before it begins anew
+PART_ENTRIES = 800_000  # and words, whose ids cost much more to find
 STRETCHES_AT_ONCE = 50_000
 ENCODED_AT_ONCE = 1000
 
@@ -81,7 +82,7 @@ class StretchTokenizer:
                 other.append(s)
         wanted = {p for _, word, marks in simple for p in (word, marks)}
         new = wanted - self.parts.keys()
-        if len(self.parts) + len(new) > MEMO_ENTRIES:
+        if len(self.parts) + len(new) > PART_ENTRIES:
             self.parts, new = {"": b""}, wanted - {""}
         self._learn_parts(sorted(new))
         parts, memo = self.parts, self.memo
