@@ -13,7 +13,7 @@ there are parts for a large one, with the same result.
 
 P(w | h) = (1 - u) c(h w) / c(h) + u P(w), with u the Good-Turing chance that a word
 following h has not followed it before, for h's frequency class; P(w) leaves the share
-of single words to the unknown word. Both are estimated on training texts.
+of single words to the unknown word. Both are counted over all training texts.
 
 Texts are tokenised once, into blocks of about ``BLOCK_TOKENS``: a block is one row with its
 distinct words and every token as an index into them. The words of all blocks meet their
@@ -55,7 +55,6 @@ PART_BYTES = 128 << 20
 PIECE_BYTES = 16 << 20  # what the driver holds of a part at a time
 BITS, PROBES = 10, 7  # per entry: about 0.8 % false positives
 HELD = 1 << 21  # n-grams a task gathers before it hands them on
-SAMPLE_BLOCKS = 2
 CLASSES = 40  # of context frequency, by powers of two
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -408,20 +407,57 @@ def log_chances(counts, context, levels, s: Smoothing) -> np.ndarray:
     return np.log10(np.where(context > 0, chance, single))
 
 
-def _fresh_by_class(blocks: list[Block], counts: list[np.ndarray], ends: int, table) -> tuple:
-    """Good-Turing: the share of tokens whose bigram occurs once, by the context's class."""
-    once, every = np.zeros(CLASSES), np.zeros(CLASSES)
-    levels = [np.zeros(len(b.tokens), np.uint8) for b in blocks]
-    keys = [b.keys() for b in blocks]
-    if blocks:
-        for piece, _ in pieces_of(table):
-            levels = [np.maximum(v, piece.levels(k)) for v, k in zip(levels, keys, strict=True)]
-    for block, count, level in zip(blocks, counts, levels, strict=True):
-        context = _contexts(count[block.tokens], block.starts, ends)
-        where = np.minimum(np.frexp(context)[1], CLASSES - 1)
-        trained = ~np.repeat(block.held, block.lengths)
-        once += np.bincount(where, (level <= 1) & trained, CLASSES)
-        every += np.bincount(where, trained, CLASSES)
+def _by_context(block: Block, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of a block: its successors in training texts, and those of them whose
+    bigram occurs once."""
+    before = np.roll(block.tokens, 1)
+    before[block.starts] = block.tokens[block.lengths[0] - 1]  # an end, as after all texts
+    trained = ~np.repeat(block.held, block.lengths)
+    return (np.bincount(before, trained),
+            np.bincount(before, trained & (levels <= 1)))
+
+
+def fresh_by_class(probed: DataFrame, packed: DataFrame) -> tuple[float, ...]:
+    """Good-Turing: the share of tokens whose bigram occurs once, by the context's class,
+    over the tokens of all training texts. Tasks hand on one row per class."""
+
+    def add_up(batches):
+        for batch in batches:
+            rows = batch.select(["block", "tokens", "lengths", "held", "levels"]).to_pylist()
+            every, once = [], []
+            for row in rows:
+                block = Block(row)
+                sums = _by_context(block, np.frombuffer(row["levels"], np.uint8))
+                every.append(pack_tokens(sums[0]))
+                once.append(pack_tokens(sums[1]))
+            yield pa.RecordBatch.from_pydict({
+                "block": batch.column("block"), "every": pa.array(every, pa.binary()),
+                "once": pa.array(once, pa.binary()),
+            })
+
+    def by_class(batches):
+        every, once = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                counts = np.frombuffer(row["counts"], "<u8").astype(np.float64)
+                sums = unpack_tokens(row["every"]), unpack_tokens(row["once"])
+                where = np.minimum(np.frexp(counts[: len(sums[0])])[1], CLASSES - 1)
+                every += np.bincount(where, sums[0], CLASSES).astype(np.int64)
+                once += np.bincount(where, sums[1], CLASSES).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({
+            "class": pa.array(range(CLASSES), pa.int32()), "every": pa.array(every),
+            "once": pa.array(once),
+        })
+
+    sums = probed.select("block", "tokens", "lengths", "held", "levels").mapInArrow(
+        add_up, "block long, every binary, once binary"
+    )
+    told = sums.join(packed, "block").select("every", "once", "counts").mapInArrow(
+        by_class, "class int, every long, once long"
+    )
+    every, once = np.zeros(CLASSES), np.zeros(CLASSES)
+    for row in told.groupBy("class").agg(F.sum("every").alias("every"), F.sum("once").alias("once")).collect():
+        every[row["class"]], once[row["class"]] = row["every"], row["once"]
     # Half of one more of either kind: no class is certain.
     share = (once + 0.5) / (every + 1.0)
     return tuple(np.clip(share, 1e-4, 1 - 1e-4).tolist())
@@ -447,13 +483,9 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
     n, v, ends = totals["n"], totals["v"], totals["ends"]
     table = build_filter(blocks, n)
     packed = counts.select("block", "counts")
-    some = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(SAMPLE_BLOCKS).collect()]
-    sample = blocks.filter(F.col("block").isin(some)).join(packed, "block").collect() if some else []
     unknown = min(max((totals["once"] + 0.5) / (n + 1.0), 1e-9), 0.5)
-    fresh = _fresh_by_class(
-        [Block(r.asDict()) for r in sample],
-        [np.frombuffer(r["counts"], "<u8").astype(np.int64) for r in sample], ends, table,
-    )
+    probed = probe(blocks, table)
+    fresh = fresh_by_class(probed, packed)
     smoothing = Smoothing(n, v, unknown, fresh)
     out_schema = StructType([
         StructField(key, docs.schema["key"].dataType), StructField("held_out", BooleanType()),
@@ -480,5 +512,4 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
                     "base_score": pa.array(per_text[1]), "score": pa.array(per_text[2]),
                 })
 
-    probed = probe(blocks, table)
     return probed.join(packed, "block").mapInArrow(finish, out_schema)

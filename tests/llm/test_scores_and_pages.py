@@ -75,6 +75,29 @@ def test_parts_and_blocks_change_nothing(spark, monkeypatch):
     assert {r.doc_id for r in scored(docs).collect()} == set(whole)
 
 
+def test_chances_of_new_successors_come_from_all_training_texts(spark, monkeypatch):
+    """Texts of two kinds, blocks of one text: a sample of blocks sees one kind only."""
+    rows = [(i, f"a b c d e f g h {i % 3}" if i % 20 else " ".join(f"w{i}x{k} a" for k in range(40)))
+            for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    seen = []
+    keep = ngram_bloom.Smoothing
+    monkeypatch.setattr(ngram_bloom, "Smoothing", lambda *a: seen.append(keep(*a)) or seen[-1])
+    whole = {r.doc_id: r.score for r in scored(docs).collect()}
+    monkeypatch.setattr(ngram_bloom, "BLOCK_TOKENS", 1)
+    assert {r.doc_id: r.score for r in scored(docs).collect()} == pytest.approx(whole, rel=1e-12)
+    words = [ngram_bloom.tokens(t) for i, t in rows if not held(i)]
+    pairs = [p for w in words for p in zip([ngram_bloom.END, *w[:-1]], w, strict=True)]
+    known, n = Counter(pairs), Counter(w for t in words for w in t)
+    every, once = Counter(), Counter()
+    for p in pairs:
+        every[n[p[0]].bit_length()] += 1
+        once[n[p[0]].bit_length()] += known[p] == 1
+    for s in seen:
+        for k in every:  # the filter errs a little
+            assert s.fresh[k] == pytest.approx((once[k] + 0.5) / (every[k] + 1), abs=0.02)
+
+
 def test_the_filter_never_loses_a_count():
     rng = np.random.default_rng(8)
     keys = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))
