@@ -32,12 +32,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group: the one with the smallest id. A row that is repeated
-    with its id stays once."""
-    groups = setsketch.near_duplicates(docs)
-    kept = groups.filter("kept").select("doc_id").distinct()
-    once = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"])
+    """One row of every group: one with the smallest id, if any has an id. A row that is
+    repeated with its id stays once; rows of one id with unlike texts all stay."""
+    return setsketch.without_near_duplicates(docs.select(*COLUMNS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,8 +20,11 @@ costs a few comparisons for each copy, and no task holds an unbounded group.
 
 Nulls and odd input: a null or empty text and one without words has the empty set, is
 linked with nothing and is its own component. Fewer than five words are one shingle.
-Repeated rows are equal texts. A row without a key takes the component of its class,
-which is null if no row of the component has a key. An empty table gives no rows.
+Rows are told apart by a number of their own, written with their sketches, not by their
+keys: rows with one key and different texts are compared each with its own text, and may
+be in different components under one component_id. Rows repeated in full are one class. A
+row without a key takes the component of its class; component_id is null if no row of the
+component has a key. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -289,19 +292,53 @@ def near_duplicates(
     """(key, n_shingles, component_id, kept) for every row of docs.
 
     key is an integer. component_id is the smallest key reachable over links, and kept
-    marks the rows that carry it.
+    marks one row of every component: of those that carry component_id any one.
     """
     slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    sketched = materialise(sketch(slim).drop("text"), "sketches")
+    rows, groups = _grouped(slim, percent)
+    # A class has any number of rows, but one row in groups.
+    found = rows.select("key", "n_shingles", "set", "row").join(groups, "set")
+    return found.select(
+        F.col("key").alias(key), "n_shingles", "component_id",
+        (F.col("row") == F.col("head")).alias("kept"),
+    )
+
+
+def without_near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75
+) -> DataFrame:
+    """The rows of docs that near_duplicates marks as kept, with all their columns."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    slim = docs.select(
+        F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.struct(*others).alias("rest")
+    )
+    rows, groups = _grouped(slim, percent)
+    heads = groups.select(F.col("head").alias("row")).distinct()
+    return rows.join(heads, "row", "left_semi").select(
+        *[F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`") for c in docs.columns]
+    )
+
+
+def _grouped(slim: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """slim (key, text, ...) as a written table with row, its number, and set, its class;
+    and (set, component_id, head) for every class, head being the row that is kept."""
+    # Without words there is no set: rows of one key are a class, and rows without a key
+    # one each.
+    own = F.coalesce(
+        F.col("digest"), F.concat(F.lit("key "), F.col("key").cast("string")).cast("binary"),
+        F.concat(F.lit("row "), F.col("row").cast("string")).cast("binary"),
+    )
+    numbered = sketch(slim).withColumn("row", F.monotonically_increasing_id())
+    sketched = materialise(numbered.withColumn("set", own).drop("digest"), "sketches")
+    first = F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "row")).alias("first")
     classes = materialise(
-        sketched.filter("n_shingles > 0 AND key IS NOT NULL").groupBy("digest")
-        .agg(F.min("key").alias("rep")), "classes",
+        sketched.groupBy("set").agg(first)
+        .select("set", F.col("first.row").alias("rep"), F.col("first.key").alias("key")), "classes",
     )
-    # One row of a key is enough: rows repeated in full have equal sketches.
-    held = sketched.withColumnRenamed("key", "rep").join(classes, ["digest", "rep"], "left_semi")
-    reps = held.select("rep", F.col("n_shingles").alias("n"), "registers", "bands")
-    reps = materialise(reps.dropDuplicates(["rep"]), "representatives")
-    texts = slim.withColumnRenamed("key", "rep")
+    held = sketched.filter("n_shingles > 0").withColumnRenamed("row", "rep")
+    held = held.select("rep", F.col("n_shingles").alias("n"), "registers", "bands")
+    reps = materialise(held.join(classes.select("rep"), "rep", "left_semi"), "representatives")
+    texts = sketched.select(F.col("row").alias("rep"), "text")
 
     buckets = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     ends = materialise(
@@ -344,18 +381,24 @@ def near_duplicates(
     more = materialise(across(rows, "cluster", percent, exact=True), "links")
     part = materialise(components(links.unionByName(more)), "components")
 
-    found = sketched.select("key", "n_shingles", "digest").join(classes, "digest", "left")
-    found = found.join(part.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "key")
-    return found.select(
-        F.col("key").alias(key), "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"),
+    # Components are named after their smallest row; their keys and heads follow here.
+    named = materialise(
+        part.withColumnRenamed("node", "rep").join(classes.select("rep", "key"), "rep"), "named"
+    )
+    first = F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "rep")).alias("first")
+    heads = named.groupBy("component").agg(first).select(
+        "component", F.col("first.key").alias("low"), F.col("first.rep").alias("head")
+    )
+    linked = materialise(named.select("rep", "component").join(heads, "component"), "heads")
+    groups = classes.join(linked.drop("component"), "rep", "left").select(
+        "set", F.coalesce("low", "key").alias("component_id"), F.coalesce("head", "rep").alias("head")
     )
+    return sketched, materialise(groups, "groups")
 
 
 def _texts_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """One text for every representative of classes."""
-    return texts.join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    """The text of every representative of classes: its own row's."""
+    return texts.join(classes.select("rep"), "rep", "left_semi")
 
 
 def _links(pairs, reps, texts, classes, percent: int) -> DataFrame:

@@ -49,3 +49,13 @@ def test_odd_documents_pass_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF).cache()
     assert docs.count() >= 0
+
+
+def test_rows_without_an_id_are_kept_by_near_dedup(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (4, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(r.text for r in got.collect()) == texts

@@ -116,6 +116,22 @@ def test_odd_documents_and_empty_tables(spark):
         (None, 3, False), (3, 3, True)}
 
 
+def test_rows_are_told_apart_by_their_texts(spark):
+    """Null ids, one id with several texts, and groups in which no row has an id."""
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(None, one), (None, one), (None, one + " more"), (7, two), (7, three), (7, three),
+            (8, two + " more"), (9, three + " more"), (None, two), (None, ""), (None, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = setsketch.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(
+        [(None, None)] * 5 + [(7, 7)] * 3 + [(8, 7), (9, 7), (None, 7)] + [(6, 6)] * 2, key=str)
+    assert sum(r.kept for r in got) == 6
+    left = [tuple(r) for r in setsketch.without_near_duplicates(docs).collect()]
+    assert sorted(left, key=str) in [
+        sorted([(None, first), (7, two), (7, three), (None, ""), (None, None), (6, "")], key=str)
+        for first in (one, one + " more")]
+
+
 # --- embeddings
 
 
