@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,3 +56,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system Spark can reach; none there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Working tables of one operator, each removed after its last reader.
+
+    write() cuts lineage like materialise(). drop() removes tables that only tables
+    already written were made from; what a result is still to be read from stays.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self._spark, name)
+        df.write.parquet(path)
+        table = self._spark.read.parquet(path)
+        self._paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self._paths.pop(id(table))
+            remove_folder(self._spark, path)
+        # Spark deletes the shuffle files of finished jobs when the driver collects the
+        # plans that made them, by default every half hour.
+        gc.collect()
+        self._spark._jvm.System.gc()
