@@ -41,4 +41,79 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
 FROM judged
 """
 
-ORACLES: dict[str, str] = {"op7_quality_rules": OP7}
+
+
+def _merkle_levels(name: str, nodes: str, levels: int) -> str:
+    """CTEs {name}0.. of a tree's nodes (g, r, n, d) and {name}_run of the child runs, up
+    to 16^levels nodes; {name}_top has the last node of every group."""
+    out = [f"{name}0 AS ({nodes})"]
+    for k in range(levels):
+        out.append(f"""{name}_run{k} AS (
+  SELECT g, r // 16 AS r, any_value(n) AS n, list(d ORDER BY r) AS kids FROM {name}{k} WHERE n > 1 GROUP BY g, r // 16
+), {name}{k + 1} AS (
+  SELECT g, r, (n + 15) // 16 AS n, sha256(array_to_string(kids, '')) AS d FROM {name}_run{k})""")
+    tops = " UNION ALL ".join(f"SELECT g, d FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+    return ", ".join([*out, f"{name}_top AS ({tops})"])
+
+
+def _merkle_way(name: str, start: str, levels: int) -> str:
+    """CTEs that take rows (key, g, r, acc, sib) of {start} up a tree."""
+    out, at = [], start
+    for k in range(levels):
+        out.append(f"""{name}_way{k} AS (
+  SELECT w.key, w.g, w.r // 16 AS r,
+         CASE WHEN u.kids IS NULL THEN w.acc ELSE sha256(
+           array_to_string(u.kids[:w.r % 16], '') || w.acc || array_to_string(u.kids[w.r % 16 + 2:], '')) END AS acc,
+         CASE WHEN u.kids IS NULL THEN w.sib ELSE w.sib
+           || array_to_string(u.kids[:w.r % 16], '') || array_to_string(u.kids[w.r % 16 + 2:], '') END AS sib
+  FROM {at} w LEFT JOIN {name}_run{k} u ON u.g = w.g AND u.r = w.r // 16)""")
+        at = f"{name}_way{k}"
+    return ", ".join(out)
+
+
+def _encoded(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(({value})::VARCHAR) || ':' || {value} END"
+
+
+_FIELDS = " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _crc32_cte(source: str, key: str) -> str:
+    """CTE crc (key, crc): unsigned crc32 of the decimal text of every distinct key, from
+    the usual table of 256 remainders, since DuckDB has no such function."""
+    step = "xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"""crc_table AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda v, _: {step}) AS row FROM (SELECT unnest(range(256)) AS i)
+), crc_rows AS (SELECT list(row ORDER BY i) AS t FROM crc_table
+), crc AS (
+  SELECT key, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM (SELECT DISTINCT {key} AS key FROM {source} WHERE {key} IS NOT NULL), crc_rows)"""
+
+
+# Up to 16^4 rows of a source and 16^3 sources.
+OP12 = f"""
+WITH {_crc32_cte("documents", "doc_id")}, leaf AS (
+  SELECT row_number() OVER () AS key, doc_id, source,
+         sha256({_FIELDS} || {_encoded("text")}) AS leaf,
+         sha256({_FIELDS} || CASE WHEN crc % 5 = 0 THEN {_encoded(_LOWER)} ELSE {_encoded("text")} END) AS claimed
+  FROM documents LEFT JOIN crc ON documents.doc_id = crc.key
+), src AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s, count(*) OVER () AS n
+  FROM (SELECT DISTINCT source FROM documents)
+), placed AS (
+  SELECT leaf.*, s, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+         count(*) OVER (PARTITION BY s) AS n
+  FROM leaf JOIN src ON leaf.source IS NOT DISTINCT FROM src.source
+), {_merkle_levels("t", "SELECT s AS g, r, n, leaf AS d FROM placed", 4)},
+{_merkle_levels("u", "SELECT 0 AS g, s AS r, src.n AS n, d FROM src JOIN t_top ON t_top.g = s", 3)},
+start AS (SELECT key, s AS g, r, claimed AS acc, '' AS sib FROM placed),
+{_merkle_way("t", "start", 4)}, middle AS (SELECT key, 0 AS g, g AS r, acc, sib FROM t_way3),
+{_merkle_way("u", "middle", 3)}
+SELECT doc_id, leaf, t_top.d AS subroot, u_top.d AS root, sha256(sib) AS proof_sha256,
+       acc AS folded_root, acc = u_top.d AS verified
+FROM placed JOIN u_way2 USING (key) JOIN t_top ON t_top.g = placed.s CROSS JOIN u_top
+"""
+
+ORACLES: dict[str, str] = {"op7_quality_rules": OP7, "op12_merkle_manifest": OP12}

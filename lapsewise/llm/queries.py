@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, langid, ngram_bloom, nndescent, packing, quality, setsketch, sharding, toxicity, wrappers
-from lapsewise.llm.common import fold, table
+from lapsewise.llm import bpe, langid, merkle, ngram_bloom, nndescent, packing, quality, setsketch, sharding, toxicity, wrappers
+from lapsewise.llm.common import ascii_lower, fold, table
 from lapsewise.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    altered = F.when(F.coalesce(fold("doc_id", 5) == 0, F.lit(False)), ascii_lower(text)).otherwise(text)
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    leaf = merkle.digest(*[merkle.encoded(F.col(c)) for c in fields])
+    claimed = merkle.digest(*[merkle.encoded(F.col(c)) for c in fields[:-1]], merkle.encoded(altered))
+    leaves = docs.select("source", "doc_id", leaf.alias("leaf"), claimed.alias("claimed"))
+    return merkle.manifest(leaves).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_nn_descent": op1_nn_descent,
     "op2_sharding": op2_sharding,
@@ -112,4 +125,5 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
