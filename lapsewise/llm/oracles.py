@@ -116,4 +116,47 @@ SELECT doc_id, leaf, t_top.d AS subroot, u_top.d AS root, sha256(sib) AS proof_s
 FROM placed JOIN u_way2 USING (key) JOIN t_top ON t_top.g = placed.s CROSS JOIN u_top
 """
 
-ORACLES: dict[str, str] = {"op7_quality_rules": OP7, "op12_merkle_manifest": OP12}
+_P = "1 + (1000000000::HUGEINT * ({c} + 2)) // ({n} + 2 * {v})"
+_F = "(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+
+OP13 = rf"""
+WITH body AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), word AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM body
+), vocabulary AS (
+  SELECT lang, term, count(*) AS n FROM word GROUP BY ALL HAVING count(DISTINCT d) >= 10
+), size AS (
+  SELECT lang, count(*) AS v, sum(n) AS n FROM vocabulary GROUP BY lang
+), grp AS (SELECT DISTINCT lang, source FROM body
+), seen AS (
+  SELECT lang, source, term, count(*) AS n FROM word JOIN vocabulary USING (lang, term) GROUP BY ALL
+), total AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS n FROM grp LEFT JOIN seen USING (lang, source) GROUP BY ALL
+), share AS (
+  SELECT g.lang, g.source, w.term, coalesce(s.n, 0) AS c,
+         {_P.format(c="coalesce(s.n, 0)", n="g.n", v="z.v")} AS p,
+         {_P.format(c="w.n", n="z.n", v="z.v")} AS q
+  FROM total g JOIN vocabulary w USING (lang) JOIN size z USING (lang)
+       LEFT JOIN seen s ON s.lang = g.lang AND s.source = g.source AND s.term = w.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum({_F.format(p="a.p", q="b.p")}) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, {_F.format(p="p", q="q")} FROM share WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": OP7, "op12_merkle_manifest": OP12, "op13_source_divergence": OP13,
+}

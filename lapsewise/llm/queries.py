@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, langid, merkle, ngram_bloom, nndescent, packing, quality, setsketch, sharding, toxicity, wrappers
+from lapsewise.llm import bpe, divergence, langid, merkle, ngram_bloom, nndescent, packing, quality, setsketch, sharding, toxicity, wrappers
 from lapsewise.llm.common import ascii_lower, fold, table
 from lapsewise.session import materialise
 
@@ -114,6 +114,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_nn_descent": op1_nn_descent,
     "op2_sharding": op2_sharding,
@@ -126,4 +130,5 @@ QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_source_divergence": op13_source_divergence,
 }
