@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, divergence, langid, merkle, ngram_bloom, nndescent, packing, quality, setsketch, sharding, toxicity, wrappers
+from lapsewise.llm import bpe, divergence, langid, merkle, ngram_bloom, nndescent, packing, quality, setsketch, sharding, suffix_dedup, toxicity, wrappers
 from lapsewise.llm.common import ascii_lower, fold, table
 from lapsewise.session import materialise
 
@@ -101,6 +101,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.without_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.col("text")
@@ -129,6 +136,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_source_divergence": op13_source_divergence,
 }
