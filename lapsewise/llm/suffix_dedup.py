@@ -50,10 +50,10 @@ from lapsewise.session import Scratch
 LENGTH = 100
 GRAM = 32
 SPLIT = 8192  # unlike stretches of one anchor that one task may gather
-SOME_BYTES = 2 << 20  # of text hashed at once
-HELD_BYTES = 16 << 20  # of text whose stretches are collapsed together
-BUCKET_BYTES = 32 << 20  # of text whose stretches' hashes meet in one task
-MERGE_BYTES = 3 << 20  # of stretches merged in one task
+SOME_BYTES = 512 << 10  # of text hashed at once
+HELD_BYTES = 8 << 20  # of text whose stretches are collapsed together
+BUCKET_BYTES = 16 << 20  # of text whose stretches' hashes meet in one task
+MERGE_BYTES = 1 << 20  # of stretches merged in one task
 
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFF)  # places within SOME_BYTES, twice over
@@ -149,10 +149,10 @@ def packed(buckets: int, anchor: np.ndarray, content: np.ndarray, place: np.ndar
 
 
 def texts_of(batches, size: int):
-    """Lists of (id, tie, bytes, other values of the row) of about size bytes of text."""
+    """Lists of (id, tie, bytes, other Arrow values of the row) of about size bytes of text."""
     held, total = [], 0
     for batch in batches:
-        rest = [batch.column(c).to_pylist() for c in batch.schema.names if c not in ("id", "tie", "text")]
+        rest = [batch.column(c) for c in batch.schema.names if c not in ("id", "tie", "text")]
         for values in zip(batch["id"].to_pylist(), batch["tie"].to_pylist(), batch["text"], *rest):
             row = (values[0], values[1], values[2].as_buffer().to_pybytes() if values[2].is_valid else b"", *values[3:])
             held.append(row)
@@ -212,7 +212,7 @@ def _windows(buckets: int, length: int):
         for held in texts_of(batches, HELD_BYTES // 16):
             anchors, contents, places = [], [], []
             for ident, tie, raw, spots in held:
-                spot = np.array([s["spot"] for s in spots], np.int64)
+                spot = spots.values.flatten()[0].to_numpy()
                 start, count = spot >> 7, spot & 127
                 each = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
                 place = np.empty(len(each), _PLACE)
@@ -316,11 +316,11 @@ def _shards(buckets: int, length: int):
             places, anchors, sizes, bases = [], [], [], []
             base = 0
             for ident, tie, raw, spots in held:
-                place = np.empty(len(spots), _PLACE)
-                place["id"], place["tie"] = ident, tie
-                place["spot"] = [s["spot"] for s in spots]
+                spot, anchor = (c.to_numpy() for c in spots.values.flatten())
+                place = np.empty(len(spot), _PLACE)
+                place["id"], place["tie"], place["spot"] = ident, tie, spot
                 places.append(place)
-                anchors.append(np.array([s["anchor"] for s in spots], "<i8").view("<u8"))
+                anchors.append(anchor.view("<u8"))
                 bases.append(np.full(len(spots), base))
                 base += len(raw)
             place, anchor = np.concatenate(places), np.concatenate(anchors)
@@ -371,16 +371,16 @@ def merged_intervals(lasts: list[np.ndarray], counts: list[int], sizes: np.ndarr
 
     lasts: last columns of the shards, counts: their numbers of stretches, sizes: lengths
     of all stretches. Rows are numbered shard after shard."""
-    last = np.concatenate(lasts).astype(np.int64)
+    last = np.concatenate(lasts).astype(np.int32)
     n = len(last)
-    shard = np.repeat(np.arange(len(lasts)), [len(x) for x in lasts])
+    shard = np.repeat(np.arange(len(lasts), dtype=np.int32), [len(x) for x in lasts])
     # A row's predecessor: within a shard, rows of one last symbol keep their order.
-    back = np.empty(n, np.int64)
+    back = np.empty(n, np.int32)
     back[stable_order(shard * 257 + last, len(lasts) * 257)] = np.arange(n)
     begun = np.cumsum([0, *[len(x) for x in lasts]])
     rows = np.concatenate([np.arange(c) + b for c, b in zip(counts, begun)])
     # Walking back from the end of every stretch names the rows.
-    stretch, offset = np.full(n, -1), np.zeros(n, np.int64)
+    stretch, offset = np.full(n, -1, np.int32), np.zeros(n, np.int32)
     ident, left = np.arange(len(rows)), sizes.copy()
     stretch[rows], offset[rows] = ident, left
     while len(rows):
@@ -390,9 +390,10 @@ def merged_intervals(lasts: list[np.ndarray], counts: list[int], sizes: np.ndarr
     # The four symbols before each row, as one code; rows too near the start have none.
     back2 = back[back]
     two, width = dense(last[back] * 257 + last, 257 * 257)
-    code, codes = dense(two[back2] * width + two, width * width)
+    code, codes = dense(two[back2].astype(np.int64) * width + two, width * width)
+    code = code.astype(np.int32)
     back4 = back2[back2]
-    row, interval = np.arange(n), np.zeros(n, np.int64)
+    row, interval = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     for step in [4] * (length // 4) + [1] * (length % 4):
         inside = offset[row] >= step
         row, interval = row[inside], interval[inside]
@@ -403,7 +404,7 @@ def merged_intervals(lasts: list[np.ndarray], counts: list[int], sizes: np.ndarr
         new = np.ones(len(row) + 1, bool)
         new[1:-1] = (coded[1:] != coded[:-1]) | (interval[1:] != interval[:-1])
         shared = ~(new[:-1] & new[1:])
-        interval = np.cumsum(new[:-1])[shared]
+        interval = np.cumsum(new[:-1], dtype=np.int32)[shared]
         row = row[shared]
     return stretch[row], offset[row], interval
 
@@ -425,7 +426,7 @@ def _merge(length: int):
         sizes = (place["spot"] & 127) - 1 + length
         stretch, offset, interval = merged_intervals(lasts, [len(p) for p in places], sizes, length)
         names, rank = np.unique(place, return_inverse=True)  # in order of id, tie and start
-        rank = rank[stretch]
+        rank = rank[stretch].astype(np.int64)
         order = rank * 128 + offset
         if len(order):
             starts = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
