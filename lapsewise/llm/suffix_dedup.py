@@ -359,9 +359,10 @@ def stable_order(codes: np.ndarray, top: int) -> np.ndarray:
 
 def dense(codes: np.ndarray, top: int) -> tuple[np.ndarray, int]:
     """Codes numbered without gaps, in the same order; their number."""
-    if top <= 1 << 24:
-        present = np.bincount(codes, minlength=1) > 0
-        return (np.cumsum(present) - 1)[codes], int(present.sum())
+    if top <= 1 << 22:
+        present = np.zeros(top, bool)
+        present[codes] = True
+        return (np.cumsum(present, dtype=np.int32) - 1)[codes], int(present.sum())
     values, inverse = np.unique(codes, return_inverse=True)
     return inverse, len(values)
 
