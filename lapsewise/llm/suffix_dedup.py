@@ -100,7 +100,9 @@ def stretches(raw: bytes, sizes: np.ndarray, length: int):
     new[1:] = (at[1:] != at[:-1]) | (places[1:] != places[:-1] + 1)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(places)))
-    return text[places[first]], places[first], count, hashes[at[first]]
+    # Smallest hashes begin alike, so they are mixed once more before they deal out buckets.
+    name = hashes[at[first]] * _MIX[0]
+    return text[places[first]], places[first], count, name ^ (name >> np.uint64(32))
 
 
 def content_hashes(raw: bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
