@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
+from pyspark.sql.window import Window
 
 from lapsewise.config import DEFAULT, Params
 from lapsewise.functions import days_between, null_sentinel, yyyymmdd_to_date
 from lapsewise.schema import MEMBER_COLUMNS, TRANSACTION_COLUMNS
+from lapsewise.sources.raw import SOURCE
 
 QUARANTINE_REASON = "expiry_before_transaction_not_cancelled"
 
@@ -48,8 +50,19 @@ def impute_zero_day(df: DataFrame) -> DataFrame:
 
 
 def transform_transactions(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Raw layout to the staged columns, before quarantine and de-duplication."""
+    """Raw layout to the staged columns, before quarantine and de-duplication. A column
+    that names the source of each row is carried along."""
+    return _typed(raw, params).select(
+        *TRANSACTION_COLUMNS, *[c for c in (SOURCE,) if c in raw.columns]
+    )
+
+
+def _typed(raw: DataFrame, params: Params) -> DataFrame:
+    """All columns of both layouts, and whether an expiry was the sentinel."""
     dated = date_transactions(raw).withColumn(
+        "was_sentinel",
+        F.coalesce(F.col("membership_expire_date") == F.lit(params.epoch_sentinel), F.lit(False)),
+    ).withColumn(
         "membership_expire_date",
         null_sentinel("membership_expire_date", params.epoch_sentinel),
     )
@@ -58,7 +71,7 @@ def transform_transactions(raw: DataFrame, params: Params = DEFAULT) -> DataFram
             "is_auto_renew": F.col("is_auto_renew").cast("boolean"),
             "is_cancel": F.col("is_cancel").cast("boolean"),
         }
-    ).select(*TRANSACTION_COLUMNS)
+    )
 
 
 def tag_quarantine(df: DataFrame) -> DataFrame:
@@ -91,7 +104,27 @@ def stage_transactions(
 ) -> tuple[DataFrame, DataFrame]:
     """(staged, quarantined). Quarantine comes first: quarantined copies are kept."""
     clean, quarantined = split_quarantine(transform_transactions(raw, params))
-    return deduplicate(clean), quarantined
+    return deduplicate(clean.select(*TRANSACTION_COLUMNS)), quarantined
+
+
+def source_counts(tagged: DataFrame) -> DataFrame:
+    """Rows of every source of a tagged table: read, quarantined, staged, and surplus
+    copies. A row delivered by several sources is staged from the first in name order.
+
+    Equal rows meet once, by their columns; a source is a key of the counts only.
+    """
+    clean = F.col("quarantine_reason").isNull()
+    rows = tagged.groupBy(*TRANSACTION_COLUMNS, "quarantine_reason", SOURCE).agg(
+        F.count("*").alias("n")
+    )
+    alike = Window.partitionBy(*TRANSACTION_COLUMNS, "quarantine_reason")
+    first = F.col(SOURCE) == F.min(SOURCE).over(alike)
+    return rows.withColumn("staged", (clean & first).cast("long")).groupBy(SOURCE).agg(
+        F.sum("n").alias("raw_rows"),
+        F.sum(F.when(clean, 0).otherwise(F.col("n"))).alias("quarantined"),
+        F.sum("staged").alias("staged_rows"),
+        F.sum(F.when(clean, F.col("n") - F.col("staged")).otherwise(0)).alias("duplicates"),
+    )
 
 
 def stage_members(raw: DataFrame) -> DataFrame:
@@ -104,23 +137,23 @@ def ingest_counts(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
     Duplicates are counted as surplus copies, not as a difference of totals, so
     that reconciliation compares independent figures.
     """
-    totals = tag_quarantine(transform_transactions(raw, params))
-    seen = date_transactions(raw).agg(
-        F.count("*").alias("raw_rows"),
-        F.count_if(
-            F.col("membership_expire_date") == F.lit(params.epoch_sentinel)
-        ).alias("sentinels_nulled"),
-    )
-    copies = totals.groupBy(*TRANSACTION_COLUMNS, "quarantine_reason").agg(
-        F.count("*").alias("copies")
+    copies = tag_quarantine(_typed(raw, params)).groupBy(
+        *TRANSACTION_COLUMNS, "quarantine_reason"
+    ).agg(
+        F.count("*").alias("copies"), F.count_if(F.col("was_sentinel")).alias("sentinels")
     )
     clean = F.col("quarantine_reason").isNull()
-    kept = copies.agg(
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0))
+
+    return copies.agg(
+        total(F.col("copies")).alias("raw_rows"),
+        total(F.col("sentinels")).alias("sentinels_nulled"),
         F.count_if(clean).alias("staged_rows"),
-        F.coalesce(F.sum(F.when(~clean, F.col("copies"))), F.lit(0)).alias("quarantined"),
-        F.coalesce(F.sum(F.when(clean, F.col("copies") - 1)), F.lit(0)).alias("duplicates"),
+        total(F.when(~clean, F.col("copies"))).alias("quarantined"),
+        total(F.when(clean, F.col("copies") - 1)).alias("duplicates"),
     )
-    return merge_counts(seen, kept)
 
 
 def merge_counts(*parts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,3 +35,19 @@ def write_raw(
     )
     tx.repartition(files).write.csv(f"{folder}/transactions", header=True)
     members.repartition(files).write.csv(f"{folder}/members", header=True)
+
+
+def write_deliveries(
+    spark: SparkSession,
+    sf_dir: str,
+    folder: str,
+    spans: dict[str, tuple[date, date]],
+    files: int,
+) -> None:
+    """folder/<name> with the transactions of each span of days."""
+    tx = warehouse.raw_transactions(spark, sf_dir)
+    for name, (first, last) in spans.items():
+        inside = tx.filter(F.col("transaction_date").between(F.lit(first), F.lit(last)))
+        as_raw(inside, RAW_TRANSACTIONS, ["transaction_date", "membership_expire_date"]).repartition(
+            files
+        ).write.csv(f"{folder}/{name}", header=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,6 +20,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def append_check_log(results: DataFrame, path: str) -> None:
-    """Check results are kept as JSON lines; every run adds to the history."""
-    results.write.mode("append").json(path)
+def append_check_log(results: DataFrame, path: str, entry: str | None = None) -> None:
+    """Check results are kept as JSON lines, a folder per entry; every entry adds to the
+    history, and one written again (a batch or run that is retried) replaces itself."""
+    name = re.sub(r"[^A-Za-z0-9_.-]+", "-", entry) if entry else uuid.uuid4().hex
+    results.write.mode("overwrite").json(f"{path}/entry={name}")

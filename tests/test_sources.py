@@ -1,7 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lapsewise.sources import append_check_log, pick_source, read_raw_members, read_raw_transactions
+from lapsewise.operators import ingest
+from lapsewise.sources import (
+    append_check_log,
+    pick_source,
+    read_raw_members,
+    read_raw_transactions,
+    with_source,
+)
 
 TX = (
     "msno,payment_method_id,payment_plan_days,plan_list_price,actual_amount_paid,"
@@ -44,15 +51,41 @@ def test_an_out_of_range_value_raises(spark, tmp_path):
         read_raw_transactions(spark, path).collect()
 
 
+ROW = "41,30,149,149,1,20150601,20150701,0"
+
+
+def delivery(tmp_path, name, *users):
+    (tmp_path / name).mkdir()
+    return str(write(tmp_path / name / "part.csv", TX, *[f"{u},{ROW}" for u in users]).rsplit("/", 1)[0])
+
+
 def test_the_preferred_source_is_used_and_named(spark, tmp_path):
-    second = write(tmp_path / "slice.csv", TX, "b,41,30,149,149,1,20150601,20150701,0")
-    picked = pick_source(spark, [str(tmp_path / "full.csv"), second])
-    assert [(r.msno, r.source_file) for r in picked.collect()] == [("b", "slice.csv")]
-    first = write(tmp_path / "full.csv", TX, "a,41,30,149,149,1,20150601,20150701,0")
-    picked = pick_source(spark, [first, second])
-    assert [(r.msno, r.source_file) for r in picked.collect()] == [("a", "full.csv")]
+    folders = [str(tmp_path / n) for n in ("full", "refresh")]
     with pytest.raises(FileNotFoundError):
-        pick_source(spark, [str(tmp_path / "none.csv")])
+        pick_source(spark, folders)
+
+    def picked():
+        return [(r.msno, r.source_file.split("/")[-2]) for r in pick_source(spark, folders).collect()]
+
+    delivery(tmp_path, "refresh", "b")
+    assert picked() == [("b", "refresh")]
+    delivery(tmp_path, "full", "a")
+    assert picked() == [("a", "full")]
+
+
+def test_counts_per_source_follow_rows_through_staging(spark, tmp_path):
+    one, two = delivery(tmp_path, "1", "a", "a", "b"), delivery(tmp_path, "2", "b", "c")
+    write(tmp_path / "2" / "bad.csv", TX, "d,41,30,149,149,1,20150601,20150501,0")
+    raw = with_source(read_raw_transactions(spark, [one, two]))
+    tagged = ingest.tag_quarantine(ingest.transform_transactions(raw))
+    got = ingest.source_counts(tagged).collect()
+    named = {tuple(r.source_file.split("/")[-2:]): tuple(r)[1:] for r in got}
+    assert named == {
+        ("1", "part.csv"): (3, 0, 2, 1), ("2", "part.csv"): (2, 0, 1, 1), ("2", "bad.csv"): (1, 1, 0, 0),
+    }
+    staged, quarantined = ingest.stage_transactions(raw)
+    assert staged.count() == 3 and "source_file" not in staged.columns
+    assert [r.source_file.split("/")[-1] for r in quarantined.collect()] == ["bad.csv"]
 
 
 def test_the_check_log_accumulates(spark, tmp_path):
