@@ -39,11 +39,6 @@ class Params:
     max_censoring: float = 0.99
     max_price_mismatch: float = 0.10
 
-    # A user with more staged rows than this is segmented over many tasks
-    # (see operators/spells.py). At most rows / hot_user_rows users qualify,
-    # which bounds the broadcast list of such users.
-    hot_user_rows: int = 1_000_000
-
     @property
     def label_cutoff(self) -> date:
         """Last day on which a churn event can still be determined."""

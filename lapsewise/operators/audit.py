@@ -105,10 +105,11 @@ def latest_transactions(tx: DataFrame) -> DataFrame:
     day, expiry = F.col("transaction_date"), F.col("membership_expire_date")
     cancelled = F.col("is_cancel").cast("boolean")
     known = pack_day_pair(day, F.coalesce(expiry, F.lit(UNKNOWN_DAY)), cancelled)
-    latest = tx.groupBy("msno").agg(F.max(known).alias("last"))
+    latest = tx.groupBy("msno").agg(F.max(known).alias("last"), F.max(day).alias("last_day"))
     end = unpack_second_day(F.col("last"))
     return latest.select(
         "msno",
+        "last_day",
         F.when(end > F.lit(UNKNOWN_DAY), end).alias("membership_expire_date"),
         unpack_flag(F.col("last")).alias("is_cancel"),
     )
@@ -119,18 +120,29 @@ def censoring_state(
 ) -> DataFrame:
     """Users active, undetermined (expired within the grace period) and churned at
     the last transaction date, or at as_of."""
-    last_day = (
-        F.lit(as_of) if as_of else tx.agg(F.max("transaction_date").alias("d")).scalar()
-    )
     expiry = F.col("membership_expire_date")
     limit = F.date_sub(F.col("max_date"), params.grace_days)
-    states = latest_transactions(tx).withColumn("max_date", last_day)
-    counts = states.groupBy("max_date").agg(
-        F.count("*").alias("n_users"),
-        F.count_if(expiry > F.col("max_date")).alias("n_active"),
-        F.count_if((expiry <= F.col("max_date")) & (expiry > limit)).alias("n_undetermined"),
-        F.count_if(expiry <= limit).alias("n_churned"),
-        F.count_if(F.col("is_cancel")).alias("n_last_is_cancel"),
+    # Users counted by expiry: a row per day of the calendar, so that the last date of
+    # all rows comes from the same scan.
+    by_expiry = latest_transactions(tx).groupBy("membership_expire_date").agg(
+        F.count("*").alias("users"),
+        F.count_if(F.col("is_cancel")).alias("cancelled"),
+        F.max("last_day").alias("last_day"),
+    )
+    last_day = (
+        F.lit(as_of) if as_of else F.max("last_day").over(Window.partitionBy(F.lit(0)))
+    )
+    users = F.col("users")
+
+    def those(inside: Column) -> Column:
+        return F.coalesce(F.sum(F.when(inside, users)), F.lit(0))
+
+    counts = by_expiry.withColumn("max_date", last_day).groupBy("max_date").agg(
+        F.sum(users).alias("n_users"),
+        those(expiry > F.col("max_date")).alias("n_active"),
+        those((expiry <= F.col("max_date")) & (expiry > limit)).alias("n_undetermined"),
+        those(expiry <= limit).alias("n_churned"),
+        F.sum("cancelled").alias("n_last_is_cancel"),
     )
     return counts.withColumn(
         "censoring_rate", ratio(F.col("n_active") + F.col("n_undetermined"), F.col("n_users"))
@@ -179,6 +191,13 @@ def price_mismatch_sample(tx: DataFrame, k: int = 15) -> DataFrame:
     )
 
 
+def date_pairs(tx: DataFrame) -> DataFrame:
+    """Rows counted by user and both dates."""
+    return tx.groupBy("msno", "transaction_date", "membership_expire_date").agg(
+        F.count("*").alias("rows")
+    )
+
+
 def return_gaps(tx: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """(msno, gap_days, returns): rows landing more than the grace period after the
     expiry of the user's previous row, by (date, expiry).
@@ -187,9 +206,7 @@ def return_gaps(tx: DataFrame, params: Params = DEFAULT) -> DataFrame:
     previous pair of dates, the others follow an equal row. The window then runs
     over distinct pairs, whose number per user the calendar bounds.
     """
-    pairs = tx.groupBy("msno", "transaction_date", "membership_expire_date").agg(
-        F.count("*").alias("rows")
-    )
+    pairs = date_pairs(tx)
     order = Window.partitionBy("msno").orderBy(
         "transaction_date", F.col("membership_expire_date").asc_nulls_last()
     )
@@ -225,7 +242,8 @@ def resubscribers(tx: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
     # Weighted by the number of returns: the exact median over return events.
     middle = gaps.agg(F.percentile("gap_days", 0.5, F.col("returns")).alias("median_gap_days"))
-    days = tx.groupBy("msno", "transaction_date").agg(F.count("*").alias("rows"))
+    # From the pairs the gaps are taken of, so that Spark reuses their exchange.
+    days = date_pairs(tx).groupBy("msno", "transaction_date").agg(F.sum("rows").alias("rows"))
     users = days.groupBy("msno").agg(
         F.sum("rows").alias("rows"), F.count_if(F.col("rows") > 1).alias("shared_days")
     ).agg(

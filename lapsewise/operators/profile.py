@@ -11,7 +11,8 @@ from lapsewise.functions import cohort_month, days_between, ratio
 from lapsewise.operators.audit import censoring_state
 from lapsewise.operators.backtest import cohort_starts, eligible_cohorts
 from lapsewise.operators.ingest import merge_counts
-from lapsewise.operators.spells import FAR_FUTURE, churn_observed
+from lapsewise.operators.quantiles import exact_percentiles
+from lapsewise.operators.spells import churn_observed
 from lapsewise.operators.survival import fit_curves, survival_at
 
 
@@ -73,58 +74,37 @@ def exclusion_reasons(subjects: DataFrame) -> DataFrame:
     )
 
 
-def first_rows(staged: DataFrame) -> DataFrame:
-    """Amount, auto-renewal and payment method of each user's first row, and its
-    number of rows. The minimum is combined before the shuffle."""
-    key = F.struct(
-        "transaction_date",
-        F.coalesce("membership_expire_date", F.lit(FAR_FUTURE)).alias("expiry"),
-        "is_cancel",
-        "payment_method_id",
-        F.col("plan_days").isNull().alias("no_plan"),
-        "plan_days",
-        "list_price",
-        "actual_amount_paid",
-        "is_auto_renew",
-    )
-    return staged.groupBy("msno").agg(
-        F.min(key).alias("first"), F.count("*").alias("n_rows")
-    ).select(
-        "msno", "first.actual_amount_paid", "first.is_auto_renew",
-        "first.payment_method_id", F.col("n_rows").alias("user_rows"),
+def _group() -> Column:
+    return F.when(F.col("population") == "excluded", "no_member_row").when(
+        _is_subject(), "retained"
     )
 
 
-def excluded_profile(
-    staged: DataFrame, subjects: DataFrame, method: int, params: Params = DEFAULT
-) -> DataFrame:
+def excluded_profile(subjects: DataFrame, method: int, params: Params = DEFAULT) -> DataFrame:
     """Users without a member row beside retained subjects, on observables and on
     first-spell outcomes clocked from the first transaction."""
-    group = F.when(F.col("population") == "excluded", "no_member_row").when(
-        _is_subject(), "retained"
+    is_outcome = F.col("status") == "subject"
+    tenure = days_between("spell_start_date", "end_date")
+    grouped = subjects.withColumn("group", _group()).filter(F.col("group").isNotNull())
+    seen = grouped.groupBy("group").agg(
+        F.count("*").alias("users"),
+        F.avg(F.col("first_auto_renew").cast("int")).alias("auto_renew_share"),
+        F.avg((F.col("first_method") == method).cast("int")).alias("method_share"),
+        F.avg(F.when(is_outcome, F.col("event").cast("int"))).alias("event_rate"),
     )
-    grouped = subjects.withColumn("group", group).filter(F.col("group").isNotNull())
-    seen = (
-        grouped.select("msno", "group")
-        .join(first_rows(staged), "msno")
-        .groupBy("group")
-        .agg(
-            F.count("*").alias("users"),
-            F.median("actual_amount_paid").alias("median_first_amount"),
-            F.avg(F.col("is_auto_renew").cast("int")).alias("auto_renew_share"),
-            F.median("user_rows").alias("median_transactions"),
-            F.avg((F.col("payment_method_id") == method).cast("int")).alias("method_share"),
-        )
-    )
-    outcomes = grouped.filter(F.col("status") == "subject").select(
-        "group",
-        F.lit(0).alias("entry_days"),
-        days_between("spell_start_date", "end_date").alias("tenure_days"),
-        "event",
+    middles = exact_percentiles(
+        grouped, ["group"],
+        {
+            "amount": F.col("first_amount"), "rows": F.col("n_rows"),
+            "tenure": F.when(is_outcome, tenure),
+        },
+        {
+            "median_first_amount": ("amount", 0.5), "median_transactions": ("rows", 0.5),
+            "median_tenure": ("tenure", 0.5),
+        },
     )
-    rates = outcomes.groupBy("group").agg(
-        F.avg(F.col("event").cast("int")).alias("event_rate"),
-        F.median("tenure_days").alias("median_tenure"),
+    outcomes = grouped.filter(is_outcome).select(
+        "group", F.lit(0).alias("entry_days"), tenure.alias("tenure_days"), "event"
     )
     at = survival_at(fit_curves(outcomes, ["group"], params), ["group"], (90, 365))
     running = at.groupBy("group").agg(
@@ -133,7 +113,32 @@ def excluded_profile(
             for h in (90, 365)
         ]
     )
-    return seen.join(rates, "group", "left").join(running, "group", "left")
+    return seen.join(middles, "group", "left").join(running, "group", "left")
+
+
+def excluded_cohorts(subjects: DataFrame) -> DataFrame:
+    """Each cohort's share among users without a member row beside its share among
+    retained subjects, and the group it is over-represented in (NULL if in neither).
+    ratio is NULL where a cohort has no retained subject."""
+    grouped = subjects.withColumn("group", _group()).filter(F.col("group").isNotNull())
+    counts = grouped.groupBy("cohort_month").agg(
+        F.count_if(F.col("group") == "no_member_row").alias("excluded"),
+        F.count_if(F.col("group") == "retained").alias("retained"),
+    )
+    # One row per cohort from here on.
+    whole = Window.partitionBy(F.lit(0))
+    shares = counts.withColumns(
+        {
+            f"{g}_share": ratio(F.col(g), F.sum(g).over(whole)) for g in ("excluded", "retained")
+        }
+    )
+    # Compared as whole numbers: shares that differ only by rounding are equal.
+    more = F.col("excluded") * F.sum("retained").over(whole)
+    fewer = F.col("retained") * F.sum("excluded").over(whole)
+    return shares.withColumn(
+        "over_represented_in",
+        F.when(more > fewer, "no_member_row").when(more < fewer, "retained"),
+    ).withColumn("ratio", ratio(F.col("excluded_share"), F.col("retained_share")))
 
 
 def lag_by_channel(subjects: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -142,22 +147,22 @@ def lag_by_channel(subjects: DataFrame, params: Params = DEFAULT) -> DataFrame:
     inside = F.col("registration_date") >= F.lit(params.window_open)
     lag = F.when(inside, days_between("registration_date", "spell_start_date"))
     truncated = _is_subject() & (F.col("entry_days") > 0)
-    by_channel = (
-        subjects.filter(F.col("population") == "main")
-        .groupBy("registered_via")
-        .agg(
-            F.count(lag).alias("n"),
-            F.percentile(lag, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.75), F.lit(0.9))).alias("p"),
-            F.avg((lag == 0).cast("int")).alias("same_day_share"),
-            F.count_if(truncated).alias("n_truncated"),
-        )
+    main = subjects.filter(F.col("population") == "main")
+    by_channel = main.groupBy("registered_via").agg(
+        F.count(lag).alias("n"),
+        F.avg((lag == 0).cast("int")).alias("same_day_share"),
+        F.count_if(truncated).alias("n_truncated"),
     )
+    edges = exact_percentiles(
+        main, ["registered_via"], {"lag": lag},
+        {n: ("lag", p) for n, p in (("p10", 0.1), ("median_lag", 0.5), ("p75", 0.75), ("p90", 0.9))},
+    ).withColumnRenamed("registered_via", "channel")
     # One row per channel from here on.
     total = F.sum("n_truncated").over(Window.partitionBy(F.lit(0)))
-    return by_channel.select(
-        "registered_via", "n",
-        F.col("p")[0].alias("p10"), F.col("p")[1].alias("median_lag"),
-        F.col("p")[2].alias("p75"), F.col("p")[3].alias("p90"),
+    return by_channel.join(
+        edges, F.col("registered_via").eqNullSafe(F.col("channel")), "left"
+    ).select(
+        "registered_via", "n", "p10", "median_lag", "p75", "p90",
         "same_day_share", "n_truncated",
         ratio(F.col("n_truncated"), total).alias("truncated_weight"),
     )
@@ -207,21 +212,15 @@ def zero_day_profile(staged: DataFrame) -> DataFrame:
 
 def truncation_by_cohort(spells: DataFrame) -> DataFrame:
     truncated = F.col("entry_days") > 0
-    accrued = F.when(truncated, F.col("entry_days"))
-    return (
-        spells.groupBy("cohort_month")
-        .agg(
-            F.count("*").alias("n"),
-            F.avg(truncated.cast("int")).alias("truncated_share"),
-            F.percentile(
-                accrued, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.9))
-            ).alias("p"),
-        )
-        .select(
-            "cohort_month", "n", "truncated_share",
-            F.col("p")[0].alias("p25"), F.col("p")[1].alias("median_entry"),
-            F.col("p")[2].alias("p75"), F.col("p")[3].alias("p90"),
-        )
+    shares = spells.groupBy("cohort_month").agg(
+        F.count("*").alias("n"), F.avg(truncated.cast("int")).alias("truncated_share")
+    )
+    edges = exact_percentiles(
+        spells, ["cohort_month"], {"entry": F.when(truncated, F.col("entry_days"))},
+        {n: ("entry", p) for n, p in (("p25", 0.25), ("median_entry", 0.5), ("p75", 0.75), ("p90", 0.9))},
+    )
+    return shares.join(edges, "cohort_month", "left").select(
+        "cohort_month", "n", "truncated_share", "p25", "median_entry", "p75", "p90"
     )
 
 

@@ -16,21 +16,22 @@ def _main_subjects(subjects: DataFrame) -> DataFrame:
     )
 
 
-def spell_revenue(subjects: DataFrame) -> DataFrame:
-    """Revenue of paid rows of the first spell. Cancel rows are left out, not netted."""
-    return _main_subjects(subjects).select(
-        "msno",
-        "plan_type",
-        "first_spell_rev",
-        days_between("spell_start_date", "end_date").alias("observed_days"),
-        "imputed_rev",
-        "event",
+REVENUE = [
+    "msno", "plan_type", "first_spell_rev", "observed_days", "imputed_rev", "event",
+]
+
+
+def revenue_with_entry(subjects: DataFrame) -> DataFrame:
+    """Revenue of paid rows of the first spell, with entry_days: both are columns of the
+    subject table. Cancel rows are left out, not netted."""
+    observed = days_between("spell_start_date", "end_date")
+    return _main_subjects(subjects).withColumn("observed_days", observed).select(
+        *REVENUE, "entry_days"
     )
 
 
-def attach_entry(revenue: DataFrame, spells: DataFrame) -> DataFrame:
-    """entry_days onto the revenue mart: one row per user on both sides."""
-    return revenue.join(spells.select("msno", "entry_days"), "msno")
+def spell_revenue(subjects: DataFrame) -> DataFrame:
+    return revenue_with_entry(subjects).select(*REVENUE)
 
 
 def reactivation(subjects: DataFrame, params: Params = DEFAULT) -> DataFrame:

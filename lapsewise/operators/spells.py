@@ -3,19 +3,20 @@
 Each user's rows are put in a total order and cut wherever a row lands more than
 the grace period after the coverage paid for so far. Everything downstream (the
 subject table, the excluded population, revenue, reactivation) is a projection of
-one aggregate over that numbering, so rows are shuffled by user once.
-
-A user with very many rows would make that window one long task. Such users are
-numbered by splitting their order instead: rows are first combined into runs
-sharing the leading sort columns, the running coverage is taken over the runs
-(whose number depends on the calendar, not on the data), and rows look their run
-up again. Both routes give the same numbering.
+one aggregate over that numbering.
+
+Rows are combined into parts before the shuffle by user: a part holds the rows of a
+user that share the leading sort columns, with their number and sums. Rows of a part
+follow each other in the order, and only the first of them can see less coverage than
+the rest, so two flags and a count say where each of its rows opens a spell. The windows
+run over parts, whose number per user follows the calendar and the price list and not
+the data: no task sorts all rows of a user, however many one has. Rows get their number
+back from their part.
 """
 
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,20 +41,16 @@ NUMBERING = ["coverage_so_far", "opens_spell", "spell_no"]
 FAR_FUTURE = date(9999, 12, 31)
 
 
-def _nulls_last(columns: list[str]) -> list[Column]:
-    return [F.col(c).asc_nulls_last() for c in columns]
-
-
 def _opens(coverage: Column, grace: int) -> Column:
     late = days_between(coverage, "transaction_date") > grace
     return F.when(coverage.isNull() | late, 1).otherwise(0)
 
 
-def _paid_until() -> Column:
-    return F.when(~F.col("is_cancel"), F.col("membership_expire_date"))
+# --- numbering ---------------------------------------------------------------
 
 
-# --- numbering ---------------------------------------------------------------
+PART = ["msno", "transaction_date", "no_expiry", "expiry_key", "is_cancel",
+        "payment_method_id", "no_plan", "plan_key", "list_price"]
 
 
 def user_rows(staged: DataFrame) -> DataFrame:
@@ -62,30 +59,9 @@ def user_rows(staged: DataFrame) -> DataFrame:
     return staged.groupBy("msno").agg(F.count("*").alias("rows"))
 
 
-def hot_users(users: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Users with more rows than one window task should sort."""
-    return users.filter(F.col("rows") > params.hot_user_rows).select("msno")
-
-
-def _in_order():
-    return Window.partitionBy("msno").orderBy(*_nulls_last(SPELL_ORDER))
-
-
-def number_in_window(rows: DataFrame, grace: int) -> DataFrame:
-    """Two running windows over one shuffle and one sort."""
-    order = _in_order()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    through = order.rowsBetween(Window.unboundedPreceding, 0)
-    covered = rows.withColumn("coverage_so_far", F.max(_paid_until()).over(before))
-    flagged = covered.withColumn("opens_spell", _opens(F.col("coverage_so_far"), grace))
-    return flagged.withColumn("spell_no", F.sum("opens_spell").over(through))
-
-
-def number_in_runs(rows: DataFrame, grace: int) -> DataFrame:
-    """The same numbering without ever sorting all of a user's rows in one task."""
-    run = ["msno", "transaction_date", "no_expiry", "expiry_key", "is_cancel"]
-    part = run + ["payment_method_id", "no_plan", "plan_key", "list_price"]
-    keyed = rows.withColumns(
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows with the columns of PART, in which no key is NULL."""
+    return rows.withColumns(
         {
             "no_expiry": F.col("membership_expire_date").isNull(),
             "expiry_key": F.coalesce("membership_expire_date", F.lit(FAR_FUTURE)),
@@ -93,168 +69,131 @@ def number_in_runs(rows: DataFrame, grace: int) -> DataFrame:
             "plan_key": F.coalesce("plan_days", F.lit(0)),
         }
     )
-    parts = keyed.groupBy(*part).agg(F.count("*").alias("part_rows"))
 
-    # Coverage before a run, and after its first row, fix the flags of all its rows.
-    by_run = Window.partitionBy("msno").orderBy(*run[1:])
-    paid_until = F.when(~F.col("is_cancel") & ~F.col("no_expiry"), F.col("expiry_key"))
-    runs = (
-        parts.groupBy(*run)
-        .agg(F.sum("part_rows").alias("run_rows"))
-        .withColumn(
-            "coverage_before",
-            F.max(paid_until).over(by_run.rowsBetween(Window.unboundedPreceding, -1)),
-        )
-        .withColumn("coverage_after", F.greatest("coverage_before", paid_until))
-        .withColumn("first_opens", _opens(F.col("coverage_before"), grace))
-        .withColumn("rest_opens", _opens(F.col("coverage_after"), grace))
-        .withColumn(
-            "opened", F.col("first_opens") + F.col("rest_opens") * (F.col("run_rows") - 1)
-        )
-        .withColumn(
-            "spells_before",
-            F.coalesce(
-                F.sum("opened").over(by_run.rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ),
-        )
+
+def _first_row() -> Column:
+    """Amount, auto-renewal and imputation in one number that sorts like the three."""
+    return (
+        F.col("actual_amount_paid").cast("long") * 4
+        + F.col("is_auto_renew").cast("int") * 2
+        + F.col("plan_days_imputed").cast("int")
     )
 
-    # Position of a row in its run: rows in earlier parts, then rank in its part.
-    within_run = Window.partitionBy(*run).orderBy(*part[len(run):])
-    placed = parts.withColumn(
-        "rows_before",
-        F.coalesce(
-            F.sum("part_rows").over(within_run.rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ),
-    ).join(
-        runs.select(
-            *run, "coverage_before", "coverage_after", "first_opens", "rest_opens",
-            "spells_before",
-        ),
-        run,
+
+def parts_of(staged: DataFrame) -> DataFrame:
+    """Rows combined by the leading sort columns: a hash aggregate that combines before
+    the shuffle."""
+    amount = F.col("actual_amount_paid")
+    return _keyed(staged).groupBy(*PART).agg(
+        F.count("*").alias("rows"),
+        F.sum(amount).alias("amount"),
+        F.coalesce(F.sum(F.when(F.col("plan_days_imputed"), amount)), F.lit(0)).alias("imputed"),
+        F.min(_first_row()).alias("first_row"),
+    )
+
+
+def number_parts(parts: DataFrame, grace: int) -> DataFrame:
+    """coverage_first and coverage_rest before the first and the other rows of a part,
+    whether these open spells, and the number of spells opened before it."""
+    order = Window.partitionBy("msno").orderBy(*PART[1:])
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    paid_until = F.when(~F.col("is_cancel") & ~F.col("no_expiry"), F.col("expiry_key"))
+    covered = parts.withColumn("coverage_first", F.max(paid_until).over(before)).withColumn(
+        "coverage_rest", F.greatest("coverage_first", paid_until)
     )
-    within_part = Window.partitionBy(*part).orderBy(
-        *_nulls_last(["actual_amount_paid", "is_auto_renew", "plan_days_imputed"])
+    flagged = covered.withColumns(
+        {
+            "first_opens": _opens(F.col("coverage_first"), grace),
+            "rest_opens": _opens(F.col("coverage_rest"), grace),
+        }
+    ).withColumn("opened", F.col("first_opens") + F.col("rest_opens") * (F.col("rows") - 1))
+    return flagged.withColumn(
+        "spells_before", F.coalesce(F.sum("opened").over(before), F.lit(0))
     )
-    position = F.col("rows_before") + F.row_number().over(within_part)
+
+
+def number_spells(staged: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Every row with the coverage before it, whether it opens a spell, and its number."""
+    parts = number_parts(parts_of(staged), params.grace_days).select(
+        *PART, "coverage_first", "coverage_rest", "first_opens", "rest_opens", "spells_before"
+    )
+    within = Window.partitionBy(*PART).orderBy(_first_row())
     first = F.col("position") == 1
     return (
-        keyed.join(placed, part)
-        .withColumn("position", position)
+        _keyed(staged).join(parts, PART)
+        .withColumn("position", F.row_number().over(within))
         .select(
-            *rows.columns,
-            F.when(first, F.col("coverage_before"))
-            .otherwise(F.col("coverage_after"))
+            *staged.columns,
+            F.when(first, F.col("coverage_first")).otherwise(F.col("coverage_rest"))
             .alias("coverage_so_far"),
-            F.when(first, F.col("first_opens"))
-            .otherwise(F.col("rest_opens"))
-            .alias("opens_spell"),
+            F.when(first, F.col("first_opens")).otherwise(F.col("rest_opens")).alias("opens_spell"),
             (
-                F.col("spells_before")
-                + F.col("first_opens")
+                F.col("spells_before") + F.col("first_opens")
                 + F.col("rest_opens") * (F.col("position") - 1)
             ).alias("spell_no"),
         )
     )
 
 
-def segments(
-    staged: DataFrame, params: Params = DEFAULT, hot: DataFrame | None = None
-) -> list[DataFrame]:
-    """Numbered rows, split by user into those numbered in a window and those in runs.
-
-    hot lists the users to split (see hot_users). Its length is at most the number
-    of staged rows over params.hot_user_rows, which is what permits the broadcast.
-    """
-    if hot is None:
-        return [number_in_window(staged, params.grace_days)]
-    keys = F.broadcast(hot.select("msno"))
-    return [
-        number_in_window(staged.join(keys, "msno", "left_anti"), params.grace_days),
-        number_in_runs(staged.join(keys, "msno", "left_semi"), params.grace_days),
-    ]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-def number_spells(
-    staged: DataFrame, params: Params = DEFAULT, hot: DataFrame | None = None
-) -> DataFrame:
-    return _union(segments(staged, params, hot))
-
-
 # --- one row per user ---------------------------------------------------------
 
 
-def with_first_plan(numbered: DataFrame) -> DataFrame:
-    """The first known plan length up to each row, from the window already sorted.
-
-    It spares summarise_users a minimum over a struct, which no hash aggregate holds.
-    """
-    through = _in_order().rowsBetween(Window.unboundedPreceding, 0)
-    first = F.first("plan_days", ignorenulls=True).over(through)
-    return numbered.withColumn("plan_so_far", first)
-
-
-def summarise_users(numbered: DataFrame) -> DataFrame:
-    """First-spell facts, revenue and later spells of every user in one aggregate.
+def user_summary(staged: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """First-spell facts, revenue and later spells of every user in one aggregate over
+    numbered parts, which keeps their window's partitioning."""
+    numbered = number_parts(parts_of(staged), params.grace_days)
+    # The first known plan length so far, from the window already sorted.
+    through = Window.partitionBy("msno").orderBy(*PART[1:]).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    known_plan = F.when(~F.col("no_plan"), F.col("plan_key"))
+    numbered = numbered.withColumn("plan_so_far", F.first(known_plan, ignorenulls=True).over(through))
 
-    Takes numbered rows with or without the column of with_first_plan.
-    """
-    first = F.col("spell_no") == 1
+    # A part lies in one spell, or each of its rows begins one.
+    first = F.col("spells_before") + F.col("first_opens") == 1
+    whole = F.col("rest_opens") == 0
+    beyond = ~first | (~whole & (F.col("rows") > 1))
     paid = ~F.col("is_cancel")
-    day, expiry = F.col("transaction_date"), F.col("membership_expire_date")
-    amount = F.col("actual_amount_paid")
+    day = F.col("transaction_date")
+    expiry = F.when(~F.col("no_expiry"), F.col("expiry_key"))
+    opening = F.shiftright("first_row", 2)  # amount of the part's first row
+    amount = F.when(first, F.when(whole, F.col("amount")).otherwise(opening)).otherwise(0)
+    opening_imputed = F.col("first_row").bitwiseAND(F.lit(1)) == 1
+    imputed = F.when(
+        first,
+        F.when(whole, F.col("imputed")).when(opening_imputed, opening).otherwise(0),
+    ).otherwise(0)
+    # Every part after the earliest follows a row that opened a spell.
+    earliest = F.col("spells_before") == 0
+    renews = F.col("first_row").bitwiseAND(F.lit(2)) == 2
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(paid, value)), F.lit(0)).cast("long")
 
-    if "plan_so_far" in numbered.columns:
-        first_plan = F.max(F.when(first, F.col("plan_so_far")))
-    else:
-        # The earliest row with a known plan length, in the total order.
-        key = F.struct(
-            day,
-            expiry.isNull().alias("no_expiry"),
-            F.coalesce(expiry, F.lit(FAR_FUTURE)).alias("expiry"),
-            F.col("is_cancel"),
-            F.col("payment_method_id"),
-            F.col("plan_days"),
-        )
-        known = F.when(first & F.col("plan_days").isNotNull(), key)
-        first_plan = F.min(known)["plan_days"]
     return numbered.groupBy("msno").agg(
         F.min(F.when(first, day)).alias("spell_start_date"),
-        F.count_if(first).cast("int").alias("n_transactions"),
+        F.sum(F.when(first, F.when(whole, F.col("rows")).otherwise(1)).otherwise(0))
+        .cast("int").alias("n_transactions"),
         unpack_second_day(
             F.max(F.when(first & paid & expiry.isNotNull(), pack_day_pair(day, expiry)))
         ).alias("last_noncancel_expiry"),
         F.max(F.when(first & paid, day)).alias("last_noncancel_date"),
         F.max(F.when(first & ~paid, day)).alias("last_cancel_date"),
-        first_plan.alias("first_plan_days"),
-        F.coalesce(F.sum(F.when(first & paid, amount)), F.lit(0)).alias("first_spell_rev"),
-        F.coalesce(
-            F.sum(F.when(first & paid & F.col("plan_days_imputed"), amount)), F.lit(0)
-        ).alias("imputed_rev"),
-        F.min(F.when(~first, day)).alias("first_return_date"),
-        F.coalesce(F.sum(F.when(~first & paid, amount)), F.lit(0)).alias("later_spell_rev"),
+        F.max(F.when(first, F.col("plan_so_far"))).alias("first_plan_days"),
+        total(amount).alias("first_spell_rev"),
+        total(imputed).alias("imputed_rev"),
+        F.min(F.when(beyond, day)).alias("first_return_date"),
+        total(F.col("amount") - amount).alias("later_spell_rev"),
         # Spell numbers are consecutive, so their maximum is their count.
-        F.max("spell_no").alias("n_spells"),
-        F.count("*").alias("n_rows"),
-        F.count_if(paid).alias("n_paid_rows"),
+        F.max(F.col("spells_before") + F.col("opened")).alias("n_spells"),
+        F.sum("rows").alias("n_rows"),
+        F.coalesce(F.sum(F.when(paid, F.col("rows"))), F.lit(0)).alias("n_paid_rows"),
+        F.max(F.when(earliest, opening)).alias("first_amount"),
+        F.max(F.when(earliest, renews)).alias("first_auto_renew"),
+        F.max(F.when(earliest, F.col("payment_method_id"))).alias("first_method"),
     )
 
 
-def user_summary(
-    staged: DataFrame, params: Params = DEFAULT, hot: DataFrame | None = None
-) -> DataFrame:
-    """summarise_users per segment, so that ordinary users keep their window's
-    partitioning and sort order and need no second shuffle."""
-    ordinary, *split = segments(staged, params, hot)
-    return _union([summarise_users(part) for part in (with_first_plan(ordinary), *split)])
-
-
 def resolve_end(summary: DataFrame) -> DataFrame:
     """A spell ends by cancellation only if the cancel day is after every paid row;
     otherwise at the last paid expiry. A cancel row's own expiry is never read."""
@@ -332,12 +271,9 @@ def subject_table(
 
 
 def build_subjects(
-    staged: DataFrame,
-    members: DataFrame,
-    params: Params = DEFAULT,
-    hot: DataFrame | None = None,
+    staged: DataFrame, members: DataFrame, params: Params = DEFAULT
 ) -> DataFrame:
-    return subject_table(user_summary(staged, params, hot), members, params)
+    return subject_table(user_summary(staged, params), members, params)
 
 
 # --- marts: projections of the subject table -----------------------------------

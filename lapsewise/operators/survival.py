@@ -17,12 +17,9 @@ from lapsewise.config import DEFAULT, Params
 POOLED = "pooled"
 
 
-def event_table(subjects: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group and day: entrance, removed, observed, censored, at_risk, population.
-
-    population leaves out those entering on the day itself, except on the first
-    day of the group: they are not at risk for the deaths of that day.
-    """
+def event_days(subjects: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and day: entrance, removed and observed. Such counts of disjoint
+    subjects add up, and those of a subset can be taken out again."""
     entry = F.struct(
         F.col("entry_days").alias("t"), F.lit(1).alias("entrance"),
         F.lit(0).alias("removed"), F.lit(0).alias("observed"),
@@ -31,7 +28,7 @@ def event_table(subjects: DataFrame, keys: list[str]) -> DataFrame:
         F.col("tenure_days").alias("t"), F.lit(0).alias("entrance"),
         F.lit(1).alias("removed"), F.col("event").cast("int").alias("observed"),
     )
-    days = (
+    return (
         subjects.select(*keys, F.explode(F.array(entry, leave)).alias("x"))
         .groupBy(*keys, F.col("x.t").alias("t"))
         .agg(
@@ -40,6 +37,18 @@ def event_table(subjects: DataFrame, keys: list[str]) -> DataFrame:
             F.sum("x.observed").alias("observed"),
         )
     )
+
+
+def event_table(subjects: DataFrame, keys: list[str]) -> DataFrame:
+    return event_table_of(event_days(subjects, keys), keys)
+
+
+def event_table_of(days: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and day: entrance, removed, observed, censored, at_risk, population.
+
+    population leaves out those entering on the day itself, except on the first
+    day of the group: they are not at risk for the deaths of that day.
+    """
     by_day = _group(keys).orderBy("t")
     entered = F.sum("entrance").over(by_day.rowsBetween(Window.unboundedPreceding, 0))
     left = F.sum("removed").over(by_day.rowsBetween(Window.unboundedPreceding, -1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 from typing import ClassVar
@@ -10,14 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lapsewise.config import Params
 from lapsewise.operators import ingest, revenue, spells
-from lapsewise.session import materialise, scratch_path
-from lapsewise.sources import read_table, warehouse, write_table
-
-
-def find_hot_users(users: DataFrame, params: Params) -> DataFrame | None:
-    """The users to split, or None when there are none. users is a written table."""
-    hot = spells.hot_users(users, params)
-    return None if hot.isEmpty() else hot
+from lapsewise.session import materialise
+from lapsewise.sources import warehouse
+from lapsewise.sources.figures import table_state
 
 
 @dataclass(frozen=True)
@@ -33,13 +29,9 @@ class Marts:
     subjects: DataFrame
     params: Params
 
-    @cached_property
-    def hot(self) -> DataFrame | None:
-        return find_hot_users(self.users, self.params)
-
     @cached_property
     def numbered(self) -> DataFrame:
-        return spells.number_spells(self.staged, self.params, self.hot)
+        return spells.number_spells(self.staged, self.params)
 
     @cached_property
     def spells(self) -> DataFrame:
@@ -63,32 +55,40 @@ class Marts:
 
 
 def build_marts(
-    staged: DataFrame, members: DataFrame, params: Params, folder: str
+    staged: DataFrame,
+    members: DataFrame,
+    params: Params,
+    write: Callable[[str, DataFrame], DataFrame],
 ) -> Marts:
     """Segment once, write the subject table, and project everything from it.
 
-    staged should be a written table: it is read twice.
+    staged should be a written table: it is read twice. write keeps a table under a name
+    and reads it back.
     """
-    spark = staged.sparkSession
-    write_table(spells.user_rows(staged), f"{folder}/users")
-    users = read_table(spark, f"{folder}/users")
-    hot = find_hot_users(users, params)
-    write_table(spells.build_subjects(staged, members, params, hot), f"{folder}/subjects")
-    return Marts(staged, members, users, read_table(spark, f"{folder}/subjects"), params)
+    users = write("users", spells.user_rows(staged))
+    subjects = write("subjects", spells.build_subjects(staged, members, params))
+    return Marts(staged, members, users, subjects, params)
 
 
-_built: dict[tuple[str, str, Params], Marts] = {}
+_built: dict[tuple[str, str, str, Params], Marts] = {}
+
+
+def warehouse_state(spark: SparkSession, sf_dir: str) -> str:
+    """Changes whenever a file of the tables behind the subscription view does."""
+    return table_state(spark, *[f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "customer")])
 
 
 def warehouse_marts(spark: SparkSession, sf_dir: str, params: Params) -> Marts:
-    """Marts over the warehouse tables of sf_dir, which stay fixed during a session:
-    the first call stages and segments them, later calls read what it wrote."""
-    key = (spark.sparkContext.applicationId, sf_dir, params)
+    """Marts over the warehouse tables of sf_dir: the first call stages and segments
+    them, later calls read what it wrote, until a file of the tables changes."""
+    key = (spark.sparkContext.applicationId, sf_dir, warehouse_state(spark, sf_dir), params)
     if key not in _built:
         clean, _ = ingest.stage_transactions(
             warehouse.raw_transactions(spark, sf_dir, params), params
         )
         members = ingest.stage_members(warehouse.raw_members(spark, sf_dir, params))
         staged = materialise(clean, "staged")
-        _built[key] = build_marts(staged, members, params, scratch_path(spark, "marts"))
+        _built[key] = build_marts(
+            staged, members, params, lambda name, df: materialise(df, f"marts-{name}")
+        )
     return _built[key]

@@ -1,12 +1,10 @@
 import random
-from dataclasses import replace
 from datetime import date, timedelta
 
 import pytest
 
 from lapsewise.config import DEFAULT
 from lapsewise.operators import checks, revenue, spells as sp
-from lapsewise.plans.marts import find_hot_users
 from tests.helpers import members, one, rows_of, staged
 
 D = date
@@ -42,21 +40,18 @@ REGISTERED = {
 }
 
 
-@pytest.fixture(scope="module", params=["window", "runs"])
-def golden(request, spark):
-    """Both numbering routes: no user split, and every user split."""
+@pytest.fixture(scope="module")
+def golden(spark):
     table = staged(spark, GOLDEN)
-    hot = table.select("msno").distinct() if request.param == "runs" else None
-    subjects = sp.build_subjects(table, members(spark, REGISTERED), DEFAULT, hot)
-    subjects = subjects.persist()
-    yield table, subjects, hot
+    subjects = sp.build_subjects(table, members(spark, REGISTERED), DEFAULT).persist()
+    yield table, subjects
     subjects.unpersist()
 
 
 def test_spell_numbers(golden):
-    table, _, hot = golden
+    table, _ = golden
     numbers = {}
-    for r in sp.number_spells(table, DEFAULT, hot).orderBy("spell_no", "transaction_date").collect():
+    for r in sp.number_spells(table, DEFAULT).orderBy("spell_no", "transaction_date").collect():
         numbers.setdefault(r.msno, []).append(r.spell_no)
     assert numbers == {
         "u01": [1, 1], "u02": [1, 1, 2], "u03": [1, 1], "u04": [1, 2], "u05": [1, 2],
@@ -81,7 +76,7 @@ def test_subjects(golden):
 
 
 def test_guards_and_exclusions(golden):
-    _, subjects, _ = golden
+    _, subjects = golden
     assert rows_of(sp.spells_quarantine(subjects), "msno", "quarantine_reason", "tenure_days") == [
         ("u06", "starts_after_label_cutoff", -3),
         ("u12", "negative_tenure", -184),
@@ -96,7 +91,7 @@ def test_guards_and_exclusions(golden):
 
 
 def test_every_user_is_accounted_for(spark, golden):
-    table, subjects, _ = golden
+    table, subjects = golden
     counts = sp.spell_counts(subjects)
     assert one(counts) == {
         "users": 13, "no_member_row": 1, "candidates": 9, "subjects": 6, "null_spell_end": 3,
@@ -106,17 +101,17 @@ def test_every_user_is_accounted_for(spark, golden):
 
 
 def test_reactivation_and_revenue(golden):
-    _, subjects, _ = golden
+    _, subjects = golden
     back = rows_of(
         revenue.reactivation(subjects).filter("reactivated"),
         "msno", "days_to_return", "later_spell_rev", "n_later_spells",
     )
-    assert back == [("u02", 31, 149, 1)]
+    assert back == [("u02", 31, 77, 1)]
     # The cancel row of u03 is left out of its revenue.
     assert rows_of(
         revenue.spell_revenue(subjects).filter("msno in ('u02', 'u03')"),
         "msno", "first_spell_rev", "observed_days",
-    ) == [("u02", 298, 90), ("u03", 149, 14)]
+    ) == [("u02", 154, 90), ("u03", 77, 14)]
 
 
 def random_history(seed, users=25):
@@ -159,34 +154,55 @@ def reference_numbering(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_both_routes_match_a_row_by_row_scan(spark, seed):
+def summaries(numbered):
+    """What user_summary must say, from rows numbered one by one."""
+    out = {}
+    for user in {r[0] for r in numbered}:
+        mine = [r for r in numbered if r[0] == user]
+        first = [r for r in mine if r[12] == 1]
+        later = [r for r in mine if r[12] > 1]
+        paid = lambda rows: [r for r in rows if not r[8]]
+        out[user] = (
+            min(r[6] for r in first), len(first), sum(r[4] for r in paid(first)),
+            sum(r[4] for r in paid(first) if r[9]), min((r[6] for r in later), default=None),
+            sum(r[4] for r in paid(later)), max(r[12] for r in mine), len(mine), len(paid(mine)),
+        )
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_numbers_and_summaries_match_a_row_by_row_scan(spark, seed):
     from lapsewise.schema import STAGED_TRANSACTIONS
 
     rows = random_history(seed)
     table = spark.createDataFrame(rows, STAGED_TRANSACTIONS)
     expected = reference_numbering(rows)
-    assert rows_of(sp.number_in_window(table, 30)) == expected
-    assert rows_of(sp.number_in_runs(table, 30)) == expected
-
+    assert rows_of(sp.number_spells(table)) == expected
+    got = {r[0]: tuple(r[1:]) for r in sp.user_summary(table).select(
+        "msno", "spell_start_date", "n_transactions", "first_spell_rev", "imputed_rev",
+        "first_return_date", "later_spell_rev", "n_spells", "n_rows", "n_paid_rows").collect()}
+    assert got == summaries(expected)
+
+
+def test_no_task_sorts_the_rows_of_a_user(spark):
+    """Rows are combined by part before they are dealt out by user, so the window over a
+    user with very many rows sees as many parts as there are days and prices."""
+    days = 20
+    table = staged(spark, [{"msno": "hot"}]).drop("transaction_date", "actual_amount_paid").crossJoin(
+        spark.range(20_000).selectExpr(
+            f"date_add(DATE'2016-01-01', CAST(id % {days} AS INT)) AS transaction_date",
+            "CAST(id AS INT) AS actual_amount_paid",
+        )
+    )
+    parts = sp.parts_of(table)
+    assert parts.count() == days
+    assert one(sp.user_summary(table))["n_rows"] == 20_000
+    assert sp.number_spells(table).select("spell_no").distinct().count() == 1
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and "SortAggregate" not in plan
 
-def test_hot_users_are_found_by_size_and_change_nothing(spark):
-    from lapsewise.schema import STAGED_TRANSACTIONS
 
-    rows = random_history(3)
-    table = spark.createDataFrame(rows, STAGED_TRANSACTIONS)
-    counted = sp.user_rows(table)
-    assert find_hot_users(counted, DEFAULT) is None
-    params = replace(DEFAULT, hot_user_rows=15)
-    hot = find_hot_users(counted, params)
-    users = {r.msno for r in hot.collect()}
-    assert 0 < len(users) < 25
-    assert rows_of(sp.number_spells(table, params, hot)) == reference_numbering(rows)
-    summary = sp.user_summary(table, params, hot)
-    assert rows_of(summary) == rows_of(sp.user_summary(table, params))
-
-
-def test_both_routes_take_the_first_plan_in_the_same_order(spark):
+def test_the_first_plan_follows_the_order_of_rows(spark):
     """A missing expiry sorts after the farthest date, whatever the payment method."""
     far = D(9999, 12, 31)
     table = staged(spark, [
@@ -194,9 +210,8 @@ def test_both_routes_take_the_first_plan_in_the_same_order(spark):
         tx("a", D(2015, 6, 1), None, plan=7, payment_method_id=41),
         tx("a", D(2015, 6, 1), None, plan=7, payment_method_id=40),
     ])
-    everyone = table.select("msno").distinct()
-    for hot in (None, everyone):
-        assert one(sp.user_summary(table, DEFAULT, hot))["first_plan_days"] == 30
+    got = one(sp.user_summary(table))
+    assert (got["first_plan_days"], got["first_method"]) == (30, 41)
 
 
 def test_the_result_does_not_depend_on_the_partitioning(spark):
@@ -208,7 +223,7 @@ def test_the_result_does_not_depend_on_the_partitioning(spark):
 
 
 def test_reports(golden):
-    _, subjects, _ = golden
+    _, subjects = golden
     report = one(sp.spell_report(sp.spells(subjects)))
     assert (report["subjects"], report["events"], report["censored"]) == (6, 5, 1)
     assert (report["ended_by_cancel"], report["left_truncated"]) == (1, 1)
