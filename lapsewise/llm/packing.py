@@ -16,6 +16,7 @@ pieces. Columns with the names of output columns are replaced.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -31,23 +32,27 @@ from lapsewise.llm.common import append_columns, prepare_workers, without
 
 LENGTH = 4096
 BLOCK_PIECES = 8192
-MEMO_ENTRIES = 300_000  # stretches a worker keeps before it begins anew
-PART_ENTRIES = 800_000  # and words, whose ids cost much more to find
-STRETCHES_AT_ONCE = 50_000
+PART_ENTRIES = 600_000  # parts a worker keeps before it begins anew
+PARTS_AT_ONCE = 50_000
 ENCODED_AT_ONCE = 1000
 
 
-# A word of plain letters, marks after it, or both: each is one match of the tokenizer's
-# pattern, in composed form already, so that it is one run of ids up to a word end.
-SIMPLE = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]*)([.,!?;:&$%#*|<>()-]*)")
+# A stretch between white space that is a word of plain letters, marks, or a word with
+# marks after it falls into these parts: each is one match of the tokenizer's pattern, in
+# composed form already, so that it is one run of ids up to a word end. Any other stretch
+# is a part as it is.
+LETTERS = r"[a-zA-ZÀ-ÖØ-öø-į]++"
+MARKS = r"[.,!?;:&$%#*|<>()-]"
+PARTS = re.compile(rf"{LETTERS}(?={MARKS}*+(?:[ \n]|\Z))|{MARKS}++(?=[ \n]|\Z)|[^ \n]++")
+PLAIN = re.compile(rf"{LETTERS}|{MARKS}++")
 
 
-class StretchTokenizer:
-    """Ids of whole texts from the ids of the stretches between their white space.
+class PartTokenizer:
+    """Ids of whole texts from the ids of the parts between and within their stretches.
 
     A space or a line break always ends a token of this tokenizer, so a text's ids are
-    those of its stretches in turn. New words are encoded many at a time and kept;
-    stretches that are not plain words and marks are encoded as they are.
+    those of its parts in turn. The new parts of many texts are encoded together, plain
+    ones once for all their spellings in upper and lower case, and kept.
     """
 
     def __init__(self, path: str):
@@ -55,60 +60,55 @@ class StretchTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.parts: dict[str, bytes] = {"": b""}
-        self.memo: dict[str, bytes] = {"": b""}
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        for start in range(0, len(parts), ENCODED_AT_ONCE):
-            some = parts[start : start + ENCODED_AT_ONCE]
+        self.parts: dict[str, bytes] = {}
+
+    def _learn_plain(self, plain: list[str]) -> None:
+        by_form: dict[str, list[str]] = {}
+        for part in plain:
+            by_form.setdefault(part.lower(), []).append(part)
+        forms = sorted(by_form)
+        for start in range(0, len(forms), ENCODED_AT_ONCE):
+            some = forms[start : start + ENCODED_AT_ONCE]
             ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
             ids = np.array(ids, "<u4")
             data, stops = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * 4
             begin = 0
-            for part, stop in zip(some, stops.tolist(), strict=True):
-                self.parts[part] = data[begin:stop]
+            for form, stop in zip(some, stops.tolist(), strict=True):
+                for part in by_form[form]:
+                    self.parts[part] = data[begin:stop]
                 begin = stop
 
-    def learn(self, stretches: set[str]) -> None:
-        """Keep the ids of the stretches that are new."""
-        fresh = stretches - self.memo.keys()
-        if len(self.memo) + len(fresh) > MEMO_ENTRIES:
-            self.memo, fresh = {"": b""}, stretches - {""}
-        simple, other = [], []
-        for s in sorted(fresh):
-            if found := SIMPLE.fullmatch(s):
-                simple.append((s, found[1].lower(), found[2]))
-            else:
-                other.append(s)
-        wanted = {p for _, word, marks in simple for p in (word, marks)}
-        new = wanted - self.parts.keys()
-        if len(self.parts) + len(new) > PART_ENTRIES:
-            self.parts, new = {"": b""}, wanted - {""}
-        self._learn_parts(sorted(new))
-        parts, memo = self.parts, self.memo
-        for s, word, marks in simple:
-            memo[s] = parts[word] + parts[marks]
+    def learn(self, parts: set[str]) -> None:
+        """Keep the ids of the parts that are new."""
+        fresh = parts.difference(self.parts)
+        if len(self.parts) + len(fresh) > PART_ENTRIES:
+            self.parts, fresh = {}, parts
+        plain = [p for p in fresh if PLAIN.fullmatch(p)]
+        self._learn_plain(plain)
+        other = list(fresh.difference(plain))
         found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        for s, encoding in zip(other, found, strict=True):
-            memo[s] = np.array(encoding.ids, "<u4").tobytes()
+        for part, encoding in zip(other, found, strict=True):
+            self.parts[part] = np.array(encoding.ids, "<u4").tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         out, group, size = [], [], 0
         for k, text in enumerate(texts, 1):
-            group.append(text.replace("\n", " ").split(" "))
+            group.append(PARTS.findall(text))
             size += len(group[-1])
-            if size >= STRETCHES_AT_ONCE or k == len(texts):
+            if size >= PARTS_AT_ONCE or k == len(texts):
                 self.learn(set().union(*group))
-                get = self.memo.__getitem__
-                out += [b"".join(map(get, words)) for words in group]
+                get = self.parts.__getitem__
+                out += [b"".join(map(get, parts)) for parts in group]
                 group, size = [], 0
         return out
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> StretchTokenizer:
-    return StretchTokenizer(path)
+def load(path: str) -> PartTokenizer:
+    # Tasks are the unit of parallel work here: threads of the library only contend.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return PartTokenizer(path)
 
 
 def tokenise(
