@@ -86,7 +86,9 @@ class Scratch:
         for table in tables:
             _, path = self._paths.pop(id(table))
             remove_folder(self._spark, path)
-        # Spark deletes the shuffle files of finished jobs when the driver collects the
-        # plans that made them, by default every half hour.
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs now. It does so when the
+        driver collects the plans that made them, by default every half hour."""
         gc.collect()
         self._spark._jvm.System.gc()
