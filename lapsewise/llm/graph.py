@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.session import materialise
+from lapsewise.session import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of edges (a, b).
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node of edges (a, b), as
+    a written table of scratch. Working tables are removed as soon as they are replaced.
 
     Each round points every node to its smallest smaller neighbour, follows pointers to
     their roots by doubling, and replaces edges by those between roots, until none is
@@ -17,13 +18,15 @@ def components(edges: DataFrame) -> DataFrame:
     an executor holds; nothing but row counts reaches the driver. Minima are combined
     before the shuffle, so a node with very many edges is no task of its own.
     """
-    edges = materialise(
+    scratch = scratch or Scratch(edges.sparkSession)
+    write, drop = scratch.write, scratch.drop
+    edges = write(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .filter("a > b").distinct(), "edges",
     )
     labels = None
     while not edges.isEmpty():
-        pointer = materialise(
+        pointer = write(
             edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "pointers"
         )
         while True:
@@ -32,31 +35,39 @@ def components(edges: DataFrame) -> DataFrame:
                 "node", F.coalesce("higher", "root").alias("root"),
                 F.col("higher").isNotNull().alias("moved"),
             )
-            pointer = materialise(joined, "pointers")
+            moved = write(joined, "pointers")
+            drop(pointer)
+            pointer = moved
             if pointer.filter("moved").isEmpty():
                 break
-            pointer = pointer.drop("moved")
-        pointer = pointer.select("node", "root")
         step = pointer.select(F.col("node").alias("key"), F.col("root").alias("to"))
+        found = pointer.select("node", "root")
         if labels is None:
-            labels = pointer
+            labels = write(found, "labels")
         else:
             moved = labels.join(step, labels["root"] == step["key"], "left").select(
                 "node", F.coalesce("to", "root").alias("root")
             )
-            fresh = pointer.join(labels, "node", "left_anti")
-            labels = materialise(moved.unionByName(fresh), "labels")
+            fresh = found.join(labels, "node", "left_anti")
+            former, labels = labels, write(moved.unionByName(fresh), "labels")
+            drop(former)
+        between = edges
         for end in ("a", "b"):
             other = "b" if end == "a" else "a"
-            edges = edges.join(step, edges[end] == step["key"], "left").select(
+            between = between.join(step, between[end] == step["key"], "left").select(
                 F.coalesce("to", end).alias(end), other
             )
-        edges = materialise(
-            edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        former, edges = edges, write(
+            between.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             .filter("a > b").distinct(), "edges",
         )
+        drop(former, pointer)
     if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        none = write(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
+        drop(edges)
+        return none
     roots = labels.select(F.col("root").alias("node")).distinct()
     everyone = labels.unionByName(roots.select("node", F.col("node").alias("root")))
-    return everyone.select("node", F.col("root").alias("component")).distinct()
+    out = write(everyone.select("node", F.col("root").alias("component")).distinct(), "components")
+    drop(labels, edges)
+    return out

@@ -45,7 +45,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+    found = setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+    named = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.withColumn("kept", named)
 
 
 def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

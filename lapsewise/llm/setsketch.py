@@ -34,10 +34,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    ArrayType,
     BinaryType,
     BooleanType,
     LongType,
@@ -48,7 +47,7 @@ from pyspark.sql.types import (
 from lapsewise.llm.bpe import Memo
 from lapsewise.llm.common import append_columns, prepare_workers
 from lapsewise.llm.graph import components
-from lapsewise.session import materialise
+from lapsewise.session import Scratch
 
 WORDS = 5
 BASE = 1.02
@@ -63,7 +62,6 @@ CHUNK = 4096
 _rng = np.random.default_rng(20)
 _SCALE = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _SHIFT = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
-_BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _word_codes = Memo(xxhash.xxh64_intdigest, 100_000)
@@ -102,11 +100,13 @@ def merge(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return np.maximum(one, two)
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band; the band's number is part of it."""
-    keys = (sketch.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1)
-    keys = (keys ^ (keys >> np.uint64(31))) * _MIX
-    return (keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+def band_keys(registers: str) -> Column:
+    """One 64-bit key per band of a sketch's registers (two bytes each); the band's number
+    is part of it. Keys are derived where they are read and never stored."""
+    width = 2 * ROWS
+    return F.array(
+        *[F.xxhash64(F.lit(b), F.substring(F.col(registers), b * width + 1, width)) for b in range(BANDS)]
+    )
 
 
 def log_likelihood(above, below, equal, n_one, n_two, similarity):
@@ -142,26 +142,24 @@ def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
 
 
 def sketch(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_shingles, the set's digest, its registers and its band keys."""
+    """df with n_shingles, the set's digest and its registers."""
 
     def make(batch):
-        sizes, digests, sketches, keys = [], [], [], []
+        sizes, digests, sketches = [], [], []
         for t in batch.column(text).to_pylist():
             codes = shingles(t)
             sizes.append(len(codes))
             if len(codes) == 0:
-                for column in (digests, sketches, keys):
-                    column.append(None)
+                digests.append(None)
+                sketches.append(None)
                 continue
             found = registers(codes)
             digests.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest())
-            sketches.append(found.tobytes())
-            keys.append(band_keys(found))
+            sketches.append(found.astype("<u2").tobytes())
         return [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                pa.array(sketches, pa.binary())]
 
-    fields = [("n_shingles", LongType()), ("digest", BinaryType()),
-              ("registers", BinaryType()), ("bands", ArrayType(LongType()))]
+    fields = [("n_shingles", LongType()), ("digest", BinaryType()), ("registers", BinaryType())]
     return append_columns(df, fields, make)
 
 
@@ -225,23 +223,47 @@ class Merged:
 
 
 def _dealt(rows: DataFrame, group: str) -> DataFrame:
-    """rows (group, members, rep, ...) for every pair of blocks that holds their own: a
-    group of blocks has the rows of two blocks at most."""
-    dealt = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select(
-        F.col(group).alias("grp"), F.least("mine", "other").alias("low"),
-        F.greatest("mine", "other").alias("high"), "mine",
-        *[c for c in rows.columns if c not in (group, "members")],
+    """rows (group, rep, component, ...) for every pair of blocks to compare.
+
+    Members of a group's largest component need no comparison with each other. The others
+    are dealt into blocks of about BLOCK and meet each other and, block by block, the
+    largest component: one row each per block of others, so a large component beside a
+    few strangers costs little more than its size.
+    """
+    sizes = rows.groupBy(group, "component").agg(F.count("*").alias("size"))
+    # One row per component of a group.
+    largest = sizes.groupBy(group).agg(
+        F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("members")
+    ).select(
+        F.col(group).alias("grp"), F.col("top.component").alias("major"),
+        F.ceil((F.col("members") - F.col("top.size")) / BLOCK).cast("int").alias("minors"),
+        F.ceil(F.col("top.size") / BLOCK).cast("int").alias("majors"),
+    ).filter("minors > 0")
+    placed = rows.withColumnRenamed(group, "grp").join(largest, "grp")
+    is_major = F.col("component") == F.col("major")
+    block = F.when(is_major, -1 - F.pmod(F.xxhash64("rep"), F.col("majors"))).otherwise(
+        F.pmod(F.xxhash64("rep"), F.col("minors"))
+    ).cast("int")
+    others = F.sequence(F.lit(0), F.col("minors") - 1)
+    minor_pairs = F.transform(
+        others, lambda o: F.struct(F.least(o, "mine").alias("low"), F.greatest(o, "mine").alias("high"))
     )
+    with_major = F.transform(
+        F.sequence(F.lit(1), F.col("majors")),
+        lambda j: F.struct(F.col("mine").alias("low"), (-j).alias("high")),
+    )
+    of_major = F.transform(others, lambda o: F.struct(o.alias("low"), F.col("mine").alias("high")))
+    pairs = F.when(is_major, of_major).otherwise(F.concat(minor_pairs, with_major))
+    kept = [c for c in rows.columns if c != group]
+    return placed.withColumn("mine", block).select(
+        "grp", F.explode(pairs).alias("pair"), "mine", *kept
+    ).select("grp", "pair.low", "pair.high", "mine", *kept)
 
 
 def across(rows: DataFrame, group: str, percent: int, exact: bool) -> DataFrame:
     """Pairs (a, b) that join different components within groups, by pairs of blocks.
 
-    rows: group, members (of the group), rep, n, registers, component; with exact also
-    text. Sketches are compared first. Without exact, pairs they do not rule out count;
+    rows: group, rep, n, registers, component; with exact also text. Sketches are compared first. Without exact, pairs they do not rule out count;
     with exact, only pairs whose full sets reach the threshold. Of the pairs found in a
     block, those are returned that join what was apart: enough for components, and no
     more than there are rows.
@@ -321,7 +343,11 @@ def without_near_duplicates(
 
 def _grouped(slim: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """slim (key, text, ...) as a written table with row, its number, and set, its class;
-    and (set, component_id, head) for every class, head being the row that is kept."""
+    and (set, component_id, head) for every class, head being the row that is kept.
+
+    Only these two tables stay; every other one is removed after its last reader."""
+    scratch = Scratch(slim.sparkSession)
+    write, drop = scratch.write, scratch.drop
     # Without words there is no set: rows of one key are a class, and rows without a key
     # one each.
     own = F.coalesce(
@@ -329,78 +355,119 @@ def _grouped(slim: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("row "), F.col("row").cast("string")).cast("binary"),
     )
     numbered = sketch(slim).withColumn("row", F.monotonically_increasing_id())
-    sketched = materialise(numbered.withColumn("set", own).drop("digest"), "sketches")
+    sketched = write(numbered.withColumn("set", own).drop("digest"), "sketches")
     first = F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "row")).alias("first")
-    classes = materialise(
+    classes = write(
         sketched.groupBy("set").agg(first)
         .select("set", F.col("first.row").alias("rep"), F.col("first.key").alias("key")), "classes",
     )
-    held = sketched.filter("n_shingles > 0").withColumnRenamed("row", "rep")
-    held = held.select("rep", F.col("n_shingles").alias("n"), "registers", "bands")
-    reps = materialise(held.join(classes.select("rep"), "rep", "left_semi"), "representatives")
+    held = sketched.filter("n_shingles > 0").select(
+        F.col("row").alias("rep"), F.col("n_shingles").alias("n"), "registers"
+    )
+    reps = write(held.join(classes.select("rep"), "rep", "left_semi"), "representatives")
     texts = sketched.select(F.col("row").alias("rep"), "text")
 
-    buckets = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    ends = materialise(
-        buckets.groupBy("bucket").agg(
-            F.count("*").alias("members"), F.min("rep").alias("first"), F.max("rep").alias("last")
-        ).filter("members > 1"), "buckets",
+    # Who meets whom: rows of buckets that hold more than one representative.
+    buckets = reps.select("rep", F.explode(band_keys("registers")).alias("bucket"))
+    ends = write(
+        buckets.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last"))
+        .filter("first < last"), "ends",
     )
-    met = materialise(buckets.join(ends, "bucket"), "meetings")
+    met = write(buckets.join(ends, "bucket").select("bucket", "rep"), "meetings")
     pairs = (
-        met.select(F.col("rep").alias("b"), F.explode(F.array("first", "last")).alias("a"))
+        met.join(ends, "bucket")
+        .select(F.col("rep").alias("b"), F.explode(F.array("first", "last")).alias("a"))
         .filter("a != b")
         .select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
     )
-    links = _links(pairs, reps, texts, classes, percent)
-    part = materialise(components(links), "components")
-
-    marked = met.join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")
-    )
-    marked = materialise(marked.drop("first", "last"), "marked")
-    mixed = materialise(
-        marked.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        .filter("x < y").select("bucket"), "mixed",
+    tried = write(pairs, "tried")
+    drop(ends)
+    scratch.release()
+    links = _links(tried, reps, texts, percent, scratch)
+    part = components(links, scratch)
+
+    # A bucket that still holds several components: one member of each is compared with
+    # one of the largest. Linear in the components, so done twice with other members
+    # before the comparison of all members across components.
+    for pick in (F.min, F.max):
+        pairs = _pivots(met, part, pick).join(tried, ["a", "b"], "left_anti")
+        fresh = write(pairs, "tried")
+        more = _links(fresh, reps, texts, percent, scratch)
+        every = write(links.unionByName(more), "links")
+        whole = components(every, scratch)
+        seen = write(tried.unionByName(fresh), "tried")
+        drop(part, links, more, tried, fresh)
+        links, part, tried = every, whole, seen
+        scratch.release()
+    drop(tried)
+
+    marked = met.join(part.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "bucket", "rep", F.coalesce("component", "rep").alias("component")
     )
-    sketches = reps.select("rep", "registers")
-    rows = marked.join(mixed, "bucket").join(sketches, "rep")
+    mixed = marked.groupBy("bucket").agg(
+        F.min("component").alias("x"), F.max("component").alias("y")
+    ).filter("x < y").select("bucket")
+    open_rows = write(marked.join(mixed, "bucket"), "mixed")
+    sketches = reps.select("rep", "n", "registers")
     # Clusters of what sketches alone would join hold every link that is still missing.
     # A block's components are joined here, so each cluster's own are linked with them.
-    maybe = materialise(across(rows, "bucket", percent, exact=False), "across")
-    kin = marked.select(F.col("rep").alias("a"), F.col("component").alias("b")).filter("a != b")
-    cluster = materialise(
-        components(maybe.unionByName(kin.distinct())), "clusters"
-    ).withColumnRenamed("component", "cluster").withColumnRenamed("node", "rep")
-    met_again = marked.select("rep", "n", "component").distinct().join(cluster, "rep")
-    open_ = met_again.groupBy("cluster").agg(
-        F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")
-    ).filter("x < y").select("cluster", "members")
-    rows = materialise(met_again.join(open_, "cluster"), "open")
-    rows = rows.join(sketches, "rep").join(_texts_of(texts, rows), "rep")
-    more = materialise(across(rows, "cluster", percent, exact=True), "links")
-    part = materialise(components(links.unionByName(more)), "components")
+    maybe = write(across(open_rows.join(sketches, "rep"), "bucket", percent, exact=False), "across")
+    inside = open_rows.select("rep", "component").distinct()
+    kin = inside.select(F.col("rep").alias("a"), F.col("component").alias("b")).filter("a != b")
+    cluster = components(maybe.unionByName(kin), scratch)
+    named = cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    met_again = inside.join(named, "rep")
+    several = met_again.groupBy("cluster").agg(
+        F.min("component").alias("x"), F.max("component").alias("y")
+    ).filter("x < y").select("cluster")
+    rows = write(met_again.join(several, "cluster"), "open")
+    drop(met, open_rows, maybe, cluster)
+    scratch.release()
+    compared = rows.join(sketches, "rep").join(_texts_of(texts, rows), "rep")
+    more = write(across(compared, "cluster", percent, exact=True), "links")
+    part, former = components(links.unionByName(more), scratch), part
+    drop(former, links, more, rows, reps)
 
     # Components are named after their smallest row; their keys and heads follow here.
-    named = materialise(
-        part.withColumnRenamed("node", "rep").join(classes.select("rep", "key"), "rep"), "named"
-    )
     first = F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "rep")).alias("first")
+    named = part.withColumnRenamed("node", "rep").join(classes.select("rep", "key"), "rep")
     heads = named.groupBy("component").agg(first).select(
         "component", F.col("first.key").alias("low"), F.col("first.rep").alias("head")
     )
-    linked = materialise(named.select("rep", "component").join(heads, "component"), "heads")
-    groups = classes.join(linked.drop("component"), "rep", "left").select(
-        "set", F.coalesce("low", "key").alias("component_id"), F.coalesce("head", "rep").alias("head")
+    linked = part.withColumnRenamed("node", "rep").join(heads, "component")
+    groups = write(
+        classes.join(linked.drop("component"), "rep", "left").select(
+            "set", F.coalesce("low", "key").alias("component_id"), F.coalesce("head", "rep").alias("head")
+        ), "groups",
     )
-    return sketched, materialise(groups, "groups")
+    drop(part, classes)
+    scratch.release()
+    return sketched, groups
+
+
+def _pivots(met: DataFrame, part: DataFrame, pick) -> DataFrame:
+    """Pairs (a, b): in every bucket, one member of the component with most members there
+    and one of each other component."""
+    own = met.join(part.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "bucket", "rep", F.coalesce("component", "rep").alias("component")
+    ).groupBy("bucket", "component").agg(pick("rep").alias("rep"), F.count("*").alias("size"))
+    pivot = own.groupBy("bucket").agg(
+        F.max(F.struct("size", "component", "rep")).alias("top"), F.count("*").alias("parts")
+    ).filter("parts > 1").select("bucket", F.col("top.rep").alias("pivot"))
+    return own.join(pivot, "bucket").filter("rep != pivot").select(
+        F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")
+    ).distinct()
 
 
 def _texts_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """The text of every representative of classes: its own row's."""
-    return texts.join(classes.select("rep"), "rep", "left_semi")
+    return texts.join(classes.select("rep").distinct(), "rep", "left_semi")
 
 
-def _links(pairs, reps, texts, classes, percent: int) -> DataFrame:
-    wanted = materialise(plausible(pairs, reps, percent), "pairs")
-    return materialise(verify(wanted, _texts_of(texts, classes), percent), "links")
+def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The linked pairs, as a written table."""
+    wanted = scratch.write(plausible(pairs, reps, percent), "pairs")
+    ends = wanted.select(F.col("a").alias("rep")).unionByName(wanted.select(F.col("b").alias("rep")))
+    found = scratch.write(verify(wanted, _texts_of(texts, ends), percent), "links")
+    scratch.drop(wanted)
+    return found
