@@ -6,9 +6,9 @@ embeddings and the layer are trained together by stochastic gradient descent in
 a sample of labelled rows; part of the sample is held back to find the temperature that
 calibrates the probabilities and the score below which a prediction is rejected.
 
-The sample is bounded: at most ``SAMPLE_ROWS`` rows, chosen by a hash with an equal
-share for every language, and at most ``SAMPLE_CHARS`` characters of each. Everything
-else covers whole texts. Since the layers are linear, a trained model folds into one
+The sample is bounded: at most ``SAMPLE_ROWS`` rows with unlike texts, chosen by a hash
+with an equal share for every language. Their whole texts are counted by bucket where they
+lie, so what a drawn row sends is bounded by ``BUCKETS``, however long it is. Since the layers are linear, a trained model folds into one
 table of logits per bucket, whose size does not depend on the data.
 
 Nulls and odd input: a null text, an empty one and one without a letter is ``und`` with
@@ -23,15 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StringType
 
 from lapsewise.llm.common import append_columns
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 2000
+SHORT = (20, 200)  # characters of a stretch that is learned beside its whole text
 BUCKETS = 1 << 15
 WIDTH = 16
 ORDERS = (2, 3, 4)
@@ -86,26 +87,48 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _weights(text: str) -> tuple[np.ndarray, np.ndarray]:
-    grams, counts = np.unique(buckets(text), return_counts=True)
-    return grams, (counts / counts.sum()).astype(np.float32)
+    """The distinct buckets of a text, and the share of its n-grams in each."""
+    found = buckets(text)
+    if len(found) < BUCKETS // 8:
+        grams, counts = np.unique(found, return_counts=True)
+    else:
+        every = np.bincount(found, minlength=BUCKETS)
+        grams = np.flatnonzero(every)
+        counts = every[grams]
+    return grams.astype(np.uint16), (counts / counts.sum()).astype(np.float32)
+
+
+@dataclass(frozen=True)
+class Example:
+    """A labelled text as shares of buckets: whole, and a short stretch from anywhere in
+    it, so that short texts are known too."""
+
+    whole: tuple[np.ndarray, np.ndarray]
+    short: tuple[np.ndarray, np.ndarray]
+    lang: str
+
+    @staticmethod
+    def of(text: str, lang: str) -> Example:
+        chance = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+        size = SHORT[0] + chance % (SHORT[1] - SHORT[0])
+        start = (chance >> 16) % (max(len(text) - size, 0) + 1)
+        return Example(_weights(text), _weights(text[start : start + size]), lang)
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """A model from (text, language) rows, in numpy."""
-    languages = tuple(sorted({lang for _, lang in rows}))
+    """A model from (text, language) rows."""
+    return learn([Example.of(text, lang) for text, lang in rows], seed)
+
+
+def learn(rows: list[Example], seed: int = 7) -> Model:
+    """A model from examples, in numpy. Every fifth is held back for calibration."""
+    languages = tuple(sorted({r.lang for r in rows}))
     if not languages:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     held = [r for i, r in enumerate(rows) if i % 5 == 0]
     fit = [r for i, r in enumerate(rows) if i % 5] or held
-    # Every text is seen whole and as one short stretch, so that short texts are known too.
-    examples = []
-    for text, lang in fit:
-        label = languages.index(lang)
-        size = int(rng.integers(20, 200))
-        start = int(rng.integers(0, max(len(text) - size, 0) + 1))
-        for part in (text, text[start : start + size]):
-            examples.append((*_weights(part), label))
+    examples = [(*part, languages.index(r.lang)) for r in fit for part in (r.whole, r.short)]
     embed = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer = np.zeros((len(languages), WIDTH), np.float32)
     bias = np.zeros(len(languages), np.float32)
@@ -126,10 +149,10 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     return _calibrate(model, held)
 
 
-def _calibrate(model: Model, held: list[tuple[str, str]]) -> Model:
+def _calibrate(model: Model, held: list[Example]) -> Model:
     """The temperature of least held-back loss, and the score below which to reject."""
-    logits = np.array([model.logits(text) for text, _ in held])
-    labels = np.array([model.languages.index(lang) for _, lang in held])
+    logits = np.array([r.whole[1] @ model.table[r.whole[0]] + model.bias for r in held])
+    labels = np.array([model.languages.index(r.lang) for r in held])
 
     def scores(temperature):
         return np.array([softmax(row / temperature) for row in logits])
@@ -146,29 +169,48 @@ def _calibrate(model: Model, held: list[tuple[str, str]]) -> Model:
     return Model(model.languages, model.table, model.bias, temperature, least)
 
 
-def sample(labelled: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS) -> list:
-    """At most rows (text, language) pairs, an equal share for every language.
+def sample(labelled: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS) -> list[Example]:
+    """At most rows examples with unlike (text, language), an equal share for every language.
 
-    labelled is read twice: rows per language are counted, then each language is thinned
-    by a hash of its texts to its share. Only the thinned rows reach the driver.
+    labelled is read twice: unlike texts per language are counted, then each language is
+    thinned by a hash of its texts to its share, and copies are dropped. Only buckets and
+    shares of the rows that are left reach the driver.
     """
     usable = labelled.filter(
         F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()
-    ).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows)
+    ).select(
+        F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"),
+        F.xxhash64(F.col(text)).alias("code"),
+    )
+    counts = usable.select("lang", "code").distinct().groupBy("lang").count()
+    counts = counts.orderBy(F.desc("count"), "lang").limit(rows)
     counts = counts.withColumn("languages", F.lit(counts.count()))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod("code", F.lit(1 << 40)) / F.lit(float(1 << 40))
     thinned = usable.join(counts, "lang").filter(
         draw * F.col("count") * F.col("languages") < F.lit(0.9 * rows)
-    )
-    thinned = thinned.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
-    # The limit is a guard: thinning leaves fewer rows unless one text fills a language.
-    got = thinned.orderBy(F.xxhash64("text"), "text", "lang").limit(rows).collect()
-    return [(r.text, r.lang) for r in got]
+    ).select("text", "lang", "code").dropDuplicates(["lang", "code"])
+    sides = [f"{side}_{part}" for side in ("whole", "short") for part in ("grams", "share")]
+
+    def count(batch):
+        made = [[] for _ in sides]
+        for t in batch.column("text").to_pylist():
+            found = Example.of(t, "")
+            for column, array in zip(made, (*found.whole, *found.short), strict=True):
+                column.append(array.tobytes())
+        return [pa.array(column, pa.binary()) for column in made]
+
+    counted = append_columns(thinned, [(c, BinaryType()) for c in sides], count).drop("text")
+    # The limit is a guard: thinning leaves fewer rows.
+    got = counted.orderBy("code", "lang").limit(rows).collect()
+
+    def side(row, name: str) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(row[f"{name}_grams"], np.uint16), np.frombuffer(row[f"{name}_share"], np.float32)
+
+    return [Example(side(r, "whole"), side(r, "short"), r["lang"]) for r in got]
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    return train(sample(labelled, text, lang))
+    return learn(sample(labelled, text, lang))
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

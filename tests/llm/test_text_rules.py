@@ -148,10 +148,31 @@ def test_no_training_rows_means_und_for_all(spark):
 def test_the_sample_is_bounded_and_shares_languages(spark):
     rows = [(f"text number {i} of many", "en" if i % 10 else "fr") for i in range(3000)]
     docs = spark.createDataFrame(rows, "text string, lang string")
-    got = Counter(lang for _, lang in langid.sample(docs, "text", "lang", rows=200))
+    got = Counter(e.lang for e in langid.sample(docs, "text", "lang", rows=200))
     assert sum(got.values()) <= 200 and got["fr"] > 50
 
 
+def test_copies_of_a_drawn_text_are_drawn_once(spark):
+    rows = [("one text copied a thousand times", "en")] * 1000 + [(f"other text {i}", "en") for i in range(30)]
+    rows += [("one text copied a thousand times", "de")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    got = langid.sample(docs, "text", "lang", rows=500)
+    assert Counter(e.lang for e in got) == {"en": 31, "de": 1}
+
+
+def test_whole_texts_are_learned_from(spark):
+    """The words that tell the languages apart come after thousands of shared characters."""
+    shared = "0 1 2 3 " * 500
+    rows = [(f"{shared} {'the cat and the dog ' * 150} {i}", "en") for i in range(60)]
+    rows += [(f"{shared} {'der hund und die katze ' * 150} {i}", "de") for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.predict("the dog and the cat")[0] == "en"
+    assert model.predict("die katze und der hund")[0] == "de"
+    example = langid.Example.of(rows[0][0], "en")
+    assert set(langid.buckets("the cat")) <= {*example.whole[0].tolist(), *langid.buckets(" the cat ")}
+    assert example.whole[1].sum() == pytest.approx(1, abs=1e-4)
+
+
 # --- toxicity
 
 
