@@ -17,9 +17,9 @@ of single words to the unknown word. Both are counted over all training texts.
 
 Texts are tokenised once, into blocks of about ``BLOCK_TOKENS``: a block is one row with its
 distinct words and every token as an index into them. The words of all blocks meet their
-exact counts in one shuffle, as one row per block and word rather than per text and word,
-and come back as one array of counts per block. Texts are never shuffled, and no task
-holds more than a block or a segment.
+exact counts in one shuffle, as packed digests of one entry per block and word, and come
+back as one array of counts per block. Texts are never shuffled, and no task holds more
+than a block, a bucket or a segment. Working tables go after their last reader.
 
 Nulls and odd input: a null or empty text is its end token alone. Rows are scored each for
 itself, also repeated ones. Without training texts every word is unknown, N and V are 0.
@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
@@ -46,10 +46,11 @@ from pyspark.sql.types import (
 )
 
 from lapsewise.llm.common import append_columns, prepare_workers
-from lapsewise.session import materialise
+from lapsewise.session import Scratch
 
 END = b"\n"  # no word holds white space
 BLOCK_TOKENS = 500_000
+BUCKET_WORDS = 1 << 20  # entries of blocks whose words meet in one task
 SEGMENT_KEYS = 1 << 20
 PART_BYTES = 128 << 20
 PIECE_BYTES = 16 << 20  # what the driver holds of a part at a time
@@ -59,9 +60,6 @@ CLASSES = 40  # of context frequency, by powers of two
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
-END_CODE = np.uint64(xxhash.xxh64_intdigest(END))
-
-
 def tokens(text: str | None) -> list[bytes]:
     """Words in ASCII lower case, then the end."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -69,8 +67,16 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """128 bits for every word: two columns of 64."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+
+
 def word_codes(words: list[bytes]) -> np.ndarray:
-    return np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64)
+    return np.ascontiguousarray(word_digests(words)[:, 1])
+
+
+END_CODE = word_codes([END])[0]
 
 
 def bigrams(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -181,7 +187,7 @@ def _packed_counts(blocks: DataFrame, segments: int) -> DataFrame:
     return blocks.select("words", "tokens", "lengths", "held").mapInArrow(run, PACKED)
 
 
-def build_filter(blocks: DataFrame, n_tokens: int) -> DataFrame:
+def build_filter(blocks: DataFrame, n_tokens: int, scratch: Scratch) -> DataFrame:
     """The filter's table: segment, bits. n_tokens sizes the segments."""
     segments = max(1, -(-n_tokens // SEGMENT_KEYS))
 
@@ -200,7 +206,7 @@ def build_filter(blocks: DataFrame, n_tokens: int) -> DataFrame:
     built = packed.groupBy("segment").applyInArrow(
         combine, "segment int, segments int, bits binary, bytes long"
     )
-    return materialise(built, "filter")
+    return scratch.write(built, "filter")
 
 
 @dataclass(frozen=True)
@@ -248,12 +254,19 @@ def broadcasts_of(table: DataFrame, part_bytes: int):
     yield held
 
 
-def probe(blocks: DataFrame, table: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(block, tokens, lengths, held, keys, levels): the quantised count of every token's
-    bigram, one byte each. A written table, made in one pass per part of the filter."""
+def probe(
+    blocks: DataFrame, table: DataFrame, scratch: Scratch, part_bytes: int = PART_BYTES
+) -> DataFrame:
+    """(block, tokens, lengths, held, key, levels): the quantised count of every token's
+    bigram, one byte each. A written table, made in one pass per part of the filter; the
+    words are handed from pass to pass and left behind by the last. blocks is dropped."""
     kept = ["block", "tokens", "lengths", "held", "key"]
     df = blocks.withColumn("levels", F.lit(None).cast("binary"))
-    for shared in broadcasts_of(table, part_bytes):
+    former = blocks
+    parts = broadcasts_of(table, part_bytes)
+    shared = next(parts)
+    while shared is not None:
+        after = next(parts, None)
 
         def make(batch, shared=shared):
             out, bits, segments = [], {}, 1
@@ -268,10 +281,14 @@ def probe(blocks: DataFrame, table: DataFrame, part_bytes: int = PART_BYTES) ->
                 out.append(found.tobytes())
             return [pa.array(out, pa.binary())]
 
-        df = materialise(append_columns(df, [("levels", BinaryType())], make), "levels")
+        found = append_columns(df.select(*kept, "words", "levels"), [("levels", BinaryType())], make)
+        df = scratch.write(found if after is not None else found.drop("words"), "levels")
+        scratch.drop(former)
+        former = df
         for piece in shared:
             piece.unpersist()
-    return df.select(*kept, "levels")
+        shared = after
+    return df
 
 
 # Blocks of tokenised texts.
@@ -301,7 +318,7 @@ class Block:
         return bigrams(word_codes(self.words)[self.tokens], self.starts)
 
 
-def block_table(docs: DataFrame) -> DataFrame:
+def block_table(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs (key, text, held_out) as a written table of blocks: words with their training
     counts, tokens, and each text's key, length and held_out. Neighbouring texts of one
     task share a block."""
@@ -355,38 +372,82 @@ def block_table(docs: DataFrame) -> DataFrame:
 
     prepare_workers(docs.sparkSession)
     rows = docs.select("key", "text", "held_out").mapInArrow(run, schema)
-    return materialise(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return scratch.write(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
 
+_SENT = "bucket int, block long, codes binary, tags binary, places binary, trained binary"
+_TOLD = "block long, places binary, counts binary, n long, v long, once long, ends long"
 
-def block_counts(blocks: DataFrame) -> DataFrame:
+
+def block_counts(blocks: DataFrame, scratch: Scratch) -> DataFrame:
     """(block, counts, n, v, once, ends): the exact training counts of every block's words
-    in their order, and totals over the words that this block is the first to hold. A
-    written table."""
-    told = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("at", "w"))
-    told = told.select("block", "at", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
-    # A word has at most one row per block, however frequent it is.
-    by_word = Window.partitionBy("word")
-    first = F.row_number().over(by_word.orderBy("block")) == 1
-    kind = F.when(~first, 0).when(F.col("word") == F.lit(END), 2).otherwise(1)
-    counted = told.select(
-        "block", "at", F.sum("n").over(by_word).alias("n"), kind.cast("byte").alias("kind")
-    )
+    in their order, and totals over distinct words. A written table; of the totals, which
+    belong to buckets of words, every row has some buckets' part.
 
-    def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        n, kind = rows.column("n").to_numpy(), rows.column("kind").to_numpy()
-        found = np.zeros(rows.num_rows, "<u8")
-        found[rows.column("at").to_numpy()] = n
-        own = n[(kind > 0) & (n > 0)]
+    Words meet by 80 bits of their digests, packed per block and bucket. A bucket has one
+    entry per block of each of its words, however frequent they are."""
+    entries = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    buckets = int(entries // BUCKET_WORDS) + 1
+    end_code, end_tag = word_digests([END])[0, 1], word_digests([END])[0, 0].astype(np.uint16)
+
+    def send(batches):
+        for batch in batches:
+            for block, words, trained in zip(*(batch.column(c) for c in ("block", "words", "trained"))):
+                digests = word_digests(words.as_py())
+                codes, tags = digests[:, 1], digests[:, 0].astype(np.uint16)
+                counts = trained.values.to_numpy()
+                where = ((codes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(where, kind="stable")
+                cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+                some = [(b, order[i:j]) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([b for b, _ in some], pa.int32()),
+                    "block": pa.array([block.as_py()] * len(some), pa.int64()),
+                    "codes": pa.array([codes[i].tobytes() for _, i in some], pa.binary()),
+                    "tags": pa.array([tags[i].tobytes() for _, i in some], pa.binary()),
+                    "places": pa.array([pack_tokens(np.diff(i, prepend=0)) for _, i in some], pa.binary()),
+                    "trained": pa.array([pack_tokens(counts[i]) for _, i in some], pa.binary()),
+                })
+
+    def add_up(key, table):
+        each = [len(x) // 8 for x in table["codes"].to_pylist()]
+        joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        codes, tags = joined("codes", "<u8"), joined("tags", "<u2")
+        trained = np.concatenate([unpack_tokens(x) for x in table["trained"].to_pylist()])
+        order = np.lexsort((tags, codes))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(codes[order]) != 0) | (tags[order][1:] != tags[order][:-1])
+        first = np.flatnonzero(new)
+        totals = np.add.reduceat(trained[order], first)
+        counts = np.empty(len(order), "<u8")
+        counts[order] = np.repeat(totals, np.diff(np.append(first, len(order))))
+        ends = totals[(codes[order][first] == end_code) & (tags[order][first] == end_tag)].sum()
+        stats = np.zeros((table.num_rows, 4), np.int64)
+        stats[0] = totals.sum(), (totals > 0).sum(), (totals == 1).sum(), ends
+        cuts = np.cumsum([0, *each])
         return pa.table({
-            "block": [key[0].as_py()], "counts": pa.array([found.tobytes()], pa.binary()),
-            "n": [int(own.sum())], "v": [len(own)], "once": [int((own == 1).sum())],
-            "ends": [int(n[kind == 2].sum())],
+            "block": table["block"], "places": table["places"],
+            "counts": pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+            **{name: pa.array(stats[:, k]) for k, name in enumerate(("n", "v", "once", "ends"))},
         })
 
-    packed = counted.groupBy("block").applyInArrow(
-        pack, "block long, counts binary, n long, v long, once long, ends long"
+    def gather(key, table):
+        places = [np.cumsum(unpack_tokens(x)) for x in table["places"].to_pylist()]
+        found = np.zeros(sum(map(len, places)), "<u8")
+        for at, counts in zip(places, table["counts"].to_pylist()):
+            found[at] = np.frombuffer(counts, "<u8")
+        totals = {c: [int(table[c].to_numpy().sum())] for c in ("n", "v", "once", "ends")}
+        return pa.table({
+            "block": [key[0].as_py()], "counts": pa.array([found.tobytes()], pa.binary()), **totals
+        })
+
+    prepare_workers(blocks.sparkSession)
+    sent = blocks.select("block", "words", "trained").mapInArrow(send, _SENT)
+    told = sent.groupBy("bucket").applyInArrow(add_up, _TOLD)
+    packed = told.groupBy("block").applyInArrow(
+        gather, "block long, counts binary, n long, v long, once long, ends long"
     )
-    return materialise(packed, "block-counts")
+    return scratch.write(packed, "block-counts")
 
 
 @dataclass(frozen=True)
@@ -475,17 +536,22 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
     held_out is a boolean column of docs; the other rows are learned from.
     """
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out.alias("held_out"))
-    blocks = block_table(docs)
-    counts = block_counts(blocks)
+    scratch = Scratch(docs.sparkSession)
+    blocks = block_table(docs, scratch)
+    counts = block_counts(blocks, scratch)
+    scratch.release()
     totals = counts.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "once", "ends")]
     ).first()
     n, v, ends = totals["n"], totals["v"], totals["ends"]
-    table = build_filter(blocks, n)
+    table = build_filter(blocks, n, scratch)
+    scratch.release()
     packed = counts.select("block", "counts")
     unknown = min(max((totals["once"] + 0.5) / (n + 1.0), 1e-9), 0.5)
-    probed = probe(blocks, table)
+    probed = probe(blocks, table, scratch)
+    scratch.drop(table)
     fresh = fresh_by_class(probed, packed)
+    scratch.release()
     smoothing = Smoothing(n, v, unknown, fresh)
     out_schema = StructType([
         StructField(key, docs.schema["key"].dataType), StructField("held_out", BooleanType()),
