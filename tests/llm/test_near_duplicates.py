@@ -149,20 +149,45 @@ def clusters(seed=3, size=24):
     return [(i, v, label) for i, (label, v) in enumerate(rows)]
 
 
-def test_embedding_links_equal_brute_force(spark):
-    rows = clusters()
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
-    got = {r.vec_id: r for r in nndescent.near_duplicates(df).collect()}
+def embedding_truth(rows, threshold=0.93):
     x = np.array([v for _, v, _ in rows])
     x /= np.linalg.norm(x, axis=1)[:, None]
     label = np.array([c for _, _, c in rows])
-    near = (x @ x.T >= 0.93) & (label[:, None] == label[None])
+    near = (x @ x.T >= threshold) & (label[:, None] == label[None])
     np.fill_diagonal(near, False)
     groups = roots(range(len(rows)), zip(*np.nonzero(near)))
-    missed = sum(got[i].n_links != near[i].sum() or got[i].component_id != groups[i]
-                 for i in range(len(rows)))
-    assert missed <= 0.01 * len(rows)
-    assert all(got[i].n_links <= near[i].sum() for i in range(len(rows)))
+    return {rows[i][0]: (int(near[i].sum()), groups[i]) for i in range(len(rows))}
+
+
+def embedding_result(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    return {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(df).collect()}
+
+
+def test_embedding_links_equal_brute_force(spark):
+    rows = clusters()
+    assert embedding_result(spark, rows) == embedding_truth(rows)
+
+
+def dense_pair(seed, size, dims=64):
+    """Two groups far denser than a list is long, and few links between them."""
+    rng = np.random.default_rng(seed)
+    one, two = np.zeros(dims), np.zeros(dims)
+    one[0] = 1
+    two[:2] = 0.912, np.sqrt(1 - 0.912**2)
+    return [(c + rng.normal(scale=0.0125, size=dims)).tolist() for c in (one, two) for _ in range(size)]
+
+
+def test_links_between_saturated_groups_are_found(spark):
+    rows = [(i, v, 1) for i, v in enumerate(dense_pair(2, 900))]
+    truth = embedding_truth(rows)
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    across = int((x[:900] @ x[900:].T >= 0.93).sum())
+    assert 10 <= across <= 300 and {c for _, c in truth.values()} == {0}
+    # The same vectors under two labels must stay apart.
+    rows += [(1800 + i, v, 2 + (i >= 900)) for i, v in enumerate(dense_pair(2, 900))]
+    assert embedding_result(spark, rows) == embedding_truth(rows)
 
 
 def test_odd_vectors_link_with_nothing(spark):
