@@ -374,6 +374,9 @@ def _grouped(slim: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         .filter("first < last"), "ends",
     )
     met = write(buckets.join(ends, "bucket").select("bucket", "rep"), "meetings")
+    # Full texts are only read of rows that meet another: taken out once, in one shuffle.
+    texts = write(_texts_of(texts, met), "texts")
+    scratch.release()
     pairs = (
         met.join(ends, "bucket")
         .select(F.col("rep").alias("b"), F.explode(F.array("first", "last")).alias("a"))
@@ -426,7 +429,7 @@ def _grouped(slim: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     compared = rows.join(sketches, "rep").join(_texts_of(texts, rows), "rep")
     more = write(across(compared, "cluster", percent, exact=True), "links")
     part, former = components(links.unionByName(more), scratch), part
-    drop(former, links, more, rows, reps)
+    drop(former, links, more, rows, reps, texts)
 
     # Components are named after their smallest row; their keys and heads follow here.
     first = F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "rep")).alias("first")
