@@ -5,7 +5,10 @@ intersection with Levenshtein automata: states are sets of (trie node, edits so
 made deterministic as they are met, so that a word costs one step per character and
 misspelled terms are found as fast as plain ones. Substitution, insertion, deletion and
 the swap of two neighbours count as one edit; look-alike digits and signs are read as
-their letters and stretched letters as one.
+their letters and stretched letters as one. A misspelling keeps the first letter or swaps it
+with the second: without that rule, ordinary words that differ from a term in their first
+letter only (blown, crash, closer) would be finds. Tokens are searched whole and by the runs
+of letters inside them, so that terms joined by a slash, comma or hyphen are found.
 
 Every find is judged in a window of words around it: inside quotation marks, or close to
 a word of reporting, it counts as quotation, otherwise as abuse; address to a person
@@ -48,8 +51,9 @@ from lapsewise.llm.common import append_columns
 
 SAMPLE_ROWS = 8000
 LEARNED = 200
-LEAST_SHARE = 0.08  # finds of a learned entry per toxic text of the sample
-LEAST_ODDS = 2.0  # logarithm of how much likelier it is in toxic texts
+LEAST_TEXTS = 8  # unlike toxic texts of the sample that hold a learned entry
+LEAST_ODDS = 1.0  # logarithm of how much likelier it is in toxic texts, at the least
+DOUBT = 2.5  # standard errors taken off it before
 STEM = (4, 12)  # letters of a learned entry
 WHOLE = 0.8  # an entry is a word if so many of its finds are just the word, else a stem
 WINDOW = 6
@@ -65,6 +69,8 @@ REPORTING = frozenset(
     "sagte schrieb nannte zitat wort dit écrit mot terme dijo llamó palabra término".split()
 )
 ADDRESS = frozenset("you your you're u du dich dein ihr tu toi vous ton tú usted eres".split())
+LONGEST = 40  # letters of a word that may be a term
+LETTERS = re.compile(r"[^\W\d_]+")
 LOOKALIKE = str.maketrans("013457@$!|", "oieastasii")
 OPENERS, CLOSERS = "\"“„«‘'‹", "\"”“»’'›"
 MARKS = "\"“”„«»‘’'‹›.,;:!?()[]{}<>…-–—*#&%$|"
@@ -152,7 +158,9 @@ class FuzzyTrie:
             (edits, self.term[node])
             for node, edits, swap in self.states[at]
             if not swap and self.term[node] and edits <= edits_allowed(self.term[node])
-            and self.term[node][0] == word[0]  # misspellings keep the first letter
+            # Misspellings keep the first letter, or swap it with the second: an ordinary
+            # word is too often a term but for its first letter.
+            and (self.term[node][0] == word[0] or self.term[node][1::-1] == word[:2])
         ]
         return min(ends)[::-1] if ends else None
 
@@ -173,9 +181,9 @@ class Scanner:
         self.word = Memo(self._word, 300_000)
         self.kind = Memo(self._kind, 400_000)
 
-    def _word(self, token: str):
-        plain = token.strip(MARKS).lower()
-        if not 3 <= len(plain) <= 40:
+    def _find(self, plain: str):
+        """The term a word is, and its edits, or None."""
+        if not 3 <= len(plain) <= LONGEST:
             return None
         found = self.trie.find(plain)
         if found is None or found[1]:
@@ -184,11 +192,24 @@ class Scanner:
                 found = min(found or other, (other[0], max(other[1], 1)), key=lambda f: f[1])
         return found
 
+    @staticmethod
+    def _parts(token: str) -> list[str]:
+        """The token without marks around it, and the runs of letters inside it."""
+        plain = token.strip(MARKS).lower()
+        runs = LETTERS.findall(plain)
+        return [plain, *runs] if len(runs) > 1 or runs and runs[0] != plain else [plain]
+
+    def _word(self, token: str):
+        found = [f for part in self._parts(token) if (f := self._find(part))]
+        return min(found, key=lambda f: f[1]) if found else None
+
     def _kind(self, token: str) -> int:
         if self._word(token):
             return 1
-        plain = token.strip(MARKS).lower()
-        return 2 if any(plain[:n] in self.stems for n in range(STEM[0], STEM[1] + 1)) else 0
+        begun = any(
+            part[:n] in self.stems for part in self._parts(token) for n in range(STEM[0], STEM[1] + 1)
+        )
+        return 2 if begun else 0
 
     def finds(self, text: str) -> tuple[list[tuple[int, str, int, bool, bool]], int, int]:
         """(word index, term, edits, quoted, addressed) of every term, words that begin
@@ -249,13 +270,14 @@ def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _thinned(labels: DataFrame, key: str, label: str) -> DataFrame:
-    """About SAMPLE_ROWS (key, label) rows, by a hash of the key; a bounded table."""
+    """About SAMPLE_ROWS (key, label) rows, by a hash of the key; a bounded table. Of a key
+    with several labels the largest counts."""
     usable = labels.select(F.col(key).alias("__key"), F.col(label).alias("__label")).filter(
         "__key IS NOT NULL AND __label IS NOT NULL"
     )
     share = min(1.0, SAMPLE_ROWS / max(usable.count(), 1))
     draw = F.pmod(F.xxhash64(F.lit(11), "__key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return usable.filter(draw < F.lit(share)).dropDuplicates(["__key"])
+    return usable.filter(draw < F.lit(share)).groupBy("__key").agg(F.max("__label").alias("__label"))
 
 
 def learn_entries(sample: DataFrame, text: str) -> tuple[list[str], list[str]]:
@@ -283,8 +305,9 @@ def learn_entries(sample: DataFrame, text: str) -> tuple[list[str], list[str]]:
     odds = F.log((F.col("t") + 0.5) / (totals["t"] + 1.0)) - F.log(
         (F.col("c") + 0.5) / (totals["c"] + 1.0)
     )
+    error = F.sqrt(1 / (F.col("t") + 1) + 1 / (F.col("c") + 1))
     proved = stems.withColumn("odds", odds).filter(
-        (F.col("odds") >= LEAST_ODDS) & (F.col("t") >= LEAST_SHARE * totals["t"])
+        (F.col("odds") - DOUBT * error >= LEAST_ODDS) & (F.col("t") >= LEAST_TEXTS)
     )
     best = proved.orderBy(F.desc(F.col("t") * F.col("odds")), F.desc(F.length("stem")), "stem")
     words, stems = [], []

@@ -202,7 +202,7 @@ def test_the_automaton_finds_what_the_distance_allows():
                 word[i], word[i + 1] = word[i + 1], word[i]
         word = "".join(word)
         near = [edits(word, t) for t in toxicity.SEED
-                if t[0] == word[0] and edits(word, t) <= toxicity.edits_allowed(t)]
+                if (t[0] == word[0] or t[1::-1] == word[:2]) and edits(word, t) <= toxicity.edits_allowed(t)]
         found = trie.find(word)
         assert (found[1] if found else None) == min(near, default=None), word
 
@@ -233,3 +233,37 @@ def test_toxicity_of_odd_documents_and_without_labels(spark):
     got = toxicity.score(odd_documents(spark, "predicted"), model).collect()
     assert len(got) == len(ODD_TEXTS) + 1
     assert all(0 <= r.score <= 1 and r.predicted == 0 for r in got)
+
+
+def test_terms_inside_tokens_and_swapped_first_letters_are_found():
+    scanner = toxicity.Scanner(toxicity.SEED)
+    for token, term in (("diiot", "idiot"), ("omron", "moron"), ("idiot/moron", "idiot"),
+                        ("moron,you", "moron"), ("you-idiot", "idiot"), ("x" * 60 + "-idiot", "idiot")):
+        assert scanner.word[token][0] == term
+    for token in ("blown", "crash", "closer", "x" * 60, "well-known", "and/or"):
+        assert scanner.word[token] is None
+
+
+def test_the_lexicon_is_learned_without_a_seed(spark):
+    """Twelve insults, each in one toxic text of twelve, and ordinary words everywhere."""
+    insults = "grumbel plondor skavfitz brequen tolmig fenrau jaskul worpel dubnik hestra yavlo mikkut".split()
+    ordinary = "the of house green walked slowly under many bright clouds yesterday".split()
+    rows = []
+    for i in range(1200):
+        words = [ordinary[(i * k) % len(ordinary)] for k in range(1, 14)]
+        if i % 2:
+            words[i % 13] = insults[(i // 2) % 12]
+        rows.append((i, " ".join(words) + f" {i}", i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learn = docs.filter("doc_id < 900")
+    model = toxicity.fit(learn, learn.select("doc_id", "toxic"), seed=())
+    assert {*insults} <= {*model.terms} and not {*ordinary} & {*model.terms, *model.stems}
+    told = toxicity.score(docs.filter("doc_id >= 900"), model)
+    assert told.filter("predicted <> toxic").count() == 0
+
+
+def test_conflicting_labels_of_one_key_are_settled_alike(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (3, None)], "doc_id long, toxic int")
+    for n in (1, 4):
+        got = toxicity._thinned(labels.repartition(n), "doc_id", "toxic").collect()
+        assert sorted(map(tuple, got)) == [(1, 1), (2, 0)]
