@@ -243,3 +243,50 @@ def test_the_hosts_of_urls(spark):
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     got = [r[0] for r in df.select(wrappers.host_of(F.col("url"))).collect()]
     assert got == ["www.example.org", "", "", "a.b", "c"]
+
+
+ARTICLE = "<p>An article that goes on for some sentences.</p><p>It has two paragraphs.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    "<main class='content has-sidebar'>{}</main>",
+    "<div id='page' class='no-sidebar'>{}</div>",
+    "<article class='post comments-open category-notice'>{}</article>",
+    "<div class='header-fixed'>{}</div>",
+    "<div class='sidebar-left'><div class='sidebar'>Links</div>{}</div>",
+    "<nav>Menu</nav><div class='wrap'>{}<div class='ad-slot'>Buy</div></div>",
+    "<div>{}</div><div class='comments-area'><p>" + "I disagree with all of it. " * 20 + "</p></div>",
+])
+def test_names_of_layouts_and_states_drop_nothing(page):
+    text = wrappers.Page(f"<html><body>{page.format(ARTICLE)}</body></html>").text([])
+    assert text == "An article that goes on for some sentences.\nIt has two paragraphs."
+
+
+def test_a_line_break_inside_a_block_is_white_space():
+    assert wrappers.Page("<p>one<br>two<br/> three</p><p>four</p>").text([]) == "one two three\nfour"
+
+
+def flat(items, chosen):
+    """Whether an expression can produce a sequence: the symbols it must and may give."""
+    out = []
+    for i in items:
+        if isinstance(i, str):
+            out.append(i)
+        elif i[0] == "+" or chosen(i):
+            out += flat(i[1], chosen)
+    return out
+
+
+def test_very_long_pages_are_aligned():
+    rng = random.Random(3)
+    unlike = [[f"<{side}{i}>" for i in range(20_000)] for side in "ab"]
+    assert len(wrappers.merge(*unlike)) == 2
+    one = [f"<t{i}>" for i in range(50_000)]
+    two = [x for x in one if rng.random() > 0.001]
+    merged = wrappers.merge(one, two)
+    assert flat(merged, lambda i: True) == one
+    assert flat(merged, lambda i: False) == two
+    few = [[f"<t{rng.randrange(5)}>" for _ in range(3000)] for _ in range(2)]
+    assert wrappers.merge(*few)
+    deep = wrappers.Page("<div>" * 60_000 + "x<p>y")
+    assert deep.text([]) == "x\ny"
