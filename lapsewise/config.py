@@ -32,7 +32,6 @@ class Params:
     secondary_followup_days: int = 180
     min_cell_events: int = 100
     correlation_threshold: float = 0.3
-    min_cohort_size: int = 1000
 
     # Validation bounds.
     min_censoring: float = 0.01
