@@ -9,11 +9,13 @@ Minima are exponentially spaced, so registers of a union are the larger of the r
 1. Documents with one and the same set form a class with one representative.
 2. Representatives meet in buckets: bands of ``ROWS`` registers that agree. Two sets at
    similarity 0.75 miss each other in all bands with probability about 1e-6.
-3. In each bucket everyone is compared with the smallest and the largest member. What the
-   joint likelihood of two sketches does not rule out is compared on full texts.
-4. Links found so far give components. Buckets that still hold several components compare
-   the sketches of all pairs across components, in blocks of bounded size. What they join
-   forms clusters, whose members are compared on full texts, in blocks again.
+3. Of the smallest and largest members of its buckets, everyone is compared with the two it
+   shares most buckets with. What the joint likelihood of two sketches does not rule out is
+   compared on full texts. Links give components; twice, one member of each component in a
+   bucket is compared with one of the largest.
+4. Buckets that still hold several components compare the sketches of all pairs across
+   components, in blocks of bounded size. What they join forms clusters, whose members are
+   compared on full texts, in blocks again.
 
 So no link between components is missed within a bucket, a group of thousands of copies
 costs a few comparisons for each copy, and no task holds an unbounded group.
@@ -34,7 +36,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BinaryType,
@@ -58,6 +60,7 @@ REGISTERS = ROWS * BANDS
 UNLIKELY = 16.0
 BLOCK = 256
 CHUNK = 4096
+PARTNERS = 2  # compared with each row per round, before blocks
 
 _rng = np.random.default_rng(20)
 _SCALE = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -377,13 +380,8 @@ def _grouped(slim: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # Full texts are only read of rows that meet another: taken out once, in one shuffle.
     texts = write(_texts_of(texts, met), "texts")
     scratch.release()
-    pairs = (
-        met.join(ends, "bucket")
-        .select(F.col("rep").alias("b"), F.explode(F.array("first", "last")).alias("a"))
-        .filter("a != b")
-        .select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
-    )
-    tried = write(pairs, "tried")
+    seen = met.join(ends, "bucket").select("rep", F.explode(F.array("first", "last")).alias("other"))
+    tried = write(_likeliest(seen), "tried")
     drop(ends)
     scratch.release()
     links = _links(tried, reps, texts, percent, scratch)
@@ -457,9 +455,19 @@ def _pivots(met: DataFrame, part: DataFrame, pick) -> DataFrame:
     pivot = own.groupBy("bucket").agg(
         F.max(F.struct("size", "component", "rep")).alias("top"), F.count("*").alias("parts")
     ).filter("parts > 1").select("bucket", F.col("top.rep").alias("pivot"))
-    return own.join(pivot, "bucket").filter("rep != pivot").select(
-        F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")
-    ).distinct()
+    return _likeliest(own.join(pivot, "bucket").select("rep", F.col("pivot").alias("other")))
+
+
+def _likeliest(seen: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b: for every rep of seen (rep, other, a row per bucket
+    they share) the PARTNERS others it shares most buckets with, which are the likest.
+
+    This only orders the work: what stays apart is compared again, at last in full."""
+    counted = seen.filter("rep != other").groupBy("rep", "other").agg(F.count("*").alias("shared"))
+    order = Window.partitionBy("rep").orderBy(F.desc("shared"), "other")
+    # A rep has at most two others per band.
+    best = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PARTNERS)
+    return best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
 def _texts_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
