@@ -50,12 +50,12 @@ from lapsewise.session import Scratch
 
 END = b"\n"  # no word holds white space
 BLOCK_TOKENS = 500_000
-BUCKET_WORDS = 1 << 20  # entries of blocks whose words meet in one task
+BUCKET_WORDS = 1 << 19  # entries of blocks whose words meet in one task
 SEGMENT_KEYS = 1 << 20
 PART_BYTES = 128 << 20
 PIECE_BYTES = 16 << 20  # what the driver holds of a part at a time
 BITS, PROBES = 10, 7  # per entry: about 0.8 % false positives
-HELD = 1 << 21  # n-grams a task gathers before it hands them on
+HELD = 1 << 20  # n-grams a task gathers before it hands them on
 CLASSES = 40  # of context frequency, by powers of two
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
