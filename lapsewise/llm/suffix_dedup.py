@@ -479,6 +479,7 @@ def repeated_spots(docs: DataFrame, scratch: Scratch, length: int = LENGTH, spli
         docs.mapInArrow(_described(buckets, length), _HASHED_SQL).groupBy("bucket")
         .applyInArrow(_meet(split), _FOUND_SQL), "met",
     )
+    scratch.release()
     spots = F.col("spots.spot").alias("spots")
     out = [met.filter(F.col("kind") == COPY).select("id", "tie", spots)]
     asked = {r["kind"]: r["n"] for r in met.groupBy("kind").agg(F.sum(F.size("spots")).alias("n")).collect()}
@@ -501,7 +502,10 @@ def repeated_spots(docs: DataFrame, scratch: Scratch, length: int = LENGTH, spli
             repeats = texts.mapInArrow(_windows(parts, length), _HASHED_SQL).groupBy("bucket").applyInArrow(
                 _meet(split), _FOUND_SQL
             )
-        out.append(scratch.write(repeats.filter(F.col("kind") == COPY), "repeats").select("id", "tie", spots))
+        found_here = scratch.write(repeats.filter(F.col("kind") == COPY), "repeats")
+        del wanted, texts, repeats
+        scratch.release()
+        out.append(found_here.select("id", "tie", spots))
     return out
 
 
