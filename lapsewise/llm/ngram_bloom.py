@@ -52,7 +52,7 @@ END = b"\n"  # no word holds white space
 BLOCK_TOKENS = 250_000
 BUCKET_WORDS = 1 << 19  # entries of blocks whose words meet in one task
 SEGMENT_KEYS = 1 << 20
-PART_BYTES = 48 << 20  # of the filter that a worker holds at a time
+PART_BYTES = 128 << 20  # of the filter that a worker holds at a time
 PIECE_BYTES = 16 << 20  # what the driver holds of a part at a time
 BITS, PROBES = 10, 7  # per entry: about 0.8 % false positives
 HELD = 1 << 19  # n-grams a task gathers before it hands them on
