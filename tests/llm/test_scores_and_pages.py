@@ -223,6 +223,22 @@ def test_shapes_align_to_a_union_free_expression():
     assert wrappers.merge(merged, merged) == merged
 
 
+def test_a_container_the_wrapper_requires_is_preferred_to_an_optional_one(spark):
+    whole = "<body><div class='content'><p>{0} begins at length</p>{1}<p>{0} ends</p></div></body>"
+    inner = "<div class='entry'><p>{0} goes on, {0} goes on, {0} goes on</p></div>"
+    rows = [(i, "https://a.example.com/", whole.format(i, inner.format(i) if i % 2 else "")) for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = wrappers.infer(pages).cache()
+    assert found.first().regions == ["div.content", "div.entry"]
+    got = {r.page_id: r.text for r in wrappers.extract(pages, found).collect()}
+    middle = "{0} goes on, {0} goes on, {0} goes on\n"
+    assert got == {
+        i: f"{i} begins at length\n{middle.format(i) if i % 2 else ''}{i} ends" for i in range(8)
+    }
+    one = ["<p>", ["?", ["<b>"]], ["+", ["<li.x>", "#", "</li>"]], "</p>"]
+    assert wrappers.required(one) == {"p", "li.x"}
+
+
 def test_odd_pages(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "SHAPES_AT_ONCE", 2)
     bodies = [None, "", "plain text", "<p>open", "<article><p>cut &am", "<", "<a", "</p></div>",
