@@ -35,7 +35,11 @@ from lapsewise.sources import (
     warehouse,
     with_source,
 )
-from lapsewise.sources.export import write_deliveries, write_raw
+from lapsewise.sources.export import (
+    write_deliveries,
+    write_raw_members,
+    write_raw_transactions,
+)
 from lapsewise.sources.figures import record_figures
 from lapsewise.streaming import ingest_stream, staged_from_stream
 
@@ -386,31 +390,42 @@ REGISTRY["headline_check"] = headline_check
 # --- raw files ----------------------------------------------------------------------------
 
 RAW_FILES = 12
-_raw_folders: dict[tuple[str, str, str], str] = {}
+TRANSACTIONS, MEMBERS, DELIVERED = "transactions", "members", "deliveries"
+_raw_folders: dict[tuple[str, str, str, str], str] = {}
 
 
-def _raw_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The derived raw rows of a folder as strict CSV, written once in a session unless
-    a file of the tables changes."""
-    key = (spark.sparkContext.applicationId, sf_dir, warehouse_state(spark, sf_dir))
+def _raw_folder(spark: SparkSession, sf_dir: str, part: str) -> str:
+    """A folder with the derived raw rows as strict CSV: the transactions, the members or
+    the deliveries of transactions. Each is written once in a session, when a query first
+    needs it, unless a file of the tables changes."""
+    key = (spark.sparkContext.applicationId, sf_dir, warehouse_state(spark, sf_dir), part)
     if key not in _raw_folders:
         folder = scratch_path(spark, "raw")
-        write_raw(spark, sf_dir, folder, RAW_FILES)
-        write_deliveries(spark, sf_dir, folder, DELIVERIES, RAW_FILES)
+        if part == TRANSACTIONS:
+            write_raw_transactions(spark, sf_dir, f"{folder}/{part}", RAW_FILES)
+        elif part == MEMBERS:
+            write_raw_members(spark, sf_dir, f"{folder}/{part}", RAW_FILES)
+        else:
+            write_deliveries(spark, sf_dir, folder, DELIVERIES, RAW_FILES)
         _raw_folders[key] = folder
     return _raw_folders[key]
 
 
-def _on_files(name: str):
-    """Register a query over the raw CSV files."""
+def _raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _raw_folder(spark, sf_dir, TRANSACTIONS)
+    return read_raw_transactions(spark, f"{folder}/{TRANSACTIONS}")
+
+
+def _raw_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_raw_members(spark, f"{_raw_folder(spark, sf_dir, MEMBERS)}/{MEMBERS}")
+
+
+def _on_files(name: str, *sources: Query):
+    """Register a query over the raw CSV files it names."""
 
     def register(build):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            folder = _raw_folder(spark, sf_dir)
-            found = build(
-                read_raw_transactions(spark, f"{folder}/transactions"),
-                read_raw_members(spark, f"{folder}/members"),
-            )
+            found = build(*[read(spark, sf_dir) for read in sources])
             if "msno" in found.columns:  # text in raw files
                 found = found.withColumn("msno", F.col("msno").cast("long"))
             return tidy(found)
@@ -421,12 +436,12 @@ def _on_files(name: str):
     return register
 
 
-_on_files("staged_from_csv")(lambda tx, mem: ingest.stage_transactions(tx, P)[0])
-_on_files("quarantined_from_csv")(lambda tx, mem: ingest.stage_transactions(tx, P)[1])
-_on_files("members_from_csv")(lambda tx, mem: ingest.stage_members(mem))
+_on_files("staged_from_csv", _raw_transactions)(lambda tx: ingest.stage_transactions(tx, P)[0])
+_on_files("quarantined_from_csv", _raw_transactions)(lambda tx: ingest.stage_transactions(tx, P)[1])
+_on_files("members_from_csv", _raw_members)(lambda mem: ingest.stage_members(mem))
 
 
-@_on_files("check_log")
+@_on_files("check_log", _raw_transactions, _raw_members)
 def _check_log(tx: DataFrame, mem: DataFrame) -> DataFrame:
     """The log that the checks of staging leave behind."""
     log = scratch_path(tx.sparkSession, "check-log")
@@ -465,7 +480,7 @@ def _delivery() -> Column:
 
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was read, refused, staged and dropped as a copy of each delivery."""
-    folder = _raw_folder(spark, sf_dir)
+    folder = _raw_folder(spark, sf_dir, DELIVERED)
     raw = with_source(read_raw_transactions(spark, [f"{folder}/{name}" for name in DELIVERIES]))
     tagged = ingest.tag_quarantine(ingest.transform_transactions(raw, P))
     named = tagged.select(*TRANSACTION_COLUMNS, "quarantine_reason", _delivery())
@@ -474,7 +489,7 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the first source that is there, by the delivery they name as theirs."""
-    folder = _raw_folder(spark, sf_dir)
+    folder = _raw_folder(spark, sf_dir, DELIVERED)
     picked = pick_source(spark, [f"{folder}/{name}" for name in ("full", *DELIVERIES)])
     return tidy(picked.select(_delivery()).groupBy("source_file").agg(F.count("*").alias("raw_rows")))
 
@@ -485,16 +500,17 @@ REGISTRY["source_preference"] = source_preference
 # --- incremental ingestion ------------------------------------------------------------------------------
 
 
-FILES_PER_BATCH = 4
+FILES_PER_BATCH = 4  # of RAW_FILES
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The raw files as a stream under the header contract, drained in several batches."""
-    files = stream_raw_transactions(
-        spark, f"{_raw_folder(spark, sf_dir)}/transactions", FILES_PER_BATCH
-    )
+    """The raw files as a stream under the header contract, drained in several batches,
+    whose number does not grow with that of the files."""
+    path = f"{_raw_folder(spark, sf_dir, TRANSACTIONS)}/{TRANSACTIONS}"
+    files = len(read_raw_transactions(spark, path).inputFiles())
+    batch = max(FILES_PER_BATCH, -(-files * FILES_PER_BATCH // RAW_FILES))
     folder = scratch_path(spark, "stream")
-    ingest_stream(files, folder, P)
+    ingest_stream(stream_raw_transactions(spark, path, batch), folder, P)
     return staged_from_stream(spark, folder)
 
 

@@ -91,6 +91,11 @@ def raw_transactions(
     return subscription_rows(line, orders, params)
 
 
+def line_items(spark: SparkSession, sf_dir: str) -> int:
+    """Line items, about as many as raw transactions; files' footers name their number."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+
+
 def raw_members(
     spark: SparkSession, sf_dir: str, params: Params = WAREHOUSE
 ) -> DataFrame:

@@ -1,7 +1,13 @@
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
 from lapsewise.operators import ingest
+from lapsewise.plans import catalogue
+from lapsewise.plans.catalogue import REGISTRY
+from lapsewise.schema import RAW_TRANSACTIONS
+from lapsewise.sources import export, warehouse
 from lapsewise.sources import (
     append_check_log,
     pick_source,
@@ -93,3 +99,48 @@ def test_the_check_log_accumulates(spark, tmp_path):
     append_check_log(one, str(tmp_path / "log"))
     append_check_log(one, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def _tables(spark, folder):
+    """Ten orders of four lines each, by five customers."""
+    lines = [(o, n, 7 * o, 3.0, 900.0 + o, "N", date(1998, 1 + o % 6, 1 + n)) for o in range(10) for n in range(4)]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, "
+        "l_extendedprice double, l_returnflag string, l_shipdate date"
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(o, o % 5) for o in range(10)], "o_orderkey long, o_custkey long").write.parquet(
+        f"{folder}/orders.parquet"
+    )
+    spark.createDataFrame([(c, c) for c in range(5)], "c_custkey long, c_nationkey int").write.parquet(
+        f"{folder}/customer.parquet"
+    )
+
+
+def test_raw_files_are_written_without_another_shuffle_and_only_when_needed(spark, tmp_path, monkeypatch):
+    tables, out = str(tmp_path / "tables"), str(tmp_path / "out")
+    _tables(spark, tables)
+    frames = []
+    monkeypatch.setattr(
+        export, "_write_csv", lambda df, *rest, write=export._write_csv: (frames.append(df), write(df, *rest))
+    )
+    export.write_raw(spark, tables, out, 3)
+    spans = {"one": (date(1998, 1, 1), date(1998, 4, 30)), "two": (date(1998, 4, 1), date(2001, 12, 31))}
+    export.write_deliveries(spark, tables, out, spans, 3)
+    for df in frames:
+        assert "RoundRobin" not in df._jdf.queryExecution().toString()
+    read = {n: read_raw_transactions(spark, f"{out}/{n}") for n in ("transactions", *spans)}
+    assert len(read["transactions"].inputFiles()) >= 3
+    expected = sorted(map(tuple, export.as_raw(
+        warehouse.raw_transactions(spark, tables), RAW_TRANSACTIONS, export.TRANSACTION_DATES
+    ).collect()))
+    assert sorted(map(tuple, read["transactions"].collect())) == expected
+    for name, span in spans.items():
+        first, last = (int(f"{d:%Y%m%d}") for d in span)
+        assert sorted(map(tuple, read[name].collect())) == [r for r in expected if first <= r[6] <= last]
+
+    def refused(*_):
+        raise AssertionError("not needed for members")
+
+    monkeypatch.setattr(catalogue, "write_raw_transactions", refused)
+    monkeypatch.setattr(catalogue, "write_deliveries", refused)
+    assert REGISTRY["members_from_csv"](spark, tables).count() == 5
