@@ -54,6 +54,26 @@ class Marts:
         return revenue.reactivation(self.subjects, self.params)
 
 
+class MartsOnDemand(Marts):
+    """Marts whose users and subjects are written when first read: what reads staged alone
+    does not pay for them."""
+
+    def __init__(
+        self, staged: DataFrame, members: DataFrame, params: Params,
+        write: Callable[[str, DataFrame], DataFrame],
+    ):
+        for name, value in (("staged", staged), ("members", members), ("params", params), ("_write", write)):
+            object.__setattr__(self, name, value)
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return self._write("users", spells.user_rows(self.staged))
+
+    @cached_property
+    def subjects(self) -> DataFrame:
+        return self._write("subjects", spells.build_subjects(self.staged, self.members, self.params))
+
+
 def build_marts(
     staged: DataFrame,
     members: DataFrame,
@@ -79,8 +99,9 @@ def warehouse_state(spark: SparkSession, sf_dir: str) -> str:
 
 
 def warehouse_marts(spark: SparkSession, sf_dir: str, params: Params) -> Marts:
-    """Marts over the warehouse tables of sf_dir: the first call stages and segments
-    them, later calls read what it wrote, until a file of the tables changes."""
+    """Marts over the warehouse tables of sf_dir: the first call stages them, the first
+    to read subjects segments them, and later ones read what these wrote, until a file of
+    the tables changes."""
     key = (spark.sparkContext.applicationId, sf_dir, warehouse_state(spark, sf_dir), params)
     if key not in _built:
         clean, _ = ingest.stage_transactions(
@@ -88,7 +109,7 @@ def warehouse_marts(spark: SparkSession, sf_dir: str, params: Params) -> Marts:
         )
         members = ingest.stage_members(warehouse.raw_members(spark, sf_dir, params))
         staged = materialise(clean, "staged")
-        _built[key] = build_marts(
+        _built[key] = MartsOnDemand(
             staged, members, params, lambda name, df: materialise(df, f"marts-{name}")
         )
     return _built[key]

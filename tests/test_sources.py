@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from lapsewise.operators import ingest
+from lapsewise.operators import ingest, spells
 from lapsewise.plans import catalogue
 from lapsewise.plans.catalogue import REGISTRY
 from lapsewise.schema import RAW_TRANSACTIONS
@@ -144,3 +144,18 @@ def test_raw_files_are_written_without_another_shuffle_and_only_when_needed(spar
     monkeypatch.setattr(catalogue, "write_raw_transactions", refused)
     monkeypatch.setattr(catalogue, "write_deliveries", refused)
     assert REGISTRY["members_from_csv"](spark, tables).count() == 5
+
+
+def test_queries_of_staged_rows_do_not_build_the_subject_table(spark, tmp_path, monkeypatch):
+    tables = str(tmp_path / "tables")
+    _tables(spark, tables)
+
+    def refused(*_):
+        raise AssertionError("not needed for staged rows")
+
+    monkeypatch.setattr(spells, "build_subjects", refused)
+    monkeypatch.setattr(spells, "user_rows", refused)
+    assert REGISTRY["numbered_transactions"](spark, tables).count() == 34  # six copies
+    assert REGISTRY["zero_day_profile"](spark, tables).filter("all_rows > 34").isEmpty()
+    monkeypatch.undo()
+    assert REGISTRY["reconciliation_marts"](spark, tables).count() == 1
