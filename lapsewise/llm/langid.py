@@ -19,6 +19,7 @@ same answer. Columns with the names of output columns are replaced.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,7 @@ from lapsewise.llm.common import append_columns
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 4000
+SAMPLE_TASKS = 16
 SHORT = (20, 200)  # characters of a stretch that is learned beside its whole text
 BUCKETS = 1 << 15
 WIDTH = 16
@@ -199,9 +201,10 @@ def sample(labelled: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS) -
                 column.append(array.tobytes())
         return [pa.array(column, pa.binary()) for column in made]
 
-    counted = append_columns(thinned, [(c, BinaryType()) for c in sides], count).drop("text")
-    # The limit is a guard: thinning leaves fewer rows.
-    got = counted.orderBy("code", "lang").limit(rows).collect()
+    counted = append_columns(thinned.coalesce(SAMPLE_TASKS), [(c, BinaryType()) for c in sides], count).drop("text")
+    # Rows come by the partition: the driver holds them once, as arrays. The limit is a
+    # guard: thinning leaves fewer rows.
+    got = heapq.nsmallest(rows, counted.toLocalIterator(), key=lambda r: (r["code"], r["lang"]))
 
     def side(row, name: str) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(row[f"{name}_grams"], np.uint16), np.frombuffer(row[f"{name}_share"], np.float32)

@@ -61,6 +61,7 @@ UNLIKELY = 16.0
 BLOCK = 256
 CHUNK = 4096
 PARTNERS = 2  # compared with each row per round, before blocks
+MASKS = 1 << 20  # sent to all executors at most, 16 bytes each
 
 _rng = np.random.default_rng(20)
 _SCALE = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -338,8 +339,8 @@ def without_near_duplicates(
         F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.struct(*others).alias("rest")
     )
     rows, groups = _grouped(slim, percent)
-    heads = groups.select(F.col("head").alias("row")).distinct()
-    return rows.join(heads, "row", "left_semi").select(
+    kept = among(rows, "row", groups.select("head"), Scratch(docs.sparkSession))
+    return kept.select(
         *[F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`") for c in docs.columns]
     )
 
@@ -378,7 +379,7 @@ def _grouped(slim: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     )
     met = write(buckets.join(ends, "bucket").select("bucket", "rep"), "meetings")
     # Full texts are only read of rows that meet another: taken out once, in one shuffle.
-    texts = write(_texts_of(texts, met), "texts")
+    texts = write(_texts_of(texts, met, scratch), "texts")
     scratch.release()
     seen = met.join(ends, "bucket").select("rep", F.explode(F.array("first", "last")).alias("other"))
     tried = write(_likeliest(seen), "tried")
@@ -424,7 +425,7 @@ def _grouped(slim: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     rows = write(met_again.join(several, "cluster"), "open")
     drop(met, open_rows, maybe, cluster)
     scratch.release()
-    compared = rows.join(sketches, "rep").join(_texts_of(texts, rows), "rep")
+    compared = rows.join(sketches, "rep").join(_texts_of(texts, rows, scratch), "rep")
     more = write(across(compared, "cluster", percent, exact=True), "links")
     part, former = components(links.unionByName(more), scratch), part
     drop(former, links, more, rows, reps, texts)
@@ -470,15 +471,32 @@ def _likeliest(seen: DataFrame) -> DataFrame:
     return best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
-def _texts_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
+def _texts_of(texts: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """The text of every representative of classes: its own row's."""
-    return texts.join(classes.select("rep").distinct(), "rep", "left_semi")
+    return among(texts, "rep", classes.select("rep"), scratch)
+
+
+def among(rows: DataFrame, number: str, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows whose number is in wanted's only column.
+
+    Numbers count up within each task that gave them, so wanted is one bit per row in masks
+    of 64. These go to the rows, whose texts stay where they lie; beyond MASKS of them the
+    rows are joined by a shuffle. The masks' table stays until the result is read."""
+    given = wanted.columns[0]
+    masks = scratch.write(
+        wanted.groupBy(F.shiftright(given, 6).alias("mask"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({given} & 63 AS INT))")).alias("bits")), "masks",
+    )
+    if masks.count() > MASKS:
+        return rows.join(wanted.select(F.col(given).alias(number)).distinct(), number, "left_semi")
+    held = F.getbit("bits", F.expr(f"CAST({number} & 63 AS INT)")) == 1
+    return rows.join(F.broadcast(masks), F.shiftright(number, 6) == F.col("mask")).filter(held).select(*rows.columns)
 
 
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The linked pairs, as a written table."""
     wanted = scratch.write(plausible(pairs, reps, percent), "pairs")
     ends = wanted.select(F.col("a").alias("rep")).unionByName(wanted.select(F.col("b").alias("rep")))
-    found = scratch.write(verify(wanted, _texts_of(texts, ends), percent), "links")
+    found = scratch.write(verify(wanted, _texts_of(texts, ends, scratch), percent), "links")
     scratch.drop(wanted)
     return found

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lapsewise.llm import graph, nndescent, setsketch
+from lapsewise.session import Scratch
 from tests.llm.odd import ODD_TEXTS, empty_documents, odd_documents
 
 
@@ -90,6 +91,25 @@ def test_unlinked_neighbours_in_a_bucket_are_compared(spark, monkeypatch):
     assert got == expected_groups(texts)[1]
 
 
+def test_wanted_rows_are_picked_without_shuffling_texts(spark, monkeypatch):
+    rows = spark.range(5000, numPartitions=7).selectExpr("id * 3 AS row", "concat('text ', id) AS text")
+    wanted = spark.range(0, 15000, 7).union(spark.range(0, 6, 3)).toDF("head")
+    expected = sorted({*range(0, 15000, 21), 3})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scratch = Scratch(spark)
+        found = setsketch.among(rows, "row", wanted, scratch)
+        assert found.columns == rows.columns
+        assert sorted(r.row for r in found.collect()) == expected
+        assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(setsketch, "MASKS", 0)  # beyond the bound by a join
+        found = setsketch.among(rows, "row", wanted, scratch)
+        assert sorted(r.row for r in found.collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     one, two = (rng.integers(0, 2**63, 900, dtype=np.uint64) for _ in range(2))
