@@ -92,12 +92,12 @@ def bigrams(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 # Filter segments.
 
 
-def _places(keys: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
+def _places(keys: np.ndarray, level: int, probe: int, size) -> np.ndarray:
     shift = np.uint64((level * 64 + probe + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     mixed = (keys ^ shift) * _MIX2
     mixed ^= mixed >> np.uint64(29)
     # The upper half, scaled to the size: segments are far below 2**32 bits.
-    return ((mixed >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
+    return ((mixed >> np.uint64(32)) * np.asarray(size, np.uint64)) >> np.uint64(32)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -121,18 +121,22 @@ def build_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
 _BIT = (1 << np.arange(8)).astype(np.uint8)
 
 
-def read_levels(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The quantised count of each key, 0 where it is absent."""
-    size = 8 * len(bits)
+def read_levels(keys: np.ndarray, bits: np.ndarray, start=None, size=None) -> np.ndarray:
+    """The quantised count of each key, 0 where it is absent. start and size, in bits, tell
+    where in bits each key's segment lies; without them bits is one segment."""
+    if start is None:
+        start, size = np.zeros(len(keys), np.uint64), np.full(len(keys), 8 * len(bits), np.uint64)
     levels = np.zeros(len(keys), np.uint8)
     alive = np.arange(len(keys))
     for level in range(1, 64):
         for probe in range(PROBES):
             if len(alive) == 0:
                 return levels
-            at = _places(keys[alive], level, probe, size)
-            hit = bits[(at >> np.uint64(3)).astype(np.intp)] & _BIT[(at & np.uint64(7)).astype(np.intp)]
-            alive = alive[hit > 0]
+            at = start + _places(keys, level, probe, size)
+            hit = (bits[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            if not hit.all():
+                stay = np.flatnonzero(hit)
+                alive, keys, start, size = alive[stay], keys[stay], start[stay], size[stay]
         levels[alive] = level
     return levels
 
@@ -211,22 +215,41 @@ def build_filter(blocks: DataFrame, n_tokens: int, scratch: Scratch) -> DataFram
 
 @dataclass(frozen=True)
 class Part:
-    """Some segments of a filter, small enough for a worker."""
+    """Neighbouring segments of a filter, end to end, small enough for a worker."""
 
-    segments: int
-    bits: dict[int, bytes]
+    segments: int  # of the whole filter
+    first: int
+    cuts: np.ndarray  # segment first + i is bits[cuts[i] : cuts[i + 1]], or empty
+    bits: bytes
+
+    @staticmethod
+    def of(segments: int, bits: dict[int, bytes]) -> Part:
+        first, last = min(bits), max(bits)
+        each = [bits.get(s, b"") for s in range(first, last + 1)]
+        cuts = np.cumsum([0, *map(len, each)]).astype(np.uint64)
+        return Part(segments, first, cuts, b"".join(each))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
+        """All segments are read at once: a block has few keys in each of them."""
         out = np.zeros(len(keys), np.uint8)
-        where = segment_of(keys, self.segments)
-        order = np.argsort(where, kind="stable")
-        ids, starts = np.unique(where[order], return_index=True)
-        for s, rows in zip(ids.tolist(), np.split(order, starts[1:]), strict=True):
-            if s in self.bits:
-                out[rows] = read_levels(keys[rows], np.frombuffer(self.bits[s], np.uint8))
+        where = segment_of(keys, self.segments) - self.first
+        mine = np.flatnonzero((where >= 0) & (where < len(self.cuts) - 1))
+        start, end = self.cuts[where[mine]], self.cuts[where[mine] + 1]
+        held = end > start
+        mine, start, size = mine[held], start[held] * np.uint64(8), (end - start)[held] * np.uint64(8)
+        out[mine] = read_levels(keys[mine], np.frombuffer(self.bits, np.uint8), start, size)
         return out
 
 
+def levels_in(parts: list[Part], keys: np.ndarray) -> np.ndarray:
+    """The quantised count that parts hold of each key; a repeated key is probed once."""
+    unique, back = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(unique), np.uint8)
+    for part in parts:
+        np.maximum(out, part.levels(unique), out=out)
+    return out[back]
+
+
 def pieces_of(table: DataFrame):
     """The filter in pieces that the driver holds one at a time."""
     sizes = table.select("segment", "segments", "bytes").orderBy("segment").collect()
@@ -237,7 +260,7 @@ def pieces_of(table: DataFrame):
         if size >= PIECE_BYTES or k == len(sizes) - 1:
             rows = table.filter(F.col("segment").between(wanted[0], wanted[-1]))
             bits = {r["segment"]: r["bits"] for r in rows.select("segment", "bits").collect()}
-            yield Part(row["segments"], bits), size
+            yield Part.of(row["segments"], bits), size
             wanted, size = [], 0
 
 
@@ -270,13 +293,9 @@ def probe(
 
         def make(batch, shared=shared):
             pa.default_memory_pool().release_unused()  # what earlier tasks of a worker left
-            out, bits, segments = [], {}, 1
-            for piece in shared:
-                segments = piece.value.segments
-                bits.update(piece.value.bits)
-            part = Part(segments, bits)
+            out, held = [], [piece.value for piece in shared]
             for row in batch.select(["words", "tokens", "lengths", "held", "levels"]).to_pylist():
-                found = part.levels(Block(row).keys())
+                found = levels_in(held, Block(row).keys())
                 if row["levels"] is not None:
                     found = np.maximum(found, np.frombuffer(row["levels"], np.uint8))
                 out.append(found.tobytes())

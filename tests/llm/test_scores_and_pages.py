@@ -170,6 +170,28 @@ def test_the_filter_never_loses_a_count():
     assert (ngram_bloom.read_levels(strangers, bits) > 0).mean() < 0.02
 
 
+def test_the_segments_of_a_part_are_read_at_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    keys = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    counts, where = rng.zipf(1.7, len(keys)).clip(1, 10**6), ngram_bloom.segment_of(keys, 40)
+    bits = {s: ngram_bloom.build_segment(keys[where == s], counts[where == s]) for s in range(40) if s != 7}
+    read, calls = ngram_bloom.read_levels, []
+
+    def counted(some, *others):
+        calls.append(len(some))
+        return read(some, *others)
+
+    monkeypatch.setattr(ngram_bloom, "read_levels", counted)
+    parts = [ngram_bloom.Part.of(40, {s: b for s, b in bits.items() if s // 20 == k}) for k in range(2)]
+    asked = rng.choice(np.append(keys, rng.integers(2**63, 2**64, 500, dtype=np.uint64)), 30_000)
+    found = ngram_bloom.levels_in(parts, asked)
+    assert len(calls) == 2 and sum(calls) <= len(np.unique(asked))
+    there = ngram_bloom.segment_of(asked, 40)
+    for s in range(40):
+        expected = read(asked[there == s], np.frombuffer(bits[s], np.uint8)) if s in bits else 0
+        assert (found[there == s] == expected).all()
+
+
 def test_packing_of_keys_and_tokens_round_trips():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
