@@ -54,6 +54,7 @@ BUCKET_WORDS = 1 << 19  # entries of blocks whose words meet in one task
 SEGMENT_KEYS = 1 << 20
 PART_BYTES = 128 << 20  # of the filter that a worker holds at a time
 PIECE_BYTES = 16 << 20  # what the driver holds of a part at a time
+RUN_BYTES = 4 << 20  # of segments that lie end to end: what a worker copies at a time
 BITS, PROBES = 10, 7  # per entry: about 0.8 % false positives
 HELD = 1 << 19  # n-grams a task gathers before it hands them on
 CLASSES = 40  # of context frequency, by powers of two
@@ -215,7 +216,7 @@ def build_filter(blocks: DataFrame, n_tokens: int, scratch: Scratch) -> DataFram
 
 @dataclass(frozen=True)
 class Part:
-    """Neighbouring segments of a filter, end to end, small enough for a worker."""
+    """Neighbouring segments of a filter, end to end."""
 
     segments: int  # of the whole filter
     first: int
@@ -241,6 +242,18 @@ class Part:
         return out
 
 
+def runs_of(segments: int, bits: dict[int, bytes]) -> list[Part]:
+    """Segments in runs of about RUN_BYTES."""
+    runs, some, size = [], {}, 0
+    for s in sorted(bits):
+        if some and size + len(bits[s]) > RUN_BYTES:
+            runs.append(Part.of(segments, some))
+            some, size = {}, 0
+        some[s] = bits[s]
+        size += len(bits[s])
+    return [*runs, Part.of(segments, some)]
+
+
 def levels_in(parts: list[Part], keys: np.ndarray) -> np.ndarray:
     """The quantised count that parts hold of each key; a repeated key is probed once."""
     unique, back = np.unique(keys, return_inverse=True)
@@ -260,7 +273,7 @@ def pieces_of(table: DataFrame):
         if size >= PIECE_BYTES or k == len(sizes) - 1:
             rows = table.filter(F.col("segment").between(wanted[0], wanted[-1]))
             bits = {r["segment"]: r["bits"] for r in rows.select("segment", "bits").collect()}
-            yield Part.of(row["segments"], bits), size
+            yield runs_of(row["segments"], bits), size
             wanted, size = [], 0
 
 
@@ -293,7 +306,7 @@ def probe(
 
         def make(batch, shared=shared):
             pa.default_memory_pool().release_unused()  # what earlier tasks of a worker left
-            out, held = [], [piece.value for piece in shared]
+            out, held = [], [part for piece in shared for part in piece.value]
             for row in batch.select(["words", "tokens", "lengths", "held", "levels"]).to_pylist():
                 found = levels_in(held, Block(row).keys())
                 if row["levels"] is not None:
