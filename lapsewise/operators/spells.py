@@ -11,7 +11,8 @@ follow each other in the order, and only the first of them can see less coverage
 the rest, so two flags and a count say where each of its rows opens a spell. The windows
 run over parts, whose number per user follows the calendar and the price list and not
 the data: no task sorts all rows of a user, however many one has. Rows get their number
-back from their part.
+back from their part. Input that lies by user already is combined where it lies, without
+any further shuffle.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Every registered query, by name. Each runs over the whole tables of a folder.
 
-Ingestion and audit queries start at the raw tables. The others start at the staged
-and subject tables, which the first of them writes (plans/marts.py).
+Ingestion and audit queries start at the raw tables. The others start at the staged or
+the subject table, which the first of them to read it writes (plans/marts.py).
 """
 
 from __future__ import annotations
@@ -143,13 +143,13 @@ _on_marts("numbered_transactions")(lambda m: m.numbered)
 # Kept under both names: there is one route for all users.
 _on_marts("numbered_transactions_split")(lambda m: m.numbered)
 FIRST_ROW = ("first_amount", "first_auto_renew", "first_method")
-_on_marts("user_summary")(lambda m: spells.user_summary(m.staged, P).drop(*FIRST_ROW))
+_on_marts("user_summary")(lambda m: spells.user_summary(m.by_user, P).drop(*FIRST_ROW))
 _on_marts("user_first_rows")(
-    lambda m: spells.user_summary(m.staged, P).select("msno", *FIRST_ROW)
+    lambda m: spells.user_summary(m.by_user, P).select("msno", *FIRST_ROW)
 )
 
 
-_on_marts("user_summary_split")(lambda m: spells.user_summary(m.staged, P).drop(*FIRST_ROW))
+_on_marts("user_summary_split")(lambda m: spells.user_summary(m.by_user, P).drop(*FIRST_ROW))
 _on_marts("spells")(lambda m: m.spells)
 _on_marts("spells_quarantine")(lambda m: m.quarantine)
 _on_marts("spells_excluded")(lambda m: m.excluded)

@@ -55,23 +55,37 @@ class Marts:
 
 
 class MartsOnDemand(Marts):
-    """Marts whose users and subjects are written when first read: what reads staged alone
-    does not pay for them."""
+    """Marts whose tables are written when first read: what reads subjects alone does not
+    pay for staged, nor the reverse."""
 
     def __init__(
-        self, staged: DataFrame, members: DataFrame, params: Params,
-        write: Callable[[str, DataFrame], DataFrame],
+        self, clean: Callable[[DataFrame], DataFrame], raw: DataFrame, members: DataFrame,
+        params: Params, write: Callable[[str, DataFrame], DataFrame],
+        deal: Callable[[DataFrame], DataFrame],
     ):
-        for name, value in (("staged", staged), ("members", members), ("params", params), ("_write", write)):
+        for name, value in (("_clean", clean), ("_raw", raw), ("members", members),
+                            ("params", params), ("_write", write), ("_deal", deal)):
             object.__setattr__(self, name, value)
 
+    @cached_property
+    def staged(self) -> DataFrame:
+        return self._write("staged", self._clean(self._raw))
+
+    @property
+    def by_user(self) -> DataFrame:
+        """The rows of staged dealt by user. Copies share a user, so that raw rows are dealt
+        once and then cleaned, unless staged is there already."""
+        if "staged" in vars(self):
+            return self._deal(self.staged)
+        return self._clean(self._deal(self._raw))
+
     @cached_property
     def users(self) -> DataFrame:
         return self._write("users", spells.user_rows(self.staged))
 
     @cached_property
     def subjects(self) -> DataFrame:
-        return self._write("subjects", spells.build_subjects(self.staged, self.members, self.params))
+        return self._write("subjects", spells.build_subjects(self.by_user, self.members, self.params))
 
 
 def build_marts(
@@ -99,17 +113,16 @@ def warehouse_state(spark: SparkSession, sf_dir: str) -> str:
 
 
 def warehouse_marts(spark: SparkSession, sf_dir: str, params: Params) -> Marts:
-    """Marts over the warehouse tables of sf_dir: the first call stages them, the first
-    to read subjects segments them, and later ones read what these wrote, until a file of
-    the tables changes."""
+    """Marts over the warehouse tables of sf_dir: the first query to read a table writes
+    it, and later ones read what it wrote, until a file of the tables changes."""
     key = (spark.sparkContext.applicationId, sf_dir, warehouse_state(spark, sf_dir), params)
     if key not in _built:
-        clean, _ = ingest.stage_transactions(
-            warehouse.raw_transactions(spark, sf_dir, params), params
-        )
-        members = ingest.stage_members(warehouse.raw_members(spark, sf_dir, params))
-        staged = materialise(clean, "staged")
         _built[key] = MartsOnDemand(
-            staged, members, params, lambda name, df: materialise(df, f"marts-{name}")
+            lambda raw: ingest.stage_transactions(raw, params)[0],
+            warehouse.raw_transactions(spark, sf_dir, params),
+            ingest.stage_members(warehouse.raw_members(spark, sf_dir, params)),
+            params,
+            lambda name, df: materialise(df, f"marts-{name}"),
+            lambda rows: warehouse.by_user(spark, sf_dir, rows),
         )
     return _built[key]

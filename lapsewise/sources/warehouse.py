@@ -16,31 +16,37 @@ from pyspark.sql import functions as F
 from lapsewise.config import WAREHOUSE, Params
 
 UNMATCHED = 1_000_000_000  # added to the key of members who never buy
+ROWS_PER_TASK = 250_000  # groups and sorts of so many rows stay in memory
 
 
 def subscription_rows(
-    line: DataFrame, orders: DataFrame, params: Params = WAREHOUSE
+    line: DataFrame, orders: DataFrame, params: Params = WAREHOUSE, tasks: int | None = None
 ) -> DataFrame:
-    """line and orders to raw transactions. line may be a stream."""
-    joined = line.join(
-        orders.select("o_orderkey", "o_custkey"),
-        F.col("l_orderkey") == F.col("o_orderkey"),
+    """line and orders to raw transactions, joined in so many tasks if a number is given.
+    line may be a stream."""
+    # Narrow before the join, which shuffles every line item.
+    narrow = line.select(
+        "l_orderkey",
+        (F.col("l_suppkey") % 40).cast("int").alias("payment_method_id"),
+        F.floor("l_quantity").cast("int").alias("quantity"),
+        F.floor(F.col("l_extendedprice") / 100).cast("int").alias("paid"),
+        (F.col("l_returnflag") != "A").cast("int").alias("is_auto_renew"),
+        F.col("l_shipdate").cast("date").alias("day"),
+        ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 1000).alias("z"),
+    )
+    owners = orders.select("o_orderkey", F.col("o_custkey").alias("msno"))
+    if tasks:
+        narrow = narrow.repartition(tasks, "l_orderkey")
+        owners = owners.repartition(tasks, "o_orderkey")
+    joined = narrow.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).drop(
+        "l_orderkey", "o_orderkey"
     )
     family = (F.col("msno") * 31) % 10
     last_weeks, first_day, no_length = (
         F.col("msno") % m == r for m, r in ((97, 5), (83, 4), (79, 6))
     )
     base = (
-        joined.select(
-            F.col("o_custkey").alias("msno"),
-            (F.col("l_suppkey") % 40).cast("int").alias("payment_method_id"),
-            F.floor("l_quantity").cast("int").alias("quantity"),
-            F.floor(F.col("l_extendedprice") / 100).cast("int").alias("paid"),
-            (F.col("l_returnflag") != "A").cast("int").alias("is_auto_renew"),
-            F.col("l_shipdate").cast("date").alias("day"),
-            ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 1000).alias("z"),
-        )
-        .withColumn(
+        joined.withColumn(
             "length",
             F.when(family < 3, 7).when(family < 7, 30).when(family < 8, 90).otherwise(180),
         )
@@ -88,7 +94,19 @@ def raw_transactions(
 ) -> DataFrame:
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return subscription_rows(line, orders, params)
+    tasks = -(-line_items(spark, sf_dir) // ROWS_PER_TASK)
+    # With fewer tasks than that, the session's number of them would sort on disk.
+    few = int(spark.conf.get("spark.sql.shuffle.partitions")) < tasks
+    return subscription_rows(line, orders, params, tasks if few else None)
+
+
+def by_user(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """rows, about one per line item, dealt by user to tasks whose number grows with them:
+    what is then grouped by user needs no further shuffle."""
+    tasks = -(-line_items(spark, sf_dir) // ROWS_PER_TASK)
+    if tasks > spark.sparkContext.defaultParallelism:
+        return rows.repartition(tasks, "msno")
+    return rows.repartition("msno")
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> int:

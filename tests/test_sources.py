@@ -3,8 +3,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from lapsewise.config import WAREHOUSE
 from lapsewise.operators import ingest, spells
-from lapsewise.plans import catalogue
+from lapsewise.plans import catalogue, marts
 from lapsewise.plans.catalogue import REGISTRY
 from lapsewise.schema import RAW_TRANSACTIONS
 from lapsewise.sources import export, warehouse
@@ -159,3 +160,50 @@ def test_queries_of_staged_rows_do_not_build_the_subject_table(spark, tmp_path,
     assert REGISTRY["zero_day_profile"](spark, tables).filter("all_rows > 34").isEmpty()
     monkeypatch.undo()
     assert REGISTRY["reconciliation_marts"](spark, tables).count() == 1
+
+
+def _built_from_staged(spark, tables):
+    staged = ingest.stage_transactions(warehouse.raw_transactions(spark, tables), WAREHOUSE)[0]
+    members = ingest.stage_members(warehouse.raw_members(spark, tables))
+    return spells.build_subjects(staged, members, WAREHOUSE)
+
+
+def test_subjects_are_built_by_one_shuffle_of_the_rows_and_without_staged(spark, tmp_path, monkeypatch):
+    tables = str(tmp_path / "tables")
+    _tables(spark, tables)
+    written = {}
+    monkeypatch.setattr(
+        marts, "materialise", lambda df, name, write=marts.materialise: (written.update({name: df}), write(df, name))[1]
+    )
+    found = REGISTRY["revenue_per_day"](spark, tables)
+    assert list(written) == ["marts-subjects"]
+    plan = written["marts-subjects"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert found.count() >= 0
+    expected = sorted(map(str, _built_from_staged(spark, tables).collect()))
+    assert len(expected) == 5
+    assert sorted(map(str, written["marts-subjects"].collect())) == expected
+
+    # Rows that are staged already are not read from the raw tables again.
+    built = marts.warehouse_marts(spark, tables, WAREHOUSE)
+    assert built.staged.count() == 34
+    assert list(written) == ["marts-subjects", "marts-staged"]
+    assert all("marts-staged" in file for file in built.by_user.inputFiles())
+    again = spells.build_subjects(built.by_user, built.members, WAREHOUSE)
+    assert sorted(map(str, again.collect())) == expected
+
+
+def test_tasks_grow_with_the_line_items(spark, tmp_path, monkeypatch):
+    tables = str(tmp_path / "tables")
+    _tables(spark, tables)
+    expected = sorted(map(str, _built_from_staged(spark, tables).collect()))
+    few = sorted(map(str, warehouse.raw_transactions(spark, tables).collect()))
+    monkeypatch.setattr(warehouse, "ROWS_PER_TASK", 3)
+    raw = warehouse.raw_transactions(spark, tables)
+    assert "REPARTITION_BY_NUM, [plan_id" in raw._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, raw.collect())) == few
+    dealt = warehouse.by_user(spark, tables, raw)
+    assert dealt.rdd.getNumPartitions() == 14
+    rows = ingest.stage_transactions(dealt, WAREHOUSE)[0]
+    members = ingest.stage_members(warehouse.raw_members(spark, tables))
+    assert sorted(map(str, spells.build_subjects(rows, members, WAREHOUSE).collect())) == expected
