@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lapsewise.llm import langid, packing, quality, setsketch
 from lapsewise.llm.common import table
 from lapsewise.llm.queries import pieces_of
-from lapsewise.session import materialise
+from lapsewise.session import Scratch, materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,4 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*[F.col(c) for c in COLUMNS])
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        Scratch(spark).release()
     return docs

@@ -4,6 +4,7 @@ import __spark_entry__ as driver
 import corpus_pipeline
 from lapsewise.llm import quality
 from lapsewise.llm.queries import QUERIES
+from lapsewise.session import RELEASE_EVERY, Scratch
 from tests.llm.odd import odd_documents
 from tests.llm.test_near_duplicates import expected_groups
 from tests.llm.test_packing_and_shards import check_sequences
@@ -59,3 +60,16 @@ def test_rows_without_an_id_are_kept_by_near_dedup(spark):
     got = corpus_pipeline.near_dedup(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted(r.text for r in got.collect()) == texts
+
+
+def test_the_driver_is_cleared_between_tables_and_stages(spark, monkeypatch):
+    cleared = []
+    monkeypatch.setattr(Scratch, "release", lambda self: cleared.append(self))
+    scratch = Scratch(spark)
+    kept = [scratch.write(spark.range(k), "numbers") for k in range(2 * RELEASE_EVERY + 1)]
+    assert len(cleared) == 2
+    assert [t.count() for t in kept] == list(range(2 * RELEASE_EVERY + 1))
+    scratch.drop(*kept)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda s, docs, d: docs) for n in "abc"])
+    docs = corpus_pipeline.run(spark, SF)
+    assert len(cleared) == 5 and docs.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
