@@ -57,6 +57,11 @@ PIECE_BYTES = 16 << 20  # what the driver holds of a part at a time
 RUN_BYTES = 4 << 20  # of segments that lie end to end: what a worker copies at a time
 BITS, PROBES = 10, 7  # per entry: about 0.8 % false positives
 HELD = 1 << 19  # n-grams a task gathers before it hands them on
+FEW = 2048  # keys that are probed in one call
+AT_ONCE = 1 << 16  # keys that numpy works on at a time, in arrays that fit a cache
+# Rows of blocks have a MB and more: by default a page ends, and memory is looked at, after
+# 100 rows, so that writers, readers and codecs hold a whole file of them.
+LARGE_ROWS = {"parquet.page.size.row.check.min": 1, "parquet.block.size": 8 << 20}
 CLASSES = 40  # of context frequency, by powers of two
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -93,12 +98,21 @@ def bigrams(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 # Filter segments.
 
 
-def _places(keys: np.ndarray, level: int, probe: int, size) -> np.ndarray:
-    shift = np.uint64((level * 64 + probe + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    mixed = (keys ^ shift) * _MIX2
+_PROBES = np.arange(PROBES, dtype=np.uint64)[:, None]
+_BIT = (1 << np.arange(8)).astype(np.uint8)
+
+
+def _places(keys: np.ndarray, level: int, probe: np.ndarray, size) -> np.ndarray:
+    """One row per probe, if there are more than one."""
+    shift = (np.uint64(level * 64 + 1) + probe) * _MIX
+    mixed = keys ^ shift
+    mixed *= _MIX2
     mixed ^= mixed >> np.uint64(29)
     # The upper half, scaled to the size: segments are far below 2**32 bits.
-    return ((mixed >> np.uint64(32)) * np.asarray(size, np.uint64)) >> np.uint64(32)
+    mixed >>= np.uint64(32)
+    mixed *= np.asarray(size, np.uint64)
+    mixed >>= np.uint64(32)
+    return mixed
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -113,15 +127,13 @@ def build_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
     bits = np.zeros(size // 8, np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
         some = keys[levels >= level]
-        for probe in range(PROBES):
-            at = _places(some, level, probe, size)
-            np.bitwise_or.at(bits, at >> np.uint64(3), _BIT[(at & np.uint64(7)).astype(np.intp)])
+        for first in range(0, len(some), AT_ONCE):
+            for probe in _PROBES:
+                at = _places(some[first : first + AT_ONCE], level, probe, size)
+                np.bitwise_or.at(bits, (at >> np.uint64(3)).view(np.intp), _BIT[(at & np.uint64(7)).view(np.intp)])
     return bits.tobytes()
 
 
-_BIT = (1 << np.arange(8)).astype(np.uint8)
-
-
 def read_levels(keys: np.ndarray, bits: np.ndarray, start=None, size=None) -> np.ndarray:
     """The quantised count of each key, 0 where it is absent. start and size, in bits, tell
     where in bits each key's segment lies; without them bits is one segment."""
@@ -130,14 +142,20 @@ def read_levels(keys: np.ndarray, bits: np.ndarray, start=None, size=None) -> np
     levels = np.zeros(len(keys), np.uint8)
     alive = np.arange(len(keys))
     for level in range(1, 64):
-        for probe in range(PROBES):
-            if len(alive) == 0:
-                return levels
-            at = start + _places(keys, level, probe, size)
-            hit = (bits[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            if not hit.all():
-                stay = np.flatnonzero(hit)
-                alive, keys, start, size = alive[stay], keys[stay], start[stay], size[stay]
+        met = np.ones(len(alive), bool)
+        # Few keys: all their probes at once, as each call of numpy then costs more than its work.
+        for probe in [_PROBES] if len(alive) <= FEW else _PROBES:
+            at = _places(keys, level, probe, size)
+            at += start
+            hit = bits[(at >> np.uint64(3)).view(np.intp)] & _BIT[(at & np.uint64(7)).view(np.intp)] != 0
+            met &= hit if hit.ndim == 1 else hit.all(axis=0)
+            if np.count_nonzero(met) < 0.75 * len(met):
+                alive, keys, start, size = (x[met] for x in (alive, keys, start, size))
+                met = np.ones(len(alive), bool)
+        if not met.all():
+            alive, keys, start, size = (x[met] for x in (alive, keys, start, size))
+        if len(alive) == 0:
+            return levels
         levels[alive] = level
     return levels
 
@@ -178,7 +196,7 @@ def _packed_counts(blocks: DataFrame, segments: int) -> DataFrame:
     def run(batches):
         gathered, size = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 block = Block(row)
                 gathered.append(block.keys()[~np.repeat(block.held, block.lengths)])
                 size += len(gathered[-1])
@@ -199,9 +217,10 @@ def build_filter(blocks: DataFrame, n_tokens: int, scratch: Scratch) -> DataFram
     def combine(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys = np.concatenate([_unpack(k) for k in table.column("keys").to_pylist()])
         counts = np.concatenate([np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()])
-        unique, where = np.unique(keys, return_inverse=True)
-        total = np.bincount(where, weights=counts)
-        bits = build_segment(unique, total)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        bits = build_segment(keys[first], np.add.reduceat(counts, first, dtype=np.int64))
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()),
                          "segments": pa.array([segments], pa.int32()),
                          "bits": pa.array([bits], pa.binary()),
@@ -211,7 +230,7 @@ def build_filter(blocks: DataFrame, n_tokens: int, scratch: Scratch) -> DataFram
     built = packed.groupBy("segment").applyInArrow(
         combine, "segment int, segments int, bits binary, bytes long"
     )
-    return scratch.write(built, "filter")
+    return scratch.write(built, "filter", **LARGE_ROWS)
 
 
 @dataclass(frozen=True)
@@ -230,15 +249,21 @@ class Part:
         cuts = np.cumsum([0, *map(len, each)]).astype(np.uint64)
         return Part(segments, first, cuts, b"".join(each))
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """All segments are read at once: a block has few keys in each of them."""
+    @property
+    def end(self) -> int:
+        return self.first + len(self.cuts) - 1
+
+    def levels(self, keys: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """where are the keys' segments, all of this part. They are read at once: a block
+        has few keys in each of them."""
         out = np.zeros(len(keys), np.uint8)
-        where = segment_of(keys, self.segments) - self.first
-        mine = np.flatnonzero((where >= 0) & (where < len(self.cuts) - 1))
-        start, end = self.cuts[where[mine]], self.cuts[where[mine] + 1]
+        start, end = self.cuts[where - self.first], self.cuts[where - self.first + 1]
         held = end > start
-        mine, start, size = mine[held], start[held] * np.uint64(8), (end - start)[held] * np.uint64(8)
-        out[mine] = read_levels(keys[mine], np.frombuffer(self.bits, np.uint8), start, size)
+        if not held.all():
+            keys, start, end = keys[held], start[held], end[held]
+        out[held] = read_levels(
+            keys, np.frombuffer(self.bits, np.uint8), start * np.uint64(8), (end - start) * np.uint64(8)
+        )
         return out
 
 
@@ -255,11 +280,18 @@ def runs_of(segments: int, bits: dict[int, bytes]) -> list[Part]:
 
 
 def levels_in(parts: list[Part], keys: np.ndarray) -> np.ndarray:
-    """The quantised count that parts hold of each key; a repeated key is probed once."""
+    """The quantised count that parts hold of each key; a repeated key is probed once, and
+    in the part of its segment only."""
+    if not parts:
+        return np.zeros(len(keys), np.uint8)
     unique, back = np.unique(keys, return_inverse=True)
     out = np.zeros(len(unique), np.uint8)
+    where = segment_of(unique, parts[0].segments)
+    order = np.argsort(where)
+    where = where[order]
     for part in parts:
-        np.maximum(out, part.levels(unique), out=out)
+        some = slice(*np.searchsorted(where, (part.first, part.end)))
+        out[order[some]] = part.levels(unique[order[some]], where[some])
     return out[back]
 
 
@@ -307,7 +339,7 @@ def probe(
         def make(batch, shared=shared):
             pa.default_memory_pool().release_unused()  # what earlier tasks of a worker left
             out, held = [], [part for piece in shared for part in piece.value]
-            for row in batch.select(["words", "tokens", "lengths", "held", "levels"]).to_pylist():
+            for row in rows_of(batch.select(["words", "tokens", "lengths", "held", "levels"])):
                 found = levels_in(held, Block(row).keys())
                 if row["levels"] is not None:
                     found = np.maximum(found, np.frombuffer(row["levels"], np.uint8))
@@ -315,7 +347,7 @@ def probe(
             return [pa.array(out, pa.binary())]
 
         found = append_columns(df.select(*kept, "words", "levels"), [("levels", BinaryType())], make)
-        df = scratch.write(found if after is not None else found.drop("words"), "levels")
+        df = scratch.write(found if after is not None else found.drop("words"), "levels", **LARGE_ROWS)
         scratch.drop(former)
         former = df
         for piece in shared:
@@ -337,6 +369,25 @@ def unpack_tokens(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes).view("<u4").ravel().astype(np.int64)
 
 
+def binaries(values: pa.Array) -> list[bytes]:
+    """values without nulls, cut from their buffer: quicker than to_pylist()."""
+    kind = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    _, offsets, data = values.buffers()
+    if len(values) == 0 or data is None:
+        return [b""] * len(values)
+    cuts = np.frombuffer(offsets, kind)[values.offset : values.offset + len(values) + 1]
+    data = data.slice(cuts[0], cuts[-1] - cuts[0]).to_pybytes()
+    cuts = (cuts - cuts[0]).tolist()
+    return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def rows_of(batch: pa.RecordBatch):
+    """Rows of blocks, held one at a time."""
+    for i in range(batch.num_rows):
+        row = {name: column[i] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+        yield {name: binaries(x.values) if name == "words" else x.as_py() for name, x in row.items()}
+
+
 class Block:
     """The arrays of one row of the table of blocks."""
 
@@ -405,7 +456,7 @@ def block_table(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     prepare_workers(docs.sparkSession)
     rows = docs.select("key", "text", "held_out").mapInArrow(run, schema)
-    return scratch.write(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return scratch.write(rows.withColumn("block", F.monotonically_increasing_id()), "blocks", **LARGE_ROWS)
 
 
 _SENT = "bucket int, block long, codes binary, tags binary, places binary, trained binary"
@@ -426,7 +477,7 @@ def block_counts(blocks: DataFrame, scratch: Scratch) -> DataFrame:
     def send(batches):
         for batch in batches:
             for block, words, trained in zip(*(batch.column(c) for c in ("block", "words", "trained"))):
-                digests = word_digests(words.as_py())
+                digests = word_digests(binaries(words.values))
                 codes, tags = digests[:, 1], digests[:, 0].astype(np.uint16)
                 counts = trained.values.to_numpy()
                 where = ((codes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -480,7 +531,7 @@ def block_counts(blocks: DataFrame, scratch: Scratch) -> DataFrame:
     packed = told.groupBy("block").applyInArrow(
         gather, "block long, counts binary, n long, v long, once long, ends long"
     )
-    return scratch.write(packed, "block-counts")
+    return scratch.write(packed, "block-counts", **LARGE_ROWS)
 
 
 @dataclass(frozen=True)
@@ -517,9 +568,8 @@ def fresh_by_class(probed: DataFrame, packed: DataFrame) -> tuple[float, ...]:
 
     def add_up(batches):
         for batch in batches:
-            rows = batch.select(["block", "tokens", "lengths", "held", "levels"]).to_pylist()
             every, once = [], []
-            for row in rows:
+            for row in rows_of(batch.select(["tokens", "lengths", "held", "levels"])):
                 block = Block(row)
                 sums = _by_context(block, np.frombuffer(row["levels"], np.uint8))
                 every.append(pack_tokens(sums[0]))
@@ -532,7 +582,7 @@ def fresh_by_class(probed: DataFrame, packed: DataFrame) -> tuple[float, ...]:
     def by_class(batches):
         every, once = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 counts = np.frombuffer(row["counts"], "<u8").astype(np.float64)
                 sums = unpack_tokens(row["every"]), unpack_tokens(row["once"])
                 where = np.minimum(np.frexp(counts[: len(sums[0])])[1], CLASSES - 1)

@@ -4,8 +4,11 @@ import math
 import random
 import zlib
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +195,43 @@ def test_the_segments_of_a_part_are_read_at_once(monkeypatch):
         assert (found[there == s] == expected).all()
 
 
+def test_few_keys_and_small_batches_change_no_bit(monkeypatch):
+    rng = np.random.default_rng(10)
+    keys = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
+    counts = rng.zipf(1.7, len(keys)).clip(1, 10**6)
+    whole = ngram_bloom.build_segment(keys, counts)
+    asked = np.append(keys, rng.integers(2**63, 2**64, 3000, dtype=np.uint64))
+    levels = ngram_bloom.read_levels(asked, np.frombuffer(whole, np.uint8))
+    monkeypatch.setattr(ngram_bloom, "AT_ONCE", 7)
+    assert ngram_bloom.build_segment(keys, counts) == whole
+    for few in (0, 10**6):
+        monkeypatch.setattr(ngram_bloom, "FEW", few)
+        assert (ngram_bloom.read_levels(asked, np.frombuffer(whole, np.uint8)) == levels).all()
+    assert (ngram_bloom.levels_in([], asked) == 0).all()
+
+
+def test_no_writer_or_reader_holds_a_whole_file_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_bloom, "BLOCK_TOKENS", 1)
+    docs = spark.range(0, 24, 1, 1).select(
+        F.col("id").alias("key"), F.lit(False).alias("held_out"),
+        F.expr("array_join(transform(sequence(1, 40000), x -> hex(xxhash64(id * 40000 + x))), ' ')").alias("text"),
+    )
+    table = ngram_bloom.block_table(docs, Scratch(spark))
+    groups = []
+    for file in table.inputFiles():
+        meta = pq.ParquetFile(urlparse(file).path).metadata
+        groups += [meta.row_group(k) for k in range(meta.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 24
+    assert max(g.total_byte_size for g in groups) < 2 * ngram_bloom.LARGE_ROWS["parquet.block.size"]
+
+
+def test_binaries_of_cut_arrays():
+    values = [b"", b"a", b"bc", b"", b"\x00d"]
+    for kind in (pa.binary(), pa.large_binary()):
+        for a, b in ((0, 5), (1, 3), (2, 5), (3, 4), (2, 2)):
+            assert ngram_bloom.binaries(pa.array(values, kind)[a:b]) == values[a:b]
+
+
 def test_packing_of_keys_and_tokens_round_trips():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
